@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id
+from . import bpe, decontaminate, exact_dedup, language_id, token_store, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op5_token_store": token_store.op5_token_store,
+    "op6_bpe": bpe.op6_bpe,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_language_id": language_id.op8_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
