@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, token_store, warc
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, token_store, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
     "op3_warc": warc.op3_warc,
     "op5_token_store": token_store.op5_token_store,
     "op6_bpe": bpe.op6_bpe,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard": jaccard_join.OP1_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
