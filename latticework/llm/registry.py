@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, token_store, warc
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, quality, token_store, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_warc": warc.op3_warc,
+    "op4_quality": quality.op4_quality,
     "op5_token_store": token_store.op5_token_store,
     "op6_bpe": bpe.op6_bpe,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
@@ -16,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_ngram_jaccard": jaccard_join.OP1_SQL,
+    "op2_license_scan": license_scan.OP2_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
