@@ -20,6 +20,7 @@ and the rest keep their high bits in the exception list.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +38,7 @@ from .common import cut, shared_dir, slices, table
 
 #: Values in a block (32 lanes of 32), share of values that the width must hold, tokens after which a shard
 #: is closed, and words that a worker remembers.
-BLOCK, PERCENTILE, SHARD_TOKENS, CACHE_WORDS = 1024, 0.9, 4_000_000, 400_000
+BLOCK, PERCENTILE, SHARD_TOKENS, CACHE_WORDS = 1024, 0.9, 2_000_000, 1_000_000
 MAGIC, TRAILER, HEAD = b"LWPFOR01", struct.Struct("<QQIQQ"), struct.Struct("<IBBHI")
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n", "<u8")])
 
@@ -151,21 +152,61 @@ def _tokenizer(path: str):
     out = Tokenizer.from_file(path)
     out.no_truncation()
     out.no_padding()
-    return out, {}
+    vocab = out.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return out, ends, {}
+
+
+_STOP, _OTHER = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,]) "), re.compile("[^a-z\u00df-\u00f6\u00f8-\u00ff][.,] ")
+
+
+def _pieces(text: str | None) -> list[str]:
+    """The text, cut where the pre-tokenizer surely cuts it: at blanks and line ends, and before one full
+    stop or comma between a letter and a blank.  Case is folded, as the normaliser does, where that cannot
+    depend on context or make a special token."""
+    if not text:
+        return []
+    if not ("<|" in text or "\u03a3" in text or "\u0130" in text):
+        text = text.lower()
+    text = text.replace("\n", " ")
+    if _OTHER.search(text):
+        text = _STOP.sub(r" \1 ", text)
+    else:
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts.  The vocabulary's pre-tokenizer drops white space and looks at nothing beyond it,
-    so blanks and line ends split a text into pieces with ids of their own; each different piece goes to the
-    tokenizer once in a worker, as long as it is remembered."""
-    tokenizer, seen = _tokenizer(path)
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    so a text's ids are those of its pieces; each different piece goes to the tokenizer once in a worker, as
+    long as it is remembered.  New pieces of letters only, one word each, go as one line: word ends part it."""
+    tokenizer, ends, seen = _tokenizer(path)
     if len(seen) > CACHE_WORDS:
         seen.clear()
-    new = list({w for words in split for w in words if w not in seen})
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        seen[w] = np.array(e.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join([seen[w] for w in words]), "<u4") for words in split]
+    split = [_pieces(t) for t in texts]
+    every = [w for words in split for w in words]
+    got = list(map(seen.get, every))
+    new = {w for w, x in zip(every, got, strict=True) if x is None}
+    if new:
+        plain = [w for w in new if w.isalpha()]
+        lines = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        for words, e in zip(lines, tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            to = (np.flatnonzero(ends[ids]) + 1) * 4
+            if len(to) == len(words) and (len(to) == 0 or to[-1] == 4 * len(ids)):
+                raw, to = ids.tobytes(), to.tolist()
+                seen.update(zip(words, [raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)], strict=True))
+        rest = [w for w in new if w not in seen]
+        for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            seen[w] = np.array(e.ids, "<u4").tobytes()
+        for k in [k for k, x in enumerate(got) if x is None]:
+            got[k] = seen[every[k]]
+    out, at = [], 0
+    for words in split:
+        out.append(np.frombuffer(b"".join(got[at : at + len(words)]), "<u4"))
+        at += len(words)
+    return out
 
 
 # ---- the operator
