@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, quality, token_store, warc
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_store, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_language_id": language_id.op8_language_id,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
