@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -97,11 +98,12 @@ def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple
     return blocks
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<begin:long,end:long>>"
+SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<begin:long,end:long>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans; with
+    ``carry``, all columns of the input come along in a struct ``row`` instead of the id.
 
     ``spans`` are character offsets in the original text.  A null or empty text, and one without words,
     has no hits; items that are null or have no words occur nowhere; item ids are compared as strings.
@@ -114,19 +116,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
         found = [automaton(b, size) for b in sent.value]
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 n, hit, items = scan(found[0], text)
                 for more in found[1:]:
                     _, h, i = scan(more, text)
                     hit, items = np.union1d(hit, h), items | i
                 names = sorted(items)
-                rows.append((doc, n, len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0, names, offsets(text, hit) if len(hit) else []))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+                rows.append((n, len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0, names, offsets(text, hit) if len(hit) else []))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+            names = ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names)
+
+    carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col("doc_id").cast("long")
+    given = docs.select(carried.alias("row"), "text")
+    return given.mapInArrow(run, T.StructType([given.schema["row"], *T.StructType.fromDDL(SCHEMA)])).withColumnRenamed("row", "row" if carry else "doc_id")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,10 @@
    first ``|x| - ceil(3|x|/4) + 1`` shingles of x.  Replicating x to those regions - its window - makes every
    linked pair meet in the region of z.
 3. *Recursion.*  In each region with several components, the next pivots are documents (chosen by hash).
-   All others of the region are verified against them exactly, except those that the sizes or the triangle
-   inequality |d(x, p) - d(y, p)| > EPS about the region's first pivot p rule out.  Links found merge
+   All others of the region are verified against them exactly, except those that the sizes, the triangle
+   inequality |d(x, p) - d(y, p)| > EPS about the region's first pivot p, or a sketch rule out.  (A sketch
+   counts shingles by a few bits of their hash; the weighted Jaccard distance of two sketches is never more
+   than that of the sets.)  Links found merge
    components; pivots, being done, leave the region; what lies in one component needs no more work.
    Regions recurse, with twice the pivots each round, until each holds a single component.
 
@@ -42,7 +44,10 @@ SHINGLE, KEEP_NUM, KEEP_DEN = 5, 3, 4
 #: Shingles that a task sees in so many of its documents are reported as frequent; the most frequent of them
 #: (a bounded table, which only ranks the pivots and never drops one) are broadcast.  Shingles of a task that
 #: are held for counting.  Pivots of a region in the first round after the stars.
-FREQUENT_IN_TASK, FREQUENT_TABLE, COUNT_SHINGLES, PIVOTS = 3, 1 << 18, 4 << 20, 16
+FREQUENT_IN_TASK, FREQUENT_TABLE, COUNT_SHINGLES, PIVOTS = 3, 1 << 17, 4 << 20, 16
+#: log2 of the counters of a class's sketch; ids of texts to read again that may be broadcast, beyond which
+#: they are joined by a shuffle.
+SKETCH_BITS, BROADCAST_IDS = 7, 100_000
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -79,25 +84,28 @@ def _scan(docs: DataFrame) -> DataFrame:
             return _batch(np.ones(hot.sum(), np.int64), every[hot].view(np.int64), np.zeros(hot.sum(), np.int64), n[hot])
 
         for b in slices(batches):
-            ids, names, sizes = b.column("doc_id"), [], []
+            ids, names, sizes, sketches = b.column("doc_id"), [], [], []
             for _, s in _sets(b):
                 name = _class(s)
                 names.append(name)
                 sizes.append(len(s))
+                counts = np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                sketches.append(counts.astype(np.int16) if counts.max() < 1 << 15 else None)
                 if name not in seen:
                     seen.add(name)
                     held.append(s)
                     size += len(s)
-            yield _batch(np.zeros(len(names), np.int64), ids, np.array(names, np.int64), np.array(sizes, np.int64))
+            yield _batch(np.zeros(len(names), np.int64), ids, np.array(names, np.int64), np.array(sizes, np.int64), sketches)
             if size > COUNT_SHINGLES:
                 yield frequent()
         yield frequent()
 
-    return docs.mapInArrow(run, "kind long, a long, b long, n long")
+    return docs.mapInArrow(run, "kind long, a long, b long, n long, sketch array<smallint>")
 
 
-def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["kind", "a", "b", "n"])
+def _batch(kind, a, b, n, sketches: list | None = None) -> pa.RecordBatch:
+    last = pa.array(sketches if sketches is not None else [None] * len(n), pa.list_(pa.int16()))
+    return pa.RecordBatch.from_arrays([*(pa.array(c) if isinstance(c, np.ndarray) else c for c in (kind, a, b, n)), last], ["kind", "a", "b", "n", "sketch"])
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -140,13 +148,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     rows = pa.Table.from_batches(got)
-    token, name, salt = (rows.column(c).to_numpy() for c in ("token", "class", "salted"))
+    token, name, salt = (rows.column(c).to_numpy() for c in ("token", "class", "salt"))
     order = np.lexsort((name, token))
     t, c = token[order], name[order]
     new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])  # a class comes from several tasks
     t, order = t[new], order[new]
     same = t[1:] == t[:-1]
-    keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | salt[order]]
+    keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (salt[order] > 0)]
     for k in range(0, len(keep), 1 << 16):
         yield from rows.select(["token", "class", "n"]).take(pa.array(keep[k : k + (1 << 16)])).combine_chunks().to_batches()
 
@@ -181,30 +189,31 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = cut(_scan(rows), "scan")
-    members = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"))
+    members = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"), "sketch")
     # A class's text is read again by its smallest id; a class without any id stays alone.
-    classes = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    known_by = members.join(reps, "class").where((F.col("doc_id") == F.col("rep")) | F.col("rep").isNull())
+    classes = cut(known_by.select("class", "rep", F.col("n_shingles").alias("n"), "sketch"), "classes")
+    members = members.drop("sketch")
 
     top = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT_TABLE).toPandas().sort_values("a")
     hot = top["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     posts = _postings(rows, hot[order], top["n"].to_numpy(np.int64)[order])
-    dealt = posts.select("token", "class", "n", "salt", (F.col("salt") > 0).alias("salted"))
     # Only what a second class holds is kept.
-    shared = dealt.repartition(F.col("token"), F.col("salt")).mapInArrow(_shared, "token long, class long, n int")
-    shared = cut(shared.join(classes.where("rep is not null"), "class", "left_semi").select("token", F.col("class").alias("x"), "n"), "regions")
+    shared = posts.repartition("token", "salt").mapInArrow(_shared, "token long, class long, n int")
+    shared = cut(shared.join(classes.where("rep is not null").select("class"), "class", "left_semi").select("token", F.col("class").alias("x"), "n"), "regions")
 
     # The star of each region: its first pivot against all others.
     stars = shared.groupBy("token").agg(F.min_by(F.struct("x", "n"), F.xxhash64("x")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("p.x").alias("p"), F.col("p.n").alias("pn"))
-    regions = cut(shared.join(stars, "token"), "regions")
-    pairs = regions.where((F.col("x") != F.col("p")) & _fits("n", "pn")).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-    sets = _fetch(rows, regions.select(F.col("x").alias("class")).distinct().join(classes, "class"))
-    known = cut(_verify(pairs, sets), "verified")
+    regions = shared.join(stars, "token").where(F.col("x") != F.col("p"))
+    pairs = regions.where(_fits("n", "pn")).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+    known = _verify(rows, classes, pairs)
     labels = components(known.where("linked"))
 
     # Distances to the first pivot, for the triangle inequality; unknown where the sizes ruled the pair out.
     far = known.select(F.col("a").alias("p"), F.col("b").alias("x"), "distance").union(known.select(F.col("b").alias("p"), F.col("a").alias("x"), "distance"))
-    left = regions.where(F.col("x") != F.col("p")).join(far, ["p", "x"], "left").select("token", "x", "n", F.col("distance").alias("d"))
+    left = regions.join(far, ["p", "x"], "left").select("token", "x", "n", F.col("distance").alias("d"))
     k = PIVOTS
     while True:
         named = left.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
@@ -220,21 +229,21 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             & ~F.coalesce(F.abs(F.col("d") - F.col("pd")) > 1 - KEEP_NUM / KEEP_DEN + 1e-9, F.lit(False))
         )
         pairs = met.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        more = cut(_verify(pairs, sets), "verified")
+        more = _verify(rows, classes, pairs)
         known = known.union(more)
         if not more.where("linked").isEmpty():
             labels = components(known.where("linked"))
         left = left.join(pivots.select("token", F.col("p").alias("x")), ["token", "x"], "left_anti").select("token", "x", "n", "d")
         k *= 2
 
-    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
+    named = reps.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     out = members.join(named.join(least, "component").select("class", "component_id"), "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """x, s: the shingle hashes of each class that some region may pair, from the text of its smallest id.
+    """x, s: the shingle hashes of the classes (class, rep) wanted, from the text of their smallest ids.
     (Rows that repeat the id may give a class twice, or another one: neither changes what is verified.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,16 +254,30 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets)))], ["x", "s"])
 
     chosen = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     return cut(rows.join(chosen, "doc_id", "left_semi").mapInArrow(run, "x long, s array<long>"), "sets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, distance, linked of each pair, from the whole sets."""
+def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, distance, linked of each pair of classes: where the sketches allow a link, from the whole sets;
+    else the distance is unknown (null)."""
+    one = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    two = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    most = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
+    open_ = F.coalesce(most * KEEP_DEN >= (F.col("na") + F.col("nb") - most) * KEEP_NUM, F.lit(True))
+    sifted = cut(pairs.join(one, "a").join(two, "b").select("a", "b", open_.alias("open")), "sifted")
+    near = sifted.where("open").select("a", "b")
+    shut = sifted.where("not open").select("a", "b", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("linked"))
+    if near.isEmpty():
+        return shut
+    ends = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    sets = _fetch(rows, ends.join(classes.select("class", "rep"), "class"))
     one, two = sets.select(F.col("x").alias("a"), F.col("s").alias("sa")), sets.select(F.col("x").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+    counted = near.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     union = F.col("t") - F.col("i")
-    return counted.select("a", "b", (1 - F.col("i") / union).alias("distance"), (F.col("i") * KEEP_DEN >= union * KEEP_NUM).alias("linked"))
+    done = counted.select("a", "b", (1 - F.col("i") / union).alias("distance"), (F.col("i") * KEEP_DEN >= union * KEEP_NUM).alias("linked"))
+    return cut(done, "verified").union(shut)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table
 
@@ -81,8 +82,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
     return {"langs": langs, "log_p": log_p, "log_prior": np.log(counts[buckets + 1] / max(1, counts[buckets + 1].sum())), "orders": orders}
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred, score (posterior probability of lang_pred).
+def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id", carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (posterior probability of lang_pred); with ``carry``, all columns of the input
+    come along in a struct ``row`` instead of the id, which spares a filter the join back.
 
     A text that is null or has no letter gets ``und`` and score 0, as has every text where no language
     was learned.  Equal posteriors go to the language that sorts first.  Other columns are not read.
@@ -107,9 +109,11 @@ def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc
                 p = np.where(has, total[np.arange(len(best)), best], 0.0)
             else:
                 names, p = [UNKNOWN] * len(has), np.zeros(len(has))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(p, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names, pa.string()), pa.array(p, pa.float64())], ["row", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+    carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col(doc_id).cast("long")
+    rows = docs.select(carried.alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"], *T.StructType.fromDDL("lang_pred string, score double")])).withColumnRenamed("row", "row" if carry else "doc_id")
 
 
 def held_out(doc_id: str = "doc_id"):
