@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .queries import motif
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (motif,):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
