@@ -49,14 +49,16 @@ def angle_degrees(a: Point, centre: Point, b: Point) -> Column:
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
-def dihedral(a: Point, b: Point, c: Point, d: Point) -> Column:
-    """Signed torsion about b-c, in radians."""
-    b0, b1, b2 = minus(a, b), minus(c, b), minus(d, c)
-    length = norm(b1) + F.lit(1e-8)
-    unit = tuple(v / length for v in b1)
-    v = minus(b0, tuple(u * dot(b0, unit) for u in unit))  # type: ignore[arg-type]
-    w = minus(b2, tuple(u * dot(b2, unit) for u in unit))  # type: ignore[arg-type]
-    return F.atan2(dot(cross(unit, v), w), dot(v, w))  # type: ignore[arg-type]
+def with_torsion(df, name: str, a: Point, b: Point, c: Point, d: Point):
+    """Add the signed torsion about b-c, in radians; vectors are columns of steps of their own, which keeps
+    the generated code small."""
+    sides = {f"__{k}{x}": v for k, (p, q) in {"u": (a, b), "v": (b, c), "w": (c, d)}.items() for x, v in zip("xyz", minus(q, p), strict=True)}
+    df = df.withColumns(sides)
+    u, v, w = (point(f"__{k}") for k in "uvw")
+    df = df.withColumns({f"__{k}{x}": e for k, n in (("m", cross(u, v)), ("n", cross(v, w))) for x, e in zip("xyz", n, strict=True)})
+    m, n = point("__m"), point("__n")
+    df = df.withColumns({"__s": norm(v) * dot(u, n), "__c": dot(m, n)})
+    return df.withColumn(name, F.atan2("__s", "__c")).drop(*(c for c in df.columns if c.startswith("__")))
 
 
 def covariance(xs: Sequence[Point], ys: Sequence[tuple[float, float, float]]) -> dict[str, Column]:
