@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import graph, metrics, motif, neighbours, spatial
+from .queries import graph, metrics, motif, neighbours, spatial, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (motif, spatial, neighbours, graph, metrics):
+for _module in (motif, spatial, neighbours, graph, metrics, tables):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
