@@ -32,8 +32,9 @@ def pair_distances(queries: DataFrame, refs: DataFrame, leave_self: bool = False
     elif _small(refs):
         both = q.join(F.broadcast(refs), F.lit(True))
     else:
-        rows = q.withColumn("br", F.pmod(F.xxhash64("q"), F.lit(BLOCKS))).withColumn("bc", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-        cols = refs.withColumn("bc", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")).withColumn("br", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).cast("long"))
+        every = F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))
+        rows = q.withColumn("br", F.pmod(F.xxhash64("q"), F.lit(BLOCKS))).withColumn("bc", F.explode(every))
+        cols = refs.withColumn("bc", F.pmod(F.xxhash64("id"), F.lit(BLOCKS))).withColumn("br", F.explode(every))
         both = rows.join(cols, ["br", "bc"])
     if leave_self:
         both = both.where(F.col("q") != F.col("id"))
