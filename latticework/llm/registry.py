@@ -20,6 +20,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_ngram_jaccard": jaccard_join.OP1_SQL,
     "op2_license_scan": license_scan.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op9_suffix_dedup": suffix_dedup.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }

@@ -367,3 +367,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, k, md5_number(substr(h, 2 * k + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS k FROM d WHERE n >= 100)),
+f AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY doc_id, k) AS r FROM w),
+s AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 THEN 0 ELSE 1 END AS new FROM f WHERE r > 1),
+g AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM s),
+iv AS (SELECT doc_id, min(k) AS lo, max(k) + 100 AS hi FROM g GROUP BY doc_id, g),
+p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM iv),
+a AS (SELECT p.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || any_value(substr(h, 2 * mx + 1)) AS kept
+  FROM p JOIN (SELECT doc_id, max(hi) AS mx FROM iv GROUP BY doc_id) USING (doc_id) JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
