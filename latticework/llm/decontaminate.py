@@ -1,9 +1,9 @@
 """Operator 7: benchmark decontamination.
 
-The items' word windows, normalised, make one Aho-Corasick automaton.  It is broadcast as the list of
-windows, whose total size is checked first; a larger benchmark is dealt in blocks under that bound, one
-automaton each, and the hits are united.  Every document is scanned once for each block, in a narrow pass
-without a shuffle, and hits are mapped back to offsets in the original text.
+The items' word windows, normalised, make one Aho-Corasick automaton.  The items' texts are broadcast after
+their size was checked; those beyond one block's bound are taken in blocks, one automaton at a time, and the
+hits are united.  Every document is scanned once for each block, in a narrow pass without a shuffle, and hits
+are mapped back to offsets in the original text.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Words in a window, and the most bytes of item text that one automaton may hold.
-WINDOW, BLOCK_BYTES = 10, 4 << 20
+#: Words in a window, the most characters of item text that one automaton may hold, and that may be broadcast.
+WINDOW, BLOCK_BYTES, BROADCAST_BYTES = 10, 4 << 20, 256 << 20
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -87,6 +87,9 @@ def offsets(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 
 def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
     """The items in blocks of about ``limit`` bytes each, in the order of their ids."""
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total > BROADCAST_BYTES:
+        raise ValueError(f"{total} characters of items; {BROADCAST_BYTES} may be broadcast: scan for parts of them in turn")
     blocks: list[list[tuple[str, str]]] = [[]]
     size = 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
@@ -113,14 +116,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
     sent = sc.broadcast(blocks_of(benchmark, limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [automaton(b, size) for b in sent.value]
+        only = automaton(sent.value[0], size) if len(sent.value) == 1 else None
         for batch in batches:
+            texts = batch.column("text").to_pylist()
+            scanned = None
+            for block in sent.value:
+                found = only if only is not None else automaton(block, size)
+                new = [scan(found, text) for text in texts]
+                scanned = new if scanned is None else [(n, np.union1d(a, b), i | j) for (n, a, i), (_, b, j) in zip(scanned, new, strict=True)]
+                del found
             rows = []
-            for text in batch.column("text").to_pylist():
-                n, hit, items = scan(found[0], text)
-                for more in found[1:]:
-                    _, h, i = scan(more, text)
-                    hit, items = np.union1d(hit, h), items | i
+            for text, (n, hit, items) in zip(texts, scanned, strict=True):
                 names = sorted(items)
                 rows.append((n, len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0, names, offsets(text, hit) if len(hit) else []))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
