@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="latticework-graph-"))
     return df.checkpoint()
 
