@@ -18,7 +18,7 @@
    counts shingles by a few bits of their hash; the weighted Jaccard distance of two sketches is never more
    than that of the sets.)  Links found merge
    components; pivots, being done, leave the region; what lies in one component needs no more work.
-   Regions recurse, with twice the pivots each round, until each holds a single component.
+   Regions recurse, with four times the pivots each round, until each holds a single component.
 
 Links inside one component that nothing needs are not listed, so a group of k copies costs about k
 verifications, not k^2.  Hot regions are never gathered: pivots come from a partial top-k, and a region's
@@ -44,7 +44,7 @@ SHINGLE, KEEP_NUM, KEEP_DEN = 5, 3, 4
 #: Shingles that a task sees in so many of its documents are reported as frequent; the most frequent of them
 #: (a bounded table, which only ranks the pivots and never drops one) are broadcast.  Shingles of a task that
 #: are held for counting.  Pivots of a region in the first round after the stars.
-FREQUENT_IN_TASK, FREQUENT_TABLE, COUNT_SHINGLES, PIVOTS = 3, 1 << 17, 4 << 20, 16
+FREQUENT_IN_TASK, FREQUENT_TABLE, COUNT_SHINGLES, PIVOTS = 3, 1 << 17, 4 << 20, 64
 #: log2 of the counters of a class's sketch; ids of texts to read again that may be broadcast, beyond which
 #: they are joined by a shuffle.
 SKETCH_BITS, BROADCAST_IDS = 7, 100_000
@@ -174,6 +174,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of ``components`` after more edges: only the components that these join are worked on."""
+    ends = lambda c: F.coalesce(F.col(f"{c}l"), F.col(c)).alias(c)
+    for c in "ab":
+        edges = edges.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}l")), c, "left")
+    joined = components(edges.select(ends("a"), ends("b")).where("a <> b"))
+    old = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return cut(old.union(new), "labels")
+
+
 def _fits(a: str, b: str) -> F.Column:
     """Whether the sizes allow a link."""
     return (F.least(a, b) * KEEP_DEN >= F.greatest(a, b) * KEEP_NUM)
@@ -232,9 +243,9 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         more = _verify(rows, classes, pairs)
         known = known.union(more)
         if not more.where("linked").isEmpty():
-            labels = components(known.where("linked"))
+            labels = merge(labels, more.where("linked"))
         left = left.join(pivots.select("token", F.col("p").alias("x")), ["token", "x"], "left_anti").select("token", "x", "n", "d")
-        k *= 2
+        k *= 4
 
     named = reps.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
