@@ -13,8 +13,8 @@
    first ``|x| - ceil(3|x|/4) + 1`` shingles of x.  Replicating x to those regions - its window - makes every
    linked pair meet in the region of z.
 3. *Recursion.*  In each region with several components, the next pivots are documents (chosen by hash).
-   All others of the region are verified against them exactly, except those that the sizes, the triangle
-   inequality |d(x, p) - d(y, p)| > EPS about the region's first pivot p, or a sketch rule out.  (A sketch
+   All others of the region are verified against them exactly, except those that their sizes and the ranks of
+   the region's shingle in them (were it the first that both have), the triangle inequality |d(x, p) - d(y, p)| > EPS about the region's first pivot p, or a sketch rule out.  (A sketch
    counts shingles by a few bits of their hash; the weighted Jaccard distance of two sketches is never more
    than that of the sets.)  Links found merge
    components; pivots, being done, leave the region; what lies in one component needs no more work.
@@ -109,15 +109,15 @@ def _batch(kind, a, b, n, sketches: list | None = None) -> pa.RecordBatch:
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Each class in the regions of its window: token, class, n, and a salt that deals frequent regions over
-    several tasks.  ``frequent``: sorted hashes; ``counts``: documents known to hold them."""
+    """Each class in the regions of its window: token, class, n, pos (the token's rank in the class), and a salt
+    that deals frequent regions over several tasks.  ``frequent``: sorted hashes; ``counts``: documents known to hold them."""
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen_in = sent.value
         done: set[int] = set()
         for b in slices(batches):
-            tokens, classes, sizes, salts = [], [], [], []
+            tokens, classes, sizes, salts, places = [], [], [], [], []
             for _, s in _sets(b):
                 name, n = _class(s), len(s)
                 if n == 0 or name in done:
@@ -131,14 +131,15 @@ def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
                 tokens.append(s[first])
                 classes.append(np.full(window, name, np.int64))
                 sizes.append(np.full(window, n, np.int32))
+                places.append(np.arange(window, dtype=np.int32))
                 salts.append(np.where(rank[first] > 0, 1 + abs(name) % 64, 0).astype(np.int32))
             if len(done) > 1 << 18:
                 done.clear()
             if tokens:
-                parts = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(sizes), np.concatenate(salts)]
-                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], ["token", "class", "n", "salt"])
+                parts = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(sizes), np.concatenate(salts), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], ["token", "class", "n", "salt", "pos"])
 
-    return docs.mapInArrow(run, "token long, class long, n int, salt int")
+    return docs.mapInArrow(run, "token long, class long, n int, salt int, pos int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = t[1:] == t[:-1]
     keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (salt[order] > 0)]
     for k in range(0, len(keep), 1 << 16):
-        yield from rows.select(["token", "class", "n"]).take(pa.array(keep[k : k + (1 << 16)])).combine_chunks().to_batches()
+        yield from rows.select(["token", "class", "n", "pos"]).take(pa.array(keep[k : k + (1 << 16)])).combine_chunks().to_batches()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,9 +186,10 @@ def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(old.union(new), "labels")
 
 
-def _fits(a: str, b: str) -> F.Column:
-    """Whether the sizes allow a link."""
-    return (F.least(a, b) * KEEP_DEN >= F.greatest(a, b) * KEEP_NUM)
+def _fits(n: str, pos: str, m: str, mpos: str) -> F.Column:
+    """Whether sets of n and m shingles that meet in the region of their first common shingle, at these ranks, can
+    be linked: they have no more in common than either has from there on, and need 3/7 of n + m."""
+    return F.least(F.col(n) - F.col(pos), F.col(m) - F.col(mpos)) * (KEEP_NUM + KEEP_DEN) >= (F.col(n) + F.col(m)) * KEEP_NUM
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -212,19 +214,19 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     order = np.argsort(hot)
     posts = _postings(rows, hot[order], top["n"].to_numpy(np.int64)[order])
     # Only what a second class holds is kept.
-    shared = posts.repartition("token", "salt").mapInArrow(_shared, "token long, class long, n int")
-    shared = cut(shared.join(classes.where("rep is not null").select("class"), "class", "left_semi").select("token", F.col("class").alias("x"), "n"), "regions")
+    shared = posts.repartition("token", "salt").mapInArrow(_shared, "token long, class long, n int, pos int")
+    shared = cut(shared.join(classes.where("rep is not null").select("class"), "class", "left_semi").select("token", F.col("class").alias("x"), "n", "pos"), "regions")
 
     # The star of each region: its first pivot against all others.
-    stars = shared.groupBy("token").agg(F.min_by(F.struct("x", "n"), F.xxhash64("x")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("p.x").alias("p"), F.col("p.n").alias("pn"))
+    stars = shared.groupBy("token").agg(F.min_by(F.struct("x", "n", "pos"), F.xxhash64("x")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("p.x").alias("p"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
     regions = shared.join(stars, "token").where(F.col("x") != F.col("p"))
-    pairs = regions.where(_fits("n", "pn")).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+    pairs = regions.where(_fits("n", "pos", "pn", "ppos")).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
     known = _verify(rows, classes, pairs)
     labels = components(known.where("linked"))
 
     # Distances to the first pivot, for the triangle inequality; unknown where the sizes ruled the pair out.
     far = known.select(F.col("a").alias("p"), F.col("b").alias("x"), "distance").union(known.select(F.col("b").alias("p"), F.col("a").alias("x"), "distance"))
-    left = regions.join(far, ["p", "x"], "left").select("token", "x", "n", F.col("distance").alias("d"))
+    left = regions.join(far, ["p", "x"], "left").select("token", "x", "n", "pos", F.col("distance").alias("d"))
     k = PIVOTS
     while True:
         named = left.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
@@ -234,9 +236,9 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             break
         by = Window.partitionBy("token").orderBy(F.xxhash64("x"), "x")
         pivots = left.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        pivots = cut(pivots.select("token", F.col("x").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("component").alias("pc"), "rank"), "pivots")
+        pivots = cut(pivots.select("token", F.col("x").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("pd"), F.col("component").alias("pc"), "rank"), "pivots")
         met = left.join(pivots, "token").where(
-            (F.col("x") != F.col("p")) & (F.col("component") != F.col("pc")) & _fits("n", "pn")
+            (F.col("x") != F.col("p")) & (F.col("component") != F.col("pc")) & _fits("n", "pos", "pn", "ppos")
             & ~F.coalesce(F.abs(F.col("d") - F.col("pd")) > 1 - KEEP_NUM / KEEP_DEN + 1e-9, F.lit(False))
         )
         pairs = met.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -244,7 +246,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         known = known.union(more)
         if not more.where("linked").isEmpty():
             labels = merge(labels, more.where("linked"))
-        left = left.join(pivots.select("token", F.col("p").alias("x")), ["token", "x"], "left_anti").select("token", "x", "n", "d")
+        left = left.join(pivots.select("token", F.col("p").alias("x")), ["token", "x"], "left_anti").select("token", "x", "n", "pos", "d")
         k *= 4
 
     named = reps.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
