@@ -44,10 +44,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SPLIT), "")
 
 
-def _shingles(words: Column) -> Column:
-    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def _shingles(words: str) -> Column:
+    """Of a column of words, named, so that the words are made once."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
 def _min_hash(shingles: Column, band: int) -> Column:
@@ -59,7 +59,7 @@ def templates(spark: SparkSession, notices: dict[str, str] = TEMPLATES) -> DataF
     if len(notices) > MAX_TEMPLATES:
         raise ValueError("more templates than may be broadcast")
     rows = spark.createDataFrame(sorted(notices.items()), "license string, notice string")
-    counted = rows.select("license", _words(F.col("notice")).alias("w")).where("size(w) > 1").select("license", F.size("w").alias("n"), F.array_distinct(_shingles(F.col("w"))).alias("shingles"))
+    counted = rows.select("license", _words(F.col("notice")).alias("w")).where("size(w) > 1").select("license", F.size("w").alias("n"), F.array_distinct(_shingles("w")).alias("shingles"))
     scales = {n: _scale(n) for (n,) in counted.select("n").distinct().collect()}
     scale = F.coalesce(*(F.when(F.col("n") == n, k) for n, k in scales.items())) if scales else F.lit(0)
     return counted.select("license", scale.alias("scale"), "shingles", F.array(*(_min_hash(F.col("shingles"), k) for k in range(BANDS))).alias("signature"))
@@ -82,15 +82,18 @@ def license_scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, threshold
     keys = {k: [] for k in range(len(SCALES))}
     for k, s in behind.where("s is not null").select("scale", "s").distinct().collect():
         keys[k].append(s)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shingles(_words(F.col("text"))).alias("all"))
+    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("w")).where("size(w) > 1")
     every = sorted({s for v in keys.values() for s in v})
-    places = texts.select("doc_id", "all", F.posexplode("all").alias("pos", "h")).where(F.col("h").isin(every))
-    windows = None
-    for k, (size, step) in enumerate(SCALES):
+    places = worded.select("doc_id", _shingles("w").alias("all")).select("doc_id", "all", F.posexplode("all").alias("pos", "h")).where(F.col("h").isin(every))
+    # The windows of each scale about a place, from the one pass over the texts.
+    def about(k: int, size: int, step: int) -> Column:
         first = F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 2) / step)).cast("int")
-        one = places.where(F.col("h").isin(keys[k])).select("doc_id", "all", F.explode(F.sequence(first, F.floor(F.col("pos") / step).cast("int"))).alias("k"))
-        one = one.select("doc_id", F.lit(k).alias("scale"), (F.col("k") * step).alias("word"), F.slice("all", F.col("k") * step + 1, size - 1).alias("window"))
-        windows = one if windows is None else windows.unionByName(one)
+        starts = F.sequence(first, F.floor(F.col("pos") / step).cast("int"))
+        found = F.transform(starts, lambda j: F.struct(F.lit(k).alias("scale"), (j * step).alias("word"), F.lit(size - 1).alias("n")))
+        return F.when(F.col("h").isin(keys[k]), found).otherwise(F.array().cast("array<struct<scale:int,word:int,n:int>>"))
+
+    spans = [about(k, size, step) for k, (size, step) in enumerate(SCALES)]
+    windows = places.select("doc_id", "all", F.explode(F.concat(*spans)).alias("s")).select("doc_id", "s.scale", "s.word", F.slice("all", F.col("s.word") + 1, F.col("s.n")).alias("window"))
     bands = windows.select("*", F.posexplode(F.array(*(_min_hash(F.col("window"), k) for k in range(BANDS)))).alias("band", "key"))
     met = bands.join(F.broadcast(sought), ["scale", "band", "key"])
     held = F.size(F.array_intersect("window", "template")) / F.size("template")
