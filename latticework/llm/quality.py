@@ -20,6 +20,8 @@ from .common import bytes_of, slices, table, word_hashes
 #: Hash buckets for words beside the 2^14 word shapes; documents in the training sample (those whose hashed
 #: ids are least, among documents with a vote); passes over it; step; L2 weight; rounds of EM.
 WORD_BUCKETS, SAMPLE, EPOCHS, STEP, DECAY, ROUNDS = 1 << 14, 8_000, 12, 0.5, 1e-5, 50
+#: Words of a window in which variety is measured, so that a text's length does not matter.
+WINDOW = 400
 LABELLERS = ("symbols", "repeats", "capitals", "variety", "shouting", "bars", "sentences", "plain")
 GOOD, BAD, NONE = 1, 0, -1
 _SHAPES = 1 << 14
@@ -32,6 +34,14 @@ for _k, _c in enumerate(b".,!#$%&*|"):
 _KIND[[9, 10, 11, 12, 13, 32]] = 15
 
 
+def _variety(words: np.ndarray) -> float:
+    """Mean share of distinct words over consecutive windows of WINDOW words; the last one ends with the text."""
+    size = min(WINDOW, len(words))
+    starts = np.minimum(np.arange(0, len(words), size), len(words) - size)
+    parts = np.sort(words[starts[:, None] + np.arange(size)], axis=1)
+    return float(((parts[:, 1:] != parts[:, :-1]).sum(axis=1) + 1).mean() / size)
+
+
 def measure(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(votes per text and labeller, feature buckets of all words, words' texts, words per text)."""
     n = len(offs) - 1
@@ -64,8 +74,7 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     variety = np.ones(n)
     for k in range(n):
         if count[k] >= 40:
-            part = words[first[k] : first[k] + 400] if count[k] > 400 else words[first[k] : first[k + 1]]
-            variety[k] = len(np.unique(part)) / len(part)
+            variety[k] = _variety(words[first[k] : first[k + 1]])
     votes = np.full((n, len(LABELLERS)), NONE, np.int8)
     for k, (x, most) in enumerate(((symbol, 0.2), (repeats, 0.2), (capitals, 0.3), (-variety, -0.2), (shout, 0.2), (bars, 0.2))):
         votes[:, k] = np.where((x > most) & (count >= 5), BAD, NONE)

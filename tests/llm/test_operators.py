@@ -248,6 +248,16 @@ def test_quality(spark, sf_dir):
     assert sum(got[k] == bool(q) for k, q in truth.items()) >= 0.9 * len(truth)
 
 
+def test_quality_variety_counts_every_word():
+    rng = random.Random(5)
+    varied = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    same = lambda n: " ".join(["one two"] * (n // 2))
+    texts = [varied(400) + " " + same(4000), same(400) + " " + varied(4000), varied(399), same(50), varied(30) + " " + same(380)]
+    raw = [t.encode() for t in texts]
+    votes = quality.measure(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0]
+    assert votes[:, quality.LABELLERS.index("variety")].tolist() == [quality.BAD, quality.NONE, quality.NONE, quality.BAD, quality.BAD]
+
+
 def test_quality_on_awkward_texts(docs, texts):
     got = {r.doc_id: r for r in quality.classify(docs).collect()}
     assert set(got) == set(texts) and got[0].score == got[1].score == 0.0
