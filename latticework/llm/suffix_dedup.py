@@ -184,31 +184,35 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 #: kind 0: an occurrence (x = anchor, y = context); kind 1: bytes [x, y) to remove; kind 2: an open occurrence
-#: (x = anchor).  place packs lo (32 bits), a - lo and hi - lo (7 each) and 16 bits of the text's hash, which
-#: keep rows apart that share an id or have none.
-_ROWS = "kind int, x long, y long, doc long, place long"
+#: (x = anchor).  place packs lo (32 bits), a - lo and hi - lo (7 each).  m1 and m2 are the digest of the text
+#: where an id is missing or repeats, and keep such rows apart; else they are 0.
+_ROWS = "kind int, x long, y long, doc long, m1 long, m2 long, place long"
+_KEY = ["doc", "m1", "m2"]
 _FIRST = -(1 << 63)
+#: Buckets of ids in which repeated ones are noted.
+_BUCKETS = 1 << 16
 
 
-def _rows(kind: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(doc), pa.array(place)], ["kind", "x", "y", "doc", "place"])
+def _rows(kind: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, m1: np.ndarray, m2: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    cols = [np.full(len(x), kind, np.int32), x, y, doc, m1, m2, place]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "x", "y", *_KEY, "place"])
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """lo, a, hi, text hash."""
-    lo = place >> 30
-    return lo, lo + (place >> 23 & 127), lo + (place >> 16 & 127), place & 65535
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lo, a, hi."""
+    lo = place >> 14
+    return lo, lo + (place >> 7 & 127), lo + (place & 127)
 
 
-def _spans(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+def _spans(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, m1: np.ndarray, m2: np.ndarray) -> pa.RecordBatch:
     """Rows of kind 1 for the strings lo..hi of documents; those that touch are joined."""
-    order = np.lexsort((lo, mark, doc))
-    lo, to, doc, mark = lo[order], hi[order] + LENGTH, doc[order], mark[order]
+    order = np.lexsort((lo, m2, m1, doc))
+    lo, to, doc, m1, m2 = lo[order], hi[order] + LENGTH, doc[order], m1[order], m2[order]
     if len(lo):
-        apart = np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (lo[1:] > to[:-1])])
+        apart = np.concatenate([[True], (doc[1:] != doc[:-1]) | (m1[1:] != m1[:-1]) | (m2[1:] != m2[:-1]) | (lo[1:] > to[:-1])])
         at = np.flatnonzero(apart)
-        lo, to, doc, mark = lo[at], np.maximum.reduceat(to, at), doc[at], mark[at]
-    return _rows(1, lo, to, doc, mark)
+        lo, to, doc, m1, m2 = lo[at], np.maximum.reduceat(to, at), doc[at], m1[at], m2[at]
+    return _rows(1, lo, to, doc, m1, m2, np.zeros(len(lo), np.int64))
 
 
 def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,25 +234,24 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal size
         if held:
-            anchor, context, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, context, doc, m1, m2, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             size = 0
-            lo, _, hi, mark = _unpack(place)
+            lo, _, hi = _unpack(place)
             order, first, tie = _later((anchor, context), doc, lo)
             go = order[first | tie]  # rows that repeat an id and a text stand at one place: neither is later
             for k in range(0, len(go), 1 << 16):
                 c = go[k : k + (1 << 16)]
-                yield _rows(0, anchor[c], context[c], doc[c], place[c])
+                yield _rows(0, anchor[c], context[c], doc[c], m1[c], m2[c], place[c])
             done = order[~(first | tie)]
-            yield _spans(lo[done], hi[done], doc[done], mark[done])
+            yield _spans(lo[done], hi[done], doc[done], m1[done], m2[done])
 
     for b in slices(batches):
         buf, offs = bytes_of(b.column("text"))
         got = anchors(buf, offs)
-        ids = b.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-        marks = b.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
-        place = got["lo"] << 30 | got["a"] - got["lo"] << 23 | got["hi"] - got["lo"] << 16 | marks[got["text"]]
-        held.append((got["anchor"], got["context"], ids[got["text"]], place))
+        key = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[got["text"]] for c in _KEY)
+        place = got["lo"] << 14 | got["a"] - got["lo"] << 7 | got["hi"] - got["lo"]
+        held.append((got["anchor"], got["context"], *key, place))
         size += len(place)
         if size > HELD:
             yield from flush()
@@ -258,16 +261,16 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = []
     for b in batches:
-        kind, x, y, doc, place = (b.column(c).to_numpy() for c in ("kind", "x", "y", "doc", "place"))
-        yield _rows(1, x[kind == 1], y[kind == 1], doc[kind == 1], place[kind == 1])
-        parts.append(tuple(c[kind == 0] for c in (x, y, doc, place)))
+        kind, *cols = (b.column(c).to_numpy() for c in ("kind", "x", "y", *_KEY, "place"))
+        yield _rows(1, *(c[kind == 1] for c in cols))
+        parts.append(tuple(c[kind == 0] for c in cols))
     if not parts:
         return
-    anchor, context, doc, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-    lo, _, hi, mark = _unpack(place)
+    anchor, context, doc, m1, m2, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+    lo, _, hi = _unpack(place)
     order, first, tie = _later((anchor, context), doc, lo)
     done = order[~(first | tie)]
-    yield _spans(lo[done], hi[done], doc[done], mark[done])
+    yield _spans(lo[done], hi[done], doc[done], m1[done], m2[done])
     heads = order[first]
     a = anchor[heads]
     same = a[1:] == a[:-1]
@@ -276,50 +279,50 @@ def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened = stay[np.isin(anchor[stay], several)]
     for k in range(0, len(opened), 1 << 16):
         c = opened[k : k + (1 << 16)]
-        yield _rows(2, anchor[c], context[c], doc[c], place[c])
+        yield _rows(2, anchor[c], context[c], doc[c], m1[c], m2[c], place[c])
 
 
-_BLOCKS = "core long, doc long, mark long, start long, text binary"
+_BLOCKS = "core long, doc long, m1 long, m2 long, start long, text binary"
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         out = []
-        for text, doc, mark, opened in zip(*(b.column(c) for c in ("text", "doc", "mark", "open")), strict=True):
+        for text, doc, m1, m2, opened in zip(*(b.column(c) for c in ("text", *_KEY, "open")), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            doc, mark = doc.as_py(), mark.as_py()
+            key = doc.as_py(), m1.as_py(), m2.as_py()
             for row in opened.as_py():
-                lo, a, hi, _ = (int(v) for v in _unpack(np.int64(row["place"])))
+                lo, a, hi = _unpack(row["place"])
                 for j in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
                     s0, s1 = max(lo, a - BLOCK * j - BLOCK + 1), min(hi, a - BLOCK * j)
                     core = raw[a - BLOCK * j : a - BLOCK * j + LENGTH - BLOCK + 1]
-                    key = hashlib.blake2b(core + bytes([j]), digest_size=8).digest()
-                    out.append((int.from_bytes(key, "little", signed=True), doc, mark, s0, raw[s0 : s1 + LENGTH]))
+                    name = hashlib.blake2b(core + bytes([j]), digest_size=8).digest()
+                    out.append((int.from_bytes(name, "little", signed=True), *key, s0, raw[s0 : s1 + LENGTH]))
         if out:
             cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["core", "doc", "mark", "start", "text"])
+            kinds = [*[pa.int64()] * 5, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["core", *_KEY, "start", "text"])
 
 
 def _by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    groups: dict[int, dict[bytes, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+    groups: dict[int, dict[bytes, list[tuple[int, int, int, int]]]] = defaultdict(lambda: defaultdict(list))
     for b in batches:
-        for core, doc, mark, start, text in zip(*(b.column(c).to_pylist() for c in ("core", "doc", "mark", "start", "text")), strict=True):
-            groups[core][text].append((doc, start, mark))
-    out: list[tuple[int, int, int, int]] = []  # first and last string, document, mark
+        for core, doc, m1, m2, start, text in zip(*(b.column(c).to_pylist() for c in ("core", *_KEY, "start", "text")), strict=True):
+            groups[core][text].append((doc, start, m1, m2))
+    out: list[tuple[int, int, int, int, int]] = []  # first and last string, document, digest
     for texts in groups.values():
         if sum(map(len, texts.values())) < 2:
             continue
         names = list(texts)
         where = [sorted(texts[t]) for t in names]
         for t, w in zip(names, where, strict=True):  # whole blocks that repeat
-            out.extend((s, s + len(t) - LENGTH, d, m) for d, s, m in w[1:] if (d, s) != w[0][:2])
+            out.extend((s, s + len(t) - LENGTH, d, *m) for d, s, *m in w[1:] if (d, s) != w[0][:2])
         if len(names) > 1:
             found = repeats(names) if len(names) <= LARGE else repeats_sorted(names)
             for run in found:
                 at = [(*where[k][0][:1], where[k][0][1] + j, k, j) for k, j in run]
                 first = min(at)[:2]
-                out.extend((s, s, d, m) for d, s, k, j in at if (d, s) != first for at_d, at_s, m in where[k] if (at_d, at_s) == where[k][0][:2])
+                out.extend((s, s, d, *m) for d, s, k, j in at if (d, s) != first for at_d, at_s, *m in where[k] if (at_d, at_s) == where[k][0][:2])
     if out:
         yield _spans(*(np.array(c, np.int64) for c in zip(*out, strict=True)))
 
@@ -343,6 +346,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (doc, text) with m1, m2: both halves of the text's MD5 where the id is not the only one of its
+    kind, 0 elsewhere.  Which ids repeat is noted by bucket, so some others get a digest too."""
+    bucket = F.xxhash64("doc").bitwiseAND(_BUCKETS - 1)
+    again = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(bucket.alias("bucket")).distinct().collect()
+    if not again:
+        return rows.select("*", F.lit(0).cast("long").alias("m1"), F.lit(0).cast("long").alias("m2"))
+    noted = rows.sparkSession.createDataFrame(again, "bucket long").withColumn("again", F.lit(True))
+    half = [F.conv(F.substring(F.md5("text"), k, 16), 16, -10).cast("long") for k in (1, 17)]
+    joined = rows.withColumn("bucket", bucket).join(F.broadcast(noted), "bucket", "left")
+    return joined.select(*rows.columns, *(F.when(F.col("again"), h).otherwise(F.lit(0).cast("long")).alias(m) for h, m in zip(half, _KEY[1:], strict=True)))
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
 
@@ -353,16 +369,17 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("mark", F.xxhash64("text").bitwiseAND(65535))
-    found = rows.select("doc", "mark", "text").mapInArrow(_occurrences, _ROWS)
+    )
+    rows = _keyed(rows)
+    found = rows.select(*_KEY, "text").mapInArrow(_occurrences, _ROWS)
     # Occurrences meet by anchor; intervals that are already known pass by wherever.
     dealt = found.withColumn("to", F.when(F.col("kind") == 0, F.col("x")).otherwise(F.xxhash64("doc", "x"))).repartition("to").drop("to")
     settled = cut(dealt.mapInArrow(_by_anchor, _ROWS), "anchors")
-    opened = settled.where("kind = 2").groupBy("doc", F.col("place").bitwiseAND(65535).alias("mark")).agg(F.collect_list(F.struct("x", "place")).alias("open"))
-    blocks = rows.join(opened, ["doc", "mark"]).select("doc", "mark", "text", "open").mapInArrow(_cut_blocks, _BLOCKS)
+    opened = settled.where("kind = 2").groupBy(*_KEY).agg(F.collect_list(F.struct("x", "place")).alias("open"))
+    blocks = rows.join(opened, _KEY).select(*_KEY, "text", "open").mapInArrow(_cut_blocks, _BLOCKS)
     sorted_out = cut(blocks.repartition("core").mapInArrow(_by_core, _ROWS), "cores")
-    spans = settled.where("kind = 1").union(sorted_out).groupBy("doc", F.col("place").alias("mark")).agg(F.collect_list(F.struct("x", "y")).alias("spans"))
-    return rows.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = settled.where("kind = 1").union(sorted_out).groupBy(*_KEY).agg(F.collect_list(F.struct("x", "y")).alias("spans"))
+    return rows.join(spans, _KEY, "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,3 +289,26 @@ def test_suffix_rows_that_share_an_id(odd):
     got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(odd).collect())
     long = max(n for _, n, _ in got) - 1
     assert (False, long, long) in got and (True, 0, 0) in got
+
+
+def test_suffix_many_rows_without_ids(spark):
+    rng = random.Random(11)
+    junk = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passages = [junk(150) for _ in range(5)]
+    rows = [(None, junk(rng.randint(0, 250)) + rng.choice(passages) + junk(rng.randint(0, 60))) for _ in range(2500)]
+    rows += [(7, junk(20 * k) + passages[k % 5]) for k in range(20)] + [(-(1 << 63), junk(30) + passages[0])]
+    least: dict[bytes, tuple] = {}
+    for i, t in rows:  # the earliest place of each string; rows of one id are one document
+        b = t.encode()
+        for j in range(len(b) - 99):
+            at = (-(1 << 63) if i is None else i, j)
+            least[b[j : j + 100]] = min(at, least.get(b[j : j + 100], at))
+    want = Counter()
+    for i, t in rows:
+        b, gone = t.encode(), set()
+        for j in range(len(b) - 99):
+            if least[b[j : j + 100]] != (-(1 << 63) if i is None else i, j):
+                gone.update(range(j, j + 100))
+        want[(i, len(b), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone)).hexdigest())] += 1
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r.doc_id, r.n_bytes, r.kept_sha256) for r in got.collect()) == want
