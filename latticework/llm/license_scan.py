@@ -6,6 +6,10 @@ probability 1 - (1 - s)^BANDS.  A template of L shingles that lies whole in a wi
 s >= L / W; scales and bands are checked so that this is at least ``GUARANTEE`` for every template.
 Retrieved templates are verified by exact shingle containment in the window.
 
+A template that no window holds is cut into parts of PART words that share one word with the next; each part is
+retrieved like a short template.  A part found at a window says where the template would begin and end there, and
+containment is taken over the whole template in that stretch of the text, with slack on both sides.
+
 A window that shares a band with a template holds the template's shingle with the least hash in it, so only
 windows about such shingles are built; that leaves out no collision.
 """
@@ -27,9 +31,32 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Longer texts, looked for beside the notices by the query; OP2_SQL, which knows one window a template, has none.
+LONG = {
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+        under the License.""",
+    "bsd-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+        EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+        or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
 #: Words in a window and between the starts of two: a run of WORDS - STEP + 1 words lies whole in some window.
 SCALES = ((8, 2), (22, 4))
 BANDS, GUARANTEE, CONTAINMENT, MAX_TEMPLATES = 24, 0.999, 0.75, 10_000
+PART = SCALES[-1][0] - SCALES[-1][1] + 1
 SPLIT = "[^a-z0-9]+"
 
 
@@ -40,6 +67,11 @@ def _scale(words: int) -> int:
     raise ValueError(f"no scale holds a template of {words} words with the guaranteed probability")
 
 
+def _slack(words: Column) -> Column:
+    """Words that a long template's stretch has more on either side."""
+    return F.lit(SCALES[-1][0]) + F.floor(words / 4).cast("int")
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SPLIT), "")
 
@@ -55,26 +87,34 @@ def _min_hash(shingles: Column, band: int) -> Column:
 
 
 def templates(spark: SparkSession, notices: dict[str, str] = TEMPLATES) -> DataFrame:
-    """license, scale, shingles, signature of each template (at most MAX_TEMPLATES: they are broadcast)."""
+    """license, words, whole (its shingles), and of each part: offset (its first word), scale, shingles, signature
+    (at most MAX_TEMPLATES: they are broadcast)."""
     if len(notices) > MAX_TEMPLATES:
         raise ValueError("more templates than may be broadcast")
     rows = spark.createDataFrame(sorted(notices.items()), "license string, notice string")
-    counted = rows.select("license", _words(F.col("notice")).alias("w")).where("size(w) > 1").select("license", F.size("w").alias("n"), F.array_distinct(_shingles("w")).alias("shingles"))
+    worded = rows.select("license", _words(F.col("notice")).alias("w")).where("size(w) > 1").select("license", F.size("w").alias("words"), "w", F.array_distinct(_shingles("w")).alias("whole"))
+    last = F.col("words") - PART
+    offsets = F.when(last > 0, F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(PART - 1)), F.array(last)))).otherwise(F.array(F.lit(0)))
+    parts = worded.withColumn("offset", F.explode(offsets)).withColumn("w", F.slice("w", F.col("offset") + 1, PART))
+    counted = parts.select("license", "words", "whole", "offset", F.size("w").alias("n"), F.array_distinct(_shingles("w")).alias("shingles"))
     scales = {n: _scale(n) for (n,) in counted.select("n").distinct().collect()}
     scale = F.coalesce(*(F.when(F.col("n") == n, k) for n, k in scales.items())) if scales else F.lit(0)
-    return counted.select("license", scale.alias("scale"), "shingles", F.array(*(_min_hash(F.col("shingles"), k) for k in range(BANDS))).alias("signature"))
+    return counted.select("license", "words", "whole", "offset", scale.alias("scale"), "shingles", F.array(*(_min_hash(F.col("shingles"), k) for k in range(BANDS))).alias("signature"))
 
 
 def license_scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
     """One row per document and license found: doc_id, license, containment (the best window's), word (where
-    the first such window begins, from 0).
+    the first such window begins, from 0).  A template of more than PART words has as its windows the stretches
+    about its parts.
 
     Null, empty and one-word texts have no shingles and find nothing; rows that repeat a doc_id count as one
     document; a null doc_id is a document of its own.  Other columns are not read.
     """
     spark = docs.sparkSession
     known = templates(spark, notices)
-    sought = known.select("license", "scale", F.col("shingles").alias("template"), F.posexplode("signature").alias("band", "key"))
+    sought = known.select("license", "offset", "scale", F.posexplode("signature").alias("band", "key"))
+    wholes = known.select("license", "words", F.col("whole").alias("template")).dropDuplicates(["license"])
+    longest = known.agg(F.max("words")).first()[0] or 0
     # The shingle behind each template's band: where its hash is the least.
     behind = known.select("scale", F.explode("shingles").alias("h"), "signature").select(
         "scale", "h", F.explode(F.array(*(F.when(F.xxhash64("h", F.lit(k)) == F.element_at("signature", k + 1), F.col("h")) for k in range(BANDS)))).alias("s")
@@ -93,9 +133,21 @@ def license_scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, threshold
         return F.when(F.col("h").isin(keys[k]), found).otherwise(F.array().cast("array<struct<scale:int,word:int,n:int>>"))
 
     spans = [about(k, size, step) for k, (size, step) in enumerate(SCALES)]
-    windows = places.select("doc_id", "all", F.explode(F.concat(*spans)).alias("s")).select("doc_id", "s.scale", "s.word", F.slice("all", F.col("s.word") + 1, F.col("s.n")).alias("window"))
+    # With long templates, also as much of the text as the longest may take up about a window.
+    reach = F.lit(longest) + _slack(F.lit(longest))
+    begin = F.greatest(F.lit(0), F.col("s.word") - reach)
+    stretch = F.when(F.col("s.scale") == len(SCALES) - 1, F.slice("all", begin + 1, F.col("s.word") + reach - begin))
+    wide = [begin.alias("begin"), stretch.alias("stretch")] if longest > PART else []
+    windows = places.select("doc_id", "all", F.explode(F.concat(*spans)).alias("s")).select("doc_id", "s.scale", "s.word", F.slice("all", F.col("s.word") + 1, F.col("s.n")).alias("window"), *wide)
     bands = windows.select("*", F.posexplode(F.array(*(_min_hash(F.col("window"), k) for k in range(BANDS)))).alias("band", "key"))
     met = bands.join(F.broadcast(sought), ["scale", "band", "key"])
+    met = met.join(F.broadcast(wholes), "license")
+    if longest > PART:
+        starts = F.col("word") - F.col("offset") - _slack(F.col("words"))
+        first = F.greatest(F.lit(0), starts)
+        whole = F.slice("stretch", first - F.col("begin") + 1, F.greatest(F.lit(0), F.col("word") - F.col("offset") + F.col("words") + _slack(F.col("words")) - first))
+        long = F.col("words") > PART
+        met = met.select("doc_id", "license", "template", F.when(long, first).otherwise(F.col("word")).alias("word"), F.when(long, whole).otherwise(F.col("window")).alias("window"))
     held = F.size(F.array_intersect("window", "template")) / F.size("template")
     return (
         met.select("doc_id", "license", "word", held.alias("containment")).where(F.col("containment") >= threshold)
@@ -104,7 +156,7 @@ def license_scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, threshold
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "license", F.round("containment", 6).alias("containment"))
+    return license_scan(table(spark, sf_dir, "documents"), TEMPLATES | LONG).select("doc_id", "license", F.round("containment", 6).alias("containment"))
 
 
 OP2_SQL = f"""

@@ -242,6 +242,18 @@ def test_license_scan(spark, texts):
     assert dict(got) == {k: {(name, 1.0)} for k, name in enumerate(license_scan.TEMPLATES)} | {94: {("all-rights-reserved", 1.0)}, None: {("all-rights-reserved", 1.0)}}
 
 
+def test_license_scan_long_texts(spark, texts):
+    words = {k: v.split() for k, v in license_scan.LONG.items()}
+    mit = words["mit-text"]
+    rows = [(k, f"{texts[72]} {' '.join(w)} {texts[5]}") for k, w in enumerate(words.values())]
+    rows += [(10, " ".join(mit[:80] + ["some", "added", "words"] + mit[80:])), (11, " ".join(mit[:60])), (12, " ".join(mit[30:]))]
+    got = defaultdict(dict)
+    for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.LONG).collect():
+        got[r.doc_id][r.license] = r.containment
+    assert {k: v for k, v in got.items() if k < 10} == {k: {name: 1.0} for k, name in enumerate(words)}
+    assert set(got) == {0, 1, 2, 10, 12} and 0.97 < got[10]["mit-text"] < 1 and 0.75 < got[12]["mit-text"] < 0.9
+
+
 def test_quality(spark, sf_dir):
     truth = {r.doc_id: r.quality for r in common.table(spark, sf_dir, "labels").collect()}
     got = {r.doc_id: r.good for r in quality.classify(common.table(spark, sf_dir, "documents")).collect()}
