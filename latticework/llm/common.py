@@ -7,6 +7,7 @@ bounded slice of an Arrow batch.  Hashes are plain 64-bit numbers, equal in ever
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass takes; a longer single text is one pass of its own.
@@ -43,6 +45,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of ``cut`` tables that nothing reads any more.  A folder that cannot be deleted stays."""
+    for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
+        try:
+            fs, path = pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", folder))
+            fs.delete_dir(path)
+        except (OSError, pa.ArrowInvalid):
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -156,10 +168,5 @@ def _chain(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns named; others, whatever they are called, cannot clash."""
-    return df.select(*names)
-
-
 def tmp_path(uri: str) -> str:
     return uri[len("file://") :] if uri.startswith("file://") else os.path.normpath(uri)

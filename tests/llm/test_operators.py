@@ -85,6 +85,60 @@ def test_jaccard_join_recurses(docs, texts, monkeypatch):
     assert {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs).collect()} == roots(texts)
 
 
+def families(rng, n):
+    """Near copies of a few texts that all begin with one passage; some copies are near none."""
+    words = [f"w{k}" for k in range(5000)]
+    passage = [rng.choice(words) for _ in range(25)]
+    bases = [[rng.choice(words) for _ in range(60)] for _ in range(6)]
+    out = {}
+    for k in range(n):
+        w = passage + bases[k % 6]
+        for _ in range(rng.choice((0, 1, 2, 3, 4))):
+            w[rng.randrange(25, 85)] = rng.choice(words)
+        out[k] = " ".join(w)
+    return out
+
+
+def test_jaccard_join_deals_cells(spark, monkeypatch):
+    """Families in one region: documents go to the cells of near pivots, the triangle inequality rules pairs out,
+    and the links are those of brute force."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 6)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_IN_TASK", 1 << 30)
+    apart, splits = [], []
+    meet, deal = jaccard_join._meet, jaccard_join._deal
+
+    def met(left, pivots):
+        j = left.join(pivots, "region").where((left["x"] != pivots["p"]) & (left["component"] != pivots["pc"]))
+        apart.append(j.where(jaccard_join._apart("lo", "hi", "plo", "phi")).count())
+        return meet(left, pivots)
+
+    def dealt(left, *rest):
+        out = deal(left, *rest)
+        splits.append((left.select("region").distinct().count(), out.select("region").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_meet", met)
+    monkeypatch.setattr(jaccard_join, "_deal", dealt)
+    every = families(random.Random(4), 90)
+    got = jaccard_join.jaccard_join(spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == roots(every)
+    print("pairs that the triangle inequality ruled out:", apart, "regions before and after dealing:", splits)
+    assert sum(apart) > 0 and any(b > a for a, b in splits)
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(2)
+    for n, common in ((3, 1), (40, 30), (400, 310), (5000, 100)):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.concatenate([x[:common], rng.integers(0, 1 << 63, n // 5 + 1, dtype=np.uint64)])
+        a, b = (jaccard_join.sketch(np.unique(s)).view(np.uint64) for s in (x, y))
+        while len(a) != len(b):
+            if len(a) > len(b):
+                a, b = b, a
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        assert sum(int(w).bit_count() for w in a ^ b) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_exact_dedup(docs, texts):
     low = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
     groups = defaultdict(list)
@@ -152,6 +206,14 @@ def test_bpe(docs, texts):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_takes_very_long_runs():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, c = Tokenizer.from_file(path), bpe.codec(path)
+    for x in (" " * 2_000_000 + "z", "a " + " " * 4999 + "b", "\n" * 60_000, "ab" * 50_000):
+        raw = np.frombuffer(x.encode(), np.uint8)
+        assert c.encode_all(raw, np.array([0, len(raw)]))[0].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_bpe_small_chunks_agree(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, c = Tokenizer.from_file(path), bpe.Codec(path, chunk_bits=3)
