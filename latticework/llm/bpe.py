@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ from .common import SLICE_BYTES, bytes_of, mix, slices, table
 #: log2 of the mean chunk length in bytes, bytes that the rolling hash sees, bytes of chunks remembered.
 CHUNK_BITS, SEEN_BYTES, CACHE_BYTES = 9, 16, 24 << 20
 
+#: Characters of white space in a row that go to the tokenizers library.
+LONG_BLANK = 5000
+_LONG_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
+
 _GEAR = mix(np.arange(256, dtype=np.uint64) + np.uint64(12345)).astype(np.uint32)
 
 
@@ -34,18 +39,13 @@ class Codec:
     """A byte-level BPE vocabulary, with the chunks that this worker has encoded."""
 
     def __init__(self, path: str, chunk_bits: int = CHUNK_BITS, cache_bytes: int = CACHE_BYTES):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+        self.path = path
+        whole = _library(path)
         plain = _plain_bytes()
-        self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
-        vocab = self.whole.get_vocab(with_added_tokens=True)
+        self.special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        vocab = whole.get_vocab(with_added_tokens=True)
         size = max(vocab.values()) + 1
         self.raw = np.full(size, b"", object)
         for token, i in vocab.items():
@@ -53,7 +53,7 @@ class Codec:
         self.length = np.array([len(x) for x in self.raw], np.int64)
         self.decimal = np.array([str(i) for i in range(size)], object)
         ranks = {self.raw[i]: i for t, i in vocab.items() if t not in self.special}
-        # The same merges in a quicker library; texts that it refuses go to the tokenizers library.
+        # The same merges in a quicker library.
         self.fast = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.mask = np.uint32((1 << chunk_bits) - 1)
         self.cache_bytes, self.held = cache_bytes, 0
@@ -61,12 +61,11 @@ class Codec:
 
     def encode_piece(self, raw: bytes) -> np.ndarray:
         text = raw.decode("utf-8", "surrogatepass")
-        try:
-            if any(s in text for s in self.special):
-                return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
-        except Exception:  # the pattern's engine gives up on very long runs of white space
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(text) > LONG_BLANK and _LONG_BLANK.search(text):  # on which the quicker library's pattern engine gives up
+            return np.array(_library(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
+        if any(s in text for s in self.special):
+            return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
+        return np.array(self.fast.encode_ordinary(text), np.uint32)
 
     def chunk(self, raw: bytes) -> np.ndarray:
         ids = self.chunks.get(raw)
@@ -75,7 +74,7 @@ class Codec:
                 self.chunks.clear()
                 self.held = 0
             ids = self.chunks[raw] = self.encode_piece(raw)
-            self.held += len(raw)
+            self.held += len(raw) + ids.nbytes + 200  # with the objects about them
         return ids
 
     def cuts(self, buf: np.ndarray) -> np.ndarray:
@@ -139,6 +138,19 @@ class Codec:
         return b"".join(self.raw[ids].tolist()).decode("utf-8", "replace")
 
 
+def _library(path: str):
+    """The vocabulary in the tokenizers library, which a worker needs for a moment only."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 def _plain_bytes() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE: bytes that print stand for themselves, others follow from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -154,15 +166,33 @@ def codec(path: str) -> Codec:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _encoded(b: pa.RecordBatch, c: Codec) -> list[np.ndarray]:
+    return c.encode_all(*bytes_of(b.column("text")))
+
+
+def _decoded(doc_ids: pa.Array, every: list[np.ndarray], c: Codec, with_text: bool) -> pa.RecordBatch:
+    rows = []
+    for ids in every:
+        text = c.decode(ids)
+        rows.append((len(ids), hashlib.sha256(",".join(c.decimal[ids].tolist()).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if with_text else None))
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text"]
+    return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True))][: 4 + with_text], names[: 4 + with_text])
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit): whole texts as the tokenizers library encodes them with
-    ``path`` and no added special tokens.  Null counts as empty; each row gives one row."""
+    ``path`` and no added special tokens.
+
+    Null counts as empty and has no ids; each row gives one row, repeated ones and those without an id too.
+    Very long texts are taken one at a time.  An empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in slices(batches, limit=SLICE_BYTES):
-            ids = c.encode_all(*bytes_of(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in _encoded(b, c)], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -172,21 +202,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                rows = []
-                for raw in b.column("ids"):
-                    ids = np.frombuffer(raw.as_buffer(), "<u4")
-                    text = c.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(",".join(c.decimal[ids].tolist()).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text"])
+        for b in slices(batches, "ids", 4 * SLICE_BYTES):
+            yield _decoded(b.column("doc_id"), [np.frombuffer(raw.as_buffer(), "<u4") for raw in b.column("ids")], c, True)
 
     return encoded.mapInArrow(run, f"{SCHEMA}, text string")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task needs one worker with one vocabulary: doc_id, n_tokens,
+    ids_sha256, decoded_sha256 (the text from the ids alone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in slices(batches, limit=SLICE_BYTES):
+            yield _decoded(b.column("doc_id"), _encoded(b, c), c, False)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return decode(encode(table(spark, sf_dir, "documents"), path), path).drop("text")
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -9,7 +9,7 @@ may split where one group holds much of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -17,6 +17,15 @@ from .common import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _norm(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def text_digest(text: Column) -> Column:
+    """``text_sha256`` of a text."""
+    return F.sha2(_norm(text), 256)
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -25,8 +34,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     give a row and are kept alike; a null id stays only in a group without any other id.  An empty table
     gives no rows.  Columns of the input besides the two named are not looked at.
     """
-    norm = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), norm.alias("norm"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _norm(F.col(text)).alias("norm"))
     groups = (
         rows.groupBy(F.unhex(F.md5("norm")).alias("h"), "norm")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from .common import slices, table
 
 #: Parameters: hash buckets, n-gram lengths, additive smoothing, most languages a model may have.
-BUCKETS, ORDERS, SMOOTHING, MAX_LANGS = 1 << 15, (1, 2, 3), 0.05, 256
+BUCKETS, ORDERS, SMOOTHING, MAX_LANGS = 1 << 15, (1, 2, 3), 0.05, 4096
+#: Places times languages whose log-probabilities are held at once.
+GATHER = 1 << 20
 UNKNOWN = "und"
 
 
@@ -49,6 +51,15 @@ def _grams(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return out
 
 
+def _add(total: np.ndarray, log_p: np.ndarray, grams: np.ndarray, offs: np.ndarray) -> None:
+    """Adds each text's log-probabilities to its row, some places at a time; texts may go over several of them."""
+    step = max(1, GATHER // log_p.shape[1])
+    for lo in range(0, len(grams), step):
+        hi = min(len(grams), lo + step)
+        first, last = np.searchsorted(offs, lo, side="right") - 1, np.searchsorted(offs, hi, side="left")
+        total[first:last] += np.add.reduceat(log_p[grams[lo:hi]], np.maximum(offs[first:last] - lo, 0), axis=0)
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> dict:
     """Counts over all given rows with a language; {"langs", "log_p" (buckets + 1, langs), "log_prior"}."""
 
@@ -101,7 +112,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc
             if langs:
                 total = np.tile(prior, (len(offs) - 1, 1))
                 for order in orders:
-                    total += np.add.reduceat(log_p[_grams(codes, order, buckets)], offs[:-1], axis=0)
+                    _add(total, log_p, _grams(codes, order, buckets), offs)
                 total = np.exp(total - total.max(axis=1, keepdims=True))
                 total /= total.sum(axis=1, keepdims=True)
                 best = total.argmax(axis=1)
