@@ -34,3 +34,25 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").limit(20)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
+
+
+def test_stages_on_awkward_rows(spark, sf_dir):
+    """Null ids, repeated ids and rows, null and empty texts, columns whose names a stage might use, and no rows."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string, kept_id long, kept_rows long, __again int, component_id long, score double"
+    text = "some words about nothing in particular that are long enough to make a few shingles of five words each"
+    rows = [(None, text), (None, text.upper()), (None, None), (1, text), (1, text), (1, "another text of the same id"), (2, ""), (3, "  ,.  "), (4, text + " more"), (5, "lone letters"), (5, "LONE letters")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, "r", 7, 7, 7, 7, 0.5) for i, t in rows], columns)
+    for d in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = common.cut(stage(spark, d, sf_dir), name)
+            assert d.columns == docs.columns, name
+        last = corpus_pipeline.STAGES[-1][1](spark, d, sf_dir)
+        got = sorted((r.doc_id, r.n_tokens > 0) for r in last.collect())
+        assert got in ([(1, True), (1, True), (5, True)], [])
+
+
+def test_exact_stage_keeps_rows_not_ids(spark, sf_dir):
+    rows = [(None, "a b"), (None, "A B"), (None, "c"), (2, "c"), (3, "d"), (3, "D"), (3, "e")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in corpus_pipeline.drop_copies(spark, docs, sf_dir).collect())
+    assert got == [(0, "a b"), (2, "c"), (3, "d"), (3, "e")]
