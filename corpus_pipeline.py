@@ -4,11 +4,15 @@ Each stage takes all that its predecessor kept and returns the columns of docume
 digest of each document).  ``run`` writes every stage's result as Parquet in the shared folder and reads it
 again, so a lost executor never reaches back beyond one stage.
 
-Rows that repeat an id are one document to the filters that join by id: it stays if one of its rows stays.
+Null and empty texts leave in the first stage; very long texts are whole in every stage; rows that repeat an id
+with different texts are documents of their own, but for the near copies; an empty table runs through and gives no
+rows.  Further columns, whatever they are called, come along up to the last stage.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,30 +20,34 @@ from pyspark.sql import functions as F
 from latticework.llm import bpe, common, decontaminate, exact_dedup, jaccard_join, language_id
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose ids (null too) are among ``kept``."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and those without a letter."""
+    """Drops documents of no language: null texts and those without a letter.  Where ``lang`` is null, the language
+    that was found takes its place."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.predict(docs, model, carry=True).where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    found = language_id.predict(docs, model, carry=True).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest id; of rows that repeat both
-    id and text, one."""
-    kept = _keep(docs, exact_dedup.exact_dedup(docs).where("kept"))
-    again = Window.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy(F.lit(1))
-    return kept.select("*", F.row_number().over(again).alias("__again")).where("__again = 1").drop("__again")
+    id and text, one.  A null id stays only in a group without any other id."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    kept = common.cut(kept, "kept")
+    # By id and text, for rows without an id and rows that repeat one.
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (exact_dedup.text_digest(docs["text"]) == kept["kept_text"])
+    if kept.where("kept_rows > 1").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    found, row = docs.join(kept, same), f"row_{uuid.uuid4().hex}"
+    again = Window.partitionBy("kept_id", "kept_text").orderBy("text")
+    return found.withColumn(row, F.row_number().over(again)).where(F.col(row) == 1).select(*(docs[c] for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest id."""
+    """One document of each component of near copies stays, the one with the smallest id.  Rows that repeat an id
+    are one document to this filter (as are those without one): it stays if one of its rows stays."""
     found = jaccard_join.jaccard_join(docs)
-    return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path).drop("text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
