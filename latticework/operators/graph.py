@@ -11,6 +11,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import before
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
@@ -94,5 +96,4 @@ def carve_validation(sizes: DataFrame, fraction: float) -> DataFrame:
     """GR20: the components, smallest first, taken while the sum before is under fraction of the whole.
     sizes: component, n."""
     target = F.floor(F.lit(fraction) * sizes.agg(F.sum("n")).first()[0])
-    by = Window.orderBy("n", "component").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0))).where(F.col("before") < target).drop("before")
+    return before(sizes, ["n", "component"], "before", "n").where(F.col("before") < target).drop("before")

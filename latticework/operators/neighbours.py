@@ -1,45 +1,108 @@
-"""Nearest-neighbour retrieval on embeddings.
+"""Nearest-neighbour retrieval on embeddings: exact, in Arrow batches with numpy distances.
 
-Vectors: id, v (array<double>).  A pair's key for ties is (distance, id).  The reference side is dealt in
-blocks: each block keeps its k best per query before the results meet, so no task sees all references of a
-query and what is shuffled is k rows per query and block.  ``broadcast`` is used only for a query or reference
-side whose row count was checked.
+Vectors: id, v (array<double>, all of one length; rows with a null vector are left out).  Ties go to the smaller
+id.  A side whose bytes were counted and are few goes to every task as one matrix and the other side streams past
+it; else both sides are dealt into blocks of bounded size, and each pair of blocks is one group.  Either way a block
+of references keeps its k best of each query before results meet, so no task sees all references of a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance_n
-
-#: Rows of a side that may be broadcast, and blocks of the other way.
-BROADCAST_ROWS, BLOCKS = 20_000, 16
-
-
-def _small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def pair_distances(queries: DataFrame, refs: DataFrame, leave_self: bool = False) -> DataFrame:
-    """q, id, d and the reference's other columns, for every query against all references.
-
-    A small side goes to all tasks; where neither side is small, both are replicated over a grid of blocks.
+from .ordered import before
+
+#: Bytes of vectors that may be broadcast, rows of a block of the grid, rows of a batch that are compared at once.
+BROADCAST_BYTES, BLOCK_ROWS, BATCH_ROWS = 64 << 20, 8192, 4096
+_FOUND = "q long, id long, d double"
+
+
+def _matrix(ids: pa.Array, v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 1)
+
+
+def _best(q: np.ndarray, qv: np.ndarray, above: np.ndarray | None, r: np.ndarray, rv: np.ndarray, k: int, leave_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, reference, distance) of the k nearest references in a block for each query."""
+    at, ids, far = [], [], []
+    for n in range(len(q)):
+        d = np.sqrt(((rv - qv[n]) ** 2).sum(axis=1))
+        ok = np.ones(len(d), bool)
+        if leave_self:
+            ok &= r != q[n]
+        if above is not None:
+            ok &= d > above[n]
+        c = np.flatnonzero(ok)
+        if len(c) > k:
+            c = c[d[c] <= np.partition(d[c], k - 1)[k - 1]]
+        c = c[np.lexsort((r[c], d[c]))][:k]
+        at.append(np.full(len(c), q[n]))
+        ids.append(r[c])
+        far.append(d[c])
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (at, ids, far))
+
+
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of the vectors."""
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    return n, 8 * b
+
+
+def _compared(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool, above: str | None) -> DataFrame:
+    floor = F.col(above).cast("double") if above else F.lit(None).cast("double")
+    q = queries.where("v is not null").select(F.col("id").cast("long").alias("id"), "v", floor.alias("above"))
+    r = refs.where("v is not null").select(F.col("id").cast("long").alias("id"), "v", F.lit(None).cast("double").alias("above"))
+    (nq, bq), (nr, br) = _size(q), _size(r)
+    sc = queries.sparkSession.sparkContext
+    if min(bq, br) <= BROADCAST_BYTES:
+        few_queries = bq <= br
+        small = (q if few_queries else r).toArrow().combine_chunks()
+        one = lambda c: small.column(c).combine_chunks() if small.num_rows else pa.array([], small.schema.field(c).type)
+        sent = sc.broadcast((*_matrix(one("id"), one("v")), one("above").to_numpy(zero_copy_only=False)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, v, top = sent.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, BATCH_ROWS):
+                    b = batch.slice(lo, BATCH_ROWS)
+                    own, ov = _matrix(b.column("id"), b.column("v"))
+                    if not len(ids) or not len(own):
+                        continue
+                    if few_queries:
+                        got = _best(ids, v, top if above else None, own, ov, k, leave_self)
+                    else:
+                        got = _best(own, ov, b.column("above").to_numpy(zero_copy_only=False) if above else None, ids, v, k, leave_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["q", "id", "d"])
+
+        return (r if few_queries else q).mapInArrow(run, _FOUND)
+    rows, cols = -(-nq // BLOCK_ROWS), -(-nr // BLOCK_ROWS)
+    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64"})
+        got = _best(a["id"].to_numpy(), np.stack(a["v"]), a["above"].to_numpy() if above else None, b["id"].to_numpy(), np.stack(b["v"]), k, leave_self)
+        return pd.DataFrame(dict(zip(["q", "id", "d"], got, strict=True))).astype({"q": "int64", "id": "int64"})
+
+    left, right = deal(q, "block_q", rows, "block_r", cols), deal(r, "block_r", cols, "block_q", rows)
+    return left.groupBy("block_q", "block_r").cogroup(right.groupBy("block_q", "block_r")).applyInPandas(block, _FOUND)
+
+
+def nearest(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = False, above: str | None = None) -> DataFrame:
+    """q, id, d, rank (1 to k, by distance and id) and the reference's other columns, for each query.
+
+    ``leave_self`` leaves out references with the query's id; ``above`` names a column of the queries: only
+    references farther than it count.
     """
-    q = queries.select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    if _small(q):
-        both = refs.join(F.broadcast(q), F.lit(True))
-    elif _small(refs):
-        both = q.join(F.broadcast(refs), F.lit(True))
-    else:
-        every = F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))
-        rows = q.withColumn("br", F.pmod(F.xxhash64("q"), F.lit(BLOCKS))).withColumn("bc", F.explode(every))
-        cols = refs.withColumn("bc", F.pmod(F.xxhash64("id"), F.lit(BLOCKS))).withColumn("br", F.explode(every))
-        both = rows.join(cols, ["br", "bc"])
-    if leave_self:
-        both = both.where(F.col("q") != F.col("id"))
+    top = top_k(_compared(queries, refs, k, leave_self, above), k)
     keep = [c for c in refs.columns if c not in ("id", "v")]
-    return both.select("q", "id", distance_n("qv", "v").alias("d"), *keep)
+    return top.join(refs.select("id", *keep), "id").select("q", "id", "d", "rank", *keep)
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -68,13 +131,11 @@ def mean_vector(vectors: DataFrame, *keys: str) -> DataFrame:
 
 
 def percentile_below(scores: DataFrame, value: str, calibration: DataFrame, x: str) -> DataFrame:
-    """KN5's percentile: the share of calibration values strictly below each score, as an array lookup in the
-    calibration's quantile histogram: values are counted once per distinct value, and a running sum over the
-    distinct values gives every score its place by an as-of match on the union of both sides."""
+    """KN5's percentile: the share of calibration values strictly below each score.  Values are counted once per
+    distinct value, and a running sum over the distinct values of both sides gives every score its place."""
     total = F.lit(calibration.where(F.col(x).isNotNull()).count())
     asked = scores.select(F.col(value).alias("__v")).where("__v is not null").distinct().withColumn("__n", F.lit(0))
     known = calibration.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     merged = asked.unionByName(known).groupBy("__v").agg(F.sum("__n").alias("__n"))
-    running = F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1))
-    below = merged.select("__v", (F.coalesce(running, F.lit(0)) / total).alias("percentile"))
+    below = before(merged, ["__v"], "__below", "__n").select("__v", (F.col("__below") / total).alias("percentile"))
     return scores.join(below, F.col(value) == F.col("__v"), "left").drop("__v")

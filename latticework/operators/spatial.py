@@ -48,10 +48,12 @@ def canonical_donors(atoms: DataFrame, sites: DataFrame, donors: dict[str, tuple
     return with_nearest_site(atoms.where(ok), sites, "sid", "idx").where(F.col("d") <= limit)
 
 
-def pose_metrics(ligand: DataFrame, protein: DataFrame, reach: float = 30.0) -> DataFrame:
+def pose_metrics(ligand: DataFrame, protein: DataFrame) -> DataFrame:
     """GE10: per structure the shares of ligand atoms that clash (< 1.5) and touch (<= 4.5), and the least
-    distance.  ligand: sid, lig, x, y, z; both sides heavy atoms only."""
-    near = range_join(ligand, protein.select("sid", *"xyz"), reach).groupBy("sid", "lig").agg(F.min("d").alias("d"))
+    distance, however far.  ligand: sid, lig, x, y, z; both sides heavy atoms only.  (The least distance needs every
+    pair of a structure's atoms, so there is no grid: they meet by structure and leave each task as one minimum.)"""
+    other = protein.select("sid", *(F.col(c).alias(f"__p{c}") for c in "xyz"))
+    near = ligand.join(other, "sid").groupBy("sid", "lig").agg(F.min(distance(point(), point("__p"))).alias("d"))
     every = ligand.select("sid", "lig").join(near, ["sid", "lig"], "left")
     one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return every.groupBy("sid").agg(

@@ -76,19 +76,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, v (array of doubles), part (query or train), label, seed."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
-        F.col("vec_id").alias("id"), F.transform("embedding", lambda z: z.cast("double")).alias("v"), F.when(F.col("vec_id") % 20 == 0, "query").otherwise("train").alias("part"),
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda z: z.cast("double")).alias("v"), F.when(F.col("vec_id") % 5 == 0, "query").otherwise("train").alias("part"),
         F.when(F.col("label") % 3 == 0, "positive").otherwise("negative").alias("label"), F.concat(F.lit("fam"), F.col("label")).alias("family"),
     )
 
 
 VEC_SQL = """vec AS (
-  SELECT vec_id AS id, list_transform(embedding, lambda z: z::DOUBLE) AS v, CASE WHEN vec_id % 20 = 0 THEN 'query' ELSE 'train' END AS part,
+  SELECT vec_id AS id, list_transform(embedding, lambda z: z::DOUBLE) AS v, CASE WHEN vec_id % 5 = 0 THEN 'query' ELSE 'train' END AS part,
     CASE WHEN label % 3 = 0 THEN 'positive' ELSE 'negative' END AS label, 'fam' || label AS family FROM embeddings)"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b, identity, coverage, tm: customers and suppliers of orders as similarity pairs between parts."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 400).alias("part"), "l_quantity", "l_discount", "l_tax")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), "l_quantity", "l_discount", "l_tax")
     a = li.select("l_orderkey", F.col("part").alias("a"), F.col("l_quantity").alias("qa"), F.col("l_discount").alias("da"), F.col("l_tax").alias("ta"))
     b = li.select("l_orderkey", F.col("part").alias("b"), F.col("l_quantity").alias("qb"), F.col("l_discount").alias("db"), F.col("l_tax").alias("tb"))
     both = a.join(b, "l_orderkey").where("a < b")
@@ -99,8 +99,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIR_SQL = """pair AS (
   SELECT a, b, max(least(qa, qb) / greatest(qa, qb)) AS identity, max(1 - abs(da - db) * 5) AS coverage, max(1 - abs(ta - tb) * 10) AS tm
-  FROM (SELECT l_orderkey, l_partkey % 400 AS a, l_quantity AS qa, l_discount AS da, l_tax AS ta FROM lineitem)
-  JOIN (SELECT l_orderkey, l_partkey % 400 AS b, l_quantity AS qb, l_discount AS db, l_tax AS tb FROM lineitem) USING (l_orderkey)
+  FROM (SELECT l_orderkey, l_partkey AS a, l_quantity AS qa, l_discount AS da, l_tax AS ta FROM lineitem)
+  JOIN (SELECT l_orderkey, l_partkey AS b, l_quantity AS qb, l_discount AS db, l_tax AS tb FROM lineitem) USING (l_orderkey)
   WHERE a < b GROUP BY a, b)"""
 
 

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators.ordered import sorted_digest
 from ..plans.views import PAIR_SQL, pairs, table
 
-ID, COV = 0.93, 0.95
+#: Least identity and coverage of an edge; thresholds of the sweep, whose edges need full coverage.
+ID, COV = 0.98, 0.95
+SWEEP, SWEEP_COV = (0.94, 0.96, 0.98, 1.0), 0.999
 
 
 def _ids(spark, d):
     p = table(spark, d, "part")
-    return p.select((F.col("p_partkey") % 400).alias("id"), "p_brand", "p_type", "p_size").groupBy("id").agg(F.min("p_brand").alias("label"), F.min("p_type").alias("family"), F.max("p_size").alias("size"))
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.col("p_type").alias("family"), F.col("p_size").alias("size"))
 
 
 def _edges(spark, d, identity=ID):
-    return pairs(spark, d).where((F.col("identity") >= identity) & (F.col("coverage") >= COV) & ((F.col("a") + F.col("b")) % 7 == 0) & (F.col("b") - F.col("a") < 60))
+    return pairs(spark, d).where((F.col("identity") >= identity) & (F.col("coverage") >= COV))
 
 
 def _labelled(spark, d):
@@ -37,8 +40,7 @@ def gr3(spark, d):
 
 
 def gr4(spark, d):
-    e = pairs(spark, d).where(((F.col("a") + F.col("b")) % 7 == 0) & (F.col("b") - F.col("a") < 60))
-    return g.threshold_sweep(_ids(spark, d), e, (0.90, 0.93, 0.96, 1.0), COV)
+    return g.threshold_sweep(_ids(spark, d), pairs(spark, d), SWEEP, SWEEP_COV)
 
 
 def gr5(spark, d):
@@ -145,8 +147,8 @@ def gr21(spark, d):
 def gr23(spark, d):
     """Directory hash: names and file hashes in order, with count and bytes; a source is a directory."""
     x = table(spark, d, "documents").select("source", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("e"), "doc_id", F.octet_length("text").alias("b"))
-    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "e"))), lambda s: s["e"]), "\n")
-    return x.groupBy("source").agg(F.sha2(one, 256).alias("digest"), F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes"))
+    sums = x.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes"))
+    return sorted_digest(x, "source", ["doc_id"], "e", "\n").join(sums, "source")
 
 
 def gr24(spark, d):
@@ -156,7 +158,7 @@ def gr24(spark, d):
 def gr25(spark, d):
     """Content hash that does not depend on row or column order of the container."""
     c = table(spark, d, "customer").select(F.col("c_nationkey"), F.concat_ws("|", F.lit("c_custkey"), "c_custkey", F.lit("c_mktsegment"), "c_mktsegment").alias("r"))
-    return c.groupBy("c_nationkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("r")), "\n"), 256).alias("digest"))
+    return sorted_digest(c, "c_nationkey", ["r"], "r", "\n")
 
 
 def gr26(spark, d):
@@ -171,8 +173,8 @@ QUERIES = {
     "gr25_content_hash": gr25, "gr26_fold_pivot": gr26,
 }
 
-_IDS = "ids AS (SELECT p_partkey % 400 AS id, min(p_brand) AS label, min(p_type) AS family, max(p_size) AS size FROM part GROUP BY 1)"
-_E = f"ed AS MATERIALIZED (SELECT a, b FROM pair WHERE identity >= {ID} AND coverage >= {COV} AND (a + b) % 7 = 0 AND b - a < 60)"
+_IDS = "ids AS (SELECT p_partkey AS id, p_brand AS label, p_type AS family, p_size AS size FROM part)"
+_E = f"ed AS MATERIALIZED (SELECT a, b FROM pair WHERE identity >= {ID} AND coverage >= {COV})"
 _C = "ud AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT id AS node, id AS r FROM ids UNION SELECT reach.node, ud.b FROM reach JOIN ud ON ud.a = reach.r), comp AS MATERIALIZED (SELECT node AS id, min(r) AS component FROM reach GROUP BY node), m AS (SELECT * FROM comp JOIN ids USING (id))"
 _B = f"WITH RECURSIVE {PAIR_SQL}, {_IDS}, {_E}, {_C}"
 _G13 = f"{PAIR_SQL}, {_IDS}, bp AS (SELECT a, b, identity, coverage FROM pair UNION ALL SELECT b, a, identity, coverage FROM pair), bm AS (SELECT ids.id, coalesce(max(identity), 0) AS best, arg_min(b, (-identity, b)) AS nearest FROM ids LEFT JOIN bp ON bp.a = ids.id AND coverage >= 0.9 AND b % 5 <> 0 AND b IN (SELECT id FROM ids) AND identity > 0 WHERE ids.id % 5 = 0 GROUP BY ids.id)"
@@ -181,7 +183,7 @@ ORACLE_SQL = {
     "gr1_sequence_edges": f"WITH {PAIR_SQL} SELECT a % 20 AS k, count(*) AS n, round(avg(identity), 6) AS mean FROM pair WHERE identity >= 0.3 AND coverage >= 0.8 GROUP BY 1",
     "gr2_structure_edges": f"WITH {PAIR_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE tm >= 0.65) AS n_redundant FROM pair WHERE tm >= 0.5 AND coverage >= 0.8",
     "gr3_components": f"{_B} SELECT id, component FROM comp",
-    "gr4_threshold_sweep": f"""WITH RECURSIVE {PAIR_SQL}, {_IDS}, t AS (SELECT unnest([0.90, 0.93, 0.96, 1.0]::DOUBLE[]) AS t), ed AS MATERIALIZED (SELECT t, a, b FROM pair, t WHERE identity >= t AND coverage >= {COV} AND (a + b) % 7 = 0 AND b - a < 60 AND a IN (SELECT id FROM ids) AND b IN (SELECT id FROM ids)),
+    "gr4_threshold_sweep": f"""WITH RECURSIVE {PAIR_SQL}, {_IDS}, t AS (SELECT unnest({list(SWEEP)}::DOUBLE[]) AS t), ed AS MATERIALIZED (SELECT t, a, b FROM pair, t WHERE identity >= t AND coverage >= {SWEEP_COV} AND a IN (SELECT id FROM ids) AND b IN (SELECT id FROM ids)),
       ud AS (SELECT t, a, b FROM ed UNION SELECT t, b, a FROM ed), reach AS (SELECT t, id AS node, id AS r FROM ids, t UNION SELECT reach.t, reach.node, ud.b FROM reach JOIN ud ON ud.a = reach.r AND ud.t = reach.t),
       c AS (SELECT t, node, min(r) AS c FROM reach GROUP BY ALL), s AS (SELECT t, c, count(*) AS n FROM c GROUP BY ALL) SELECT t AS threshold, count(*) AS n_components, max(n) AS largest FROM s GROUP BY t""",
     "gr5_composition": f"{_B} SELECT component, count(*) AS n, count(DISTINCT label) AS n_labels, count(DISTINCT family) AS n_families, max(size) AS largest, min(id) AS first FROM m GROUP BY component",

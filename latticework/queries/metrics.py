@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..operators import neighbours as nn
+from ..operators.ordered import upper_median
 from ..plans.views import CALL_SQL, calls, table
 
 
@@ -70,9 +71,8 @@ def mt11(spark, d):
 
 
 def mt12(spark, d):
-    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.sort_array(F.collect_list("o_totalprice")).alias("l"))
-    mid = F.element_at("l", (F.size("l") / 2).cast("int") + 1)
-    return o.select("o_orderpriority", F.round(mid, 2).alias("upper_median"), (mid < 150000).alias("accepted"))
+    mid = F.col("upper_median")
+    return upper_median(table(spark, d, "orders"), "o_orderpriority", "o_totalprice").select("o_orderpriority", F.round(mid, 2).alias("upper_median"), (mid < 150000).alias("accepted"))
 
 
 def mt14(spark, d):
@@ -90,8 +90,8 @@ def mt21(spark, d):
 
 
 def mt22(spark, d):
-    p = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("min"), F.max("p_retailprice").alias("max"), F.round(F.avg("p_retailprice"), 6).alias("mean"), F.round(F.stddev_pop("p_retailprice"), 6).alias("std"), F.sort_array(F.collect_list("p_retailprice")).alias("l"))
-    return p.select("p_type", "n", "min", "max", "mean", "std", F.element_at("l", (F.size("l") / 2).cast("int") + 1).alias("upper_median"))
+    p = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("min"), F.max("p_retailprice").alias("max"), F.round(F.avg("p_retailprice"), 6).alias("mean"), F.round(F.stddev_pop("p_retailprice"), 6).alias("std"))
+    return p.join(upper_median(table(spark, d, "part"), "p_type", "p_retailprice"), "p_type")
 
 
 def gb4(spark, d):

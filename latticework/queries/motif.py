@@ -78,7 +78,7 @@ def ge2(spark, d):
 
 
 def mt15(spark, d):
-    return motif.inventory(donors(spark, d).where("idx % 3 < 2"))
+    return motif.inventory(donors(spark, d))
 
 
 def mt16(spark, d):
@@ -130,6 +130,6 @@ ORACLE_SQL = {
       SELECT tolerance::DOUBLE AS tolerance, count(*) FILTER (WHERE rmsd <= tolerance) AS n_called, count(*) AS n FROM base LEFT JOIN best USING (sid), (VALUES (1.0), (1.25), (1.5), (1.75), (2.0)) AS t(tolerance) GROUP BY tolerance""",
     "mt15_donor_inventory": f"""WITH {ATOM_SQL} SELECT *, n_his_res >= 4 AND n_asp_res >= 1 AND n_cys_res >= 1 AS complete FROM (
       SELECT sid, count(DISTINCT CASE WHEN role = 'HIS_N' THEN idx END) AS n_his_res, count(DISTINCT CASE WHEN role = 'ASP_O' THEN idx END) AS n_asp_res, count(DISTINCT CASE WHEN role = 'CYS_S' THEN idx END) AS n_cys_res
-      FROM atom WHERE idx % 3 < 2 GROUP BY sid)""",
+      FROM atom GROUP BY sid)""",
     "mt16_both_sites": f"WITH {ATOM_SQL}, {_TRIADS} SELECT sid, sid IN (SELECT sid FROM m) AND sid IN (SELECT sid FROM h) AS both_sites FROM (SELECT DISTINCT sid FROM atom)",
 }

@@ -18,7 +18,7 @@ def _split(spark, d):
 
 def _near(spark, d, k=K):
     q, t = _split(spark, d)
-    return nn.top_k(nn.pair_distances(q, t), k)
+    return nn.nearest(q, t, k)
 
 
 def kn1(spark, d):
@@ -47,8 +47,7 @@ def kn4(spark, d):
 
 def _calibration(spark, d):
     _, t = _split(spark, d)
-    t = t.where("id % 4 = 1")
-    return nn.pair_distances(t, t, leave_self=True).groupBy("q").agg(F.min("d").alias("c"))
+    return nn.nearest(t.select("id", "v"), t.select("id", "v"), 1, leave_self=True).select("q", F.col("d").alias("c"))
 
 
 def kn5(spark, d):
@@ -65,14 +64,13 @@ def kn6(spark, d):
 
 def kn7(spark, d):
     _, t = _split(spark, d)
-    t = t.where("id % 4 = 1")
-    return nn.majority(nn.top_k(nn.pair_distances(t, t, leave_self=True), K), "q").select(F.col("q").alias("id"), "pred")
+    return nn.majority(nn.nearest(t, t, K, leave_self=True), "q").select(F.col("q").alias("id"), "pred")
 
 
 def kn8(spark, d):
     """Recall at 1, 5, 10 and 20 from the rank of the first other positive."""
-    v = vectors(spark, d).where("id % 4 = 1")
-    near = nn.top_k(nn.pair_distances(v.where("label = 'positive'"), v, leave_self=True), 20)
+    v = vectors(spark, d)
+    near = nn.nearest(v.where("label = 'positive'"), v, 20, leave_self=True)
     first = near.groupBy("q").agg(F.min(F.when(F.col("label") == "positive", F.col("rank"))).alias("r"))
     return first.agg(*(F.round(F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("int")), 6).alias(f"recall{k}") for k in (1, 5, 10, 20)))
 
@@ -90,13 +88,13 @@ def kn9(spark, d):
 def kn10(spark, d):
     q, t = _split(spark, d)
     proto = nn.mean_vector(t).select(F.col("v").alias("p"))
-    near = nn.pair_distances(q, t).groupBy("q").agg(F.min("d").alias("nearest"))
+    near = nn.nearest(q, t, 1).select("q", F.col("d").alias("nearest"))
     out = q.join(F.broadcast(proto), F.lit(True)).select(F.col("id").alias("q"), distance_n("v", "p").alias("to_mean"))
     return near.join(out, "q").select(F.col("q").alias("id"), F.round("nearest", 6).alias("nearest"), F.round("to_mean", 6).alias("to_mean"))
 
 
 def kn11(spark, d):
-    n = nn.pair_distances(*_split(spark, d)).groupBy("q").agg(F.min("d").alias("n"))
+    n = nn.nearest(*_split(spark, d), 1).select("q", F.col("d").alias("n"))
     band = F.when(F.col("n") < 0.15, "near_duplicate").when(F.col("n") > 0.55, "too_divergent").otherwise("novelty_band")
     return n.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -119,7 +117,7 @@ def kn13(spark, d):
 def kn14(spark, d):
     """Standardised prototypes by family; features below -0.2 are missing; root mean square over jointly valid
     features, at least three of them."""
-    v = vectors(spark, d).select("id", "part", "family", F.posexplode(F.slice("v", 1, 8)).alias("f", "x")).withColumn("x", F.when(F.col("x") >= -0.2, F.col("x")))
+    v = vectors(spark, d).select("id", "part", "family", F.posexplode("v").alias("f", "x")).withColumn("x", F.when(F.col("x") >= -0.2, F.col("x")))
     s = v.where("part = 'train'").groupBy("f").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     z = v.join(F.broadcast(s), "f").select("id", "part", "family", "f", ((F.col("x") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("z"))
     proto = z.where("part = 'train'").groupBy("family", "f").agg(F.avg("z").alias("p"))
@@ -129,7 +127,7 @@ def kn14(spark, d):
 
 
 def kn15(spark, d):
-    v = vectors(spark, d).where("id % 3 = 0")
+    v = vectors(spark, d)
     return nn.mean_vector(v, "family").select("family", F.round(F.element_at("v", 1), 6).alias("x1"), F.round(F.element_at("v", 64), 6).alias("x64"), F.size("v").alias("n"))
 
 
@@ -172,7 +170,7 @@ def kn21(spark, d):
 def kn22(spark, d):
     """Greatest similarity to known items: 0 without a hit, null where the search failed."""
     q, t = _split(spark, d)
-    hits = nn.pair_distances(q.where("id % 3 <> 0"), t).select("q", (1 / (1 + F.col("d"))).alias("tm")).where("tm > 0.5").groupBy("q").agg(F.max("tm").alias("tm"))
+    hits = nn.nearest(q.where("id % 3 <> 0"), t, 1).select("q", (1 / (1 + F.col("d"))).alias("tm")).where("tm > 0.5")
     j = q.select(F.col("id").alias("q")).join(hits, "q", "left")
     return j.select(F.col("q").alias("id"), F.when(F.col("q") % 40 != 0, F.round(F.coalesce("tm", F.lit(0.0)), 6)).alias("max_tm"))
 
@@ -196,7 +194,7 @@ QUERIES = {
 _P = f"""{VEC_SQL}, pr AS (SELECT q.id AS q, t.id, t.label, t.family, list_distance(q.v, t.v) AS d FROM vec q, vec t WHERE q.part = 'query' AND t.part = 'train'),
   rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM pr)"""
 _V = "vt AS (SELECT q, label, count(*) AS n, min(r) AS f FROM rk WHERE r <= 5 GROUP BY ALL), pd AS (SELECT q, arg_max(label, (n, -f)) AS pred FROM vt GROUP BY q)"
-_L = f"{VEC_SQL}, lv AS (SELECT * FROM vec WHERE id % 4 = 1), ltr AS (SELECT * FROM lv WHERE part = 'train'), lo AS (SELECT a.id AS q, b.id, b.label, list_distance(a.v, b.v) AS d FROM ltr a, ltr b WHERE a.id <> b.id)"
+_L = f"{VEC_SQL}, lv AS (SELECT * FROM vec), ltr AS (SELECT * FROM lv WHERE part = 'train'), lo AS (SELECT a.id AS q, b.id, b.label, list_distance(a.v, b.v) AS d FROM ltr a, ltr b WHERE a.id <> b.id)"
 _SEED = "sd AS (SELECT vec_id AS id, label, k - 1 AS seed, CASE WHEN embedding[k]::DOUBLE > 0 THEN 'positive' WHEN (vec_id + k) % 9 = 0 THEN NULL ELSE 'negative' END AS pred FROM embeddings, unnest(range(1, 7)) AS t(k))"
 _MEAN = "(SELECT list(m ORDER BY p) FROM (SELECT p, avg(x) AS m FROM (SELECT unnest(v) AS x, unnest(range(1, len(v) + 1)) AS p FROM vec WHERE {w}) GROUP BY p))"
 ORACLE_SQL = {
@@ -206,12 +204,12 @@ ORACLE_SQL = {
       count(*) FILTER (WHERE label = 'positive' AND pred <> 'positive') AS fn FROM pd JOIN vec ON vec.id = q)
       SELECT tp, tn, fp, fn, round(tp / greatest(tp + fn, 1), 6) AS sensitivity, round(tn / greatest(tn + fp, 1), 6) AS specificity, round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 6) AS balanced_accuracy FROM c""",
     "kn4_knn_fraction": f"WITH {_P} SELECT q AS id, round(avg((label = 'positive')::INT), 6) AS fraction, round(min(d), 6) AS nearest, CASE WHEN avg((label = 'positive')::INT) > 0.5 THEN 'positive' ELSE 'negative' END AS pred FROM rk WHERE r <= 6 GROUP BY q",
-    "kn5_retrieval": f"""WITH {_P}, ltr AS (SELECT * FROM vec WHERE part = 'train' AND id % 4 = 1), cal AS (SELECT a.id, min(list_distance(a.v, b.v)) AS c FROM ltr a, ltr b WHERE a.id <> b.id GROUP BY a.id),
+    "kn5_retrieval": f"""WITH {_P}, ltr AS (SELECT * FROM vec WHERE part = 'train'), cal AS (SELECT a.id, min(list_distance(a.v, b.v)) AS c FROM ltr a, ltr b WHERE a.id <> b.id GROUP BY a.id),
       g AS (SELECT q, avg((label = 'positive')::INT) AS f, min(d) AS n, string_agg(id::VARCHAR, ',' ORDER BY r) AS neighbours FROM rk WHERE r <= 5 GROUP BY q)
       SELECT q AS id, CASE WHEN f > 0.5 THEN 'positive' ELSE 'negative' END AS pred, round(n, 4) AS nearest, round((SELECT count(*) FILTER (WHERE c < n) / count(*) FROM cal), 4) AS percentile, neighbours FROM g""",
     "kn6_calibration": f"WITH {_L} SELECT q AS id, round(min(d), 6) AS nearest FROM lo GROUP BY q",
     "kn7_leave_one_out": f"WITH {_L}, rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM lo), {_V} SELECT q AS id, pred FROM pd",
-    "kn8_recall_at_k": f"""WITH {VEC_SQL}, lv AS (SELECT * FROM vec WHERE id % 4 = 1), rk AS (SELECT a.id AS q, b.label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r FROM lv a, lv b WHERE a.id <> b.id AND a.label = 'positive'),
+    "kn8_recall_at_k": f"""WITH {VEC_SQL}, lv AS (SELECT * FROM vec), rk AS (SELECT a.id AS q, b.label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r FROM lv a, lv b WHERE a.id <> b.id AND a.label = 'positive'),
       f AS (SELECT q, min(r) FILTER (WHERE label = 'positive') AS r FROM rk WHERE r <= 20 GROUP BY q) SELECT {", ".join(f"round(avg(coalesce(r <= {k}, false)::INT), 6) AS recall{k}" for k in (1, 5, 10, 20))} FROM f""",
     "kn9_prototype": f"""WITH {VEC_SQL}, p AS (SELECT {_MEAN.format(w="part = 'train' AND label = 'positive'")} AS p), n AS (SELECT list_distance(v, p) AS c FROM vec, p WHERE part = 'train' AND label = 'negative')
       SELECT id, round(list_distance(v, p), 6) AS distance, round(100 * (SELECT count(*) FILTER (WHERE c < list_distance(v, p)) / count(*) FROM n), 4) AS percentile FROM vec, p WHERE part = 'query'""",
@@ -220,11 +218,11 @@ ORACLE_SQL = {
     "kn12_ranking": "SELECT vec_id AS id, round(abs(embedding[1]::DOUBLE), 6) AS score, abs(embedding[1]::DOUBLE) > 0.3 AS strong FROM embeddings ORDER BY abs(embedding[1]::DOUBLE) DESC, vec_id LIMIT 25",
     "kn13_nearest_centroid": f"""WITH {VEC_SQL}, c AS (SELECT 'positive' AS label, {_MEAN.format(w="part = 'train' AND label = 'positive'")} AS c UNION ALL SELECT 'negative', {_MEAN.format(w="part = 'train' AND label = 'negative'")})
       SELECT id, arg_min(c.label, (list_distance(v, c), c.label)) AS pred FROM vec, c WHERE part = 'query' GROUP BY id""",
-    "kn14_nan_prototypes": f"""WITH {VEC_SQL}, x AS (SELECT id, part, family, f, CASE WHEN v[f] >= -0.2 THEN v[f] END AS x FROM vec, unnest(range(1, 9)) AS t(f)), s AS (SELECT f, avg(x) AS m, stddev_pop(x) AS s FROM x WHERE part = 'train' GROUP BY f),
+    "kn14_nan_prototypes": f"""WITH {VEC_SQL}, x AS (SELECT id, part, family, f, CASE WHEN v[f] >= -0.2 THEN v[f] END AS x FROM vec, unnest(range(1, 65)) AS t(f)), s AS (SELECT f, avg(x) AS m, stddev_pop(x) AS s FROM x WHERE part = 'train' GROUP BY f),
       z AS (SELECT id, part, family, f, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM x JOIN s USING (f)), p AS (SELECT family, f, avg(z) AS p FROM z WHERE part = 'train' GROUP BY ALL),
       g AS (SELECT id, p.family, sqrt(avg((z - p) * (z - p))) AS d FROM z JOIN p USING (f) WHERE part = 'query' AND z IS NOT NULL AND p IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
       SELECT id, arg_min(family, (round(d, 9), family)) AS family, round(min(d), 5) AS distance FROM g GROUP BY id""",
-    "kn15_pooled": f"WITH {VEC_SQL} SELECT family, round(avg(v[1]), 6) AS x1, round(avg(v[64]), 6) AS x64, 64 AS n FROM vec WHERE id % 3 = 0 GROUP BY family",
+    "kn15_pooled": f"WITH {VEC_SQL} SELECT family, round(avg(v[1]), 6) AS x1, round(avg(v[64]), 6) AS x64, 64 AS n FROM vec GROUP BY family",
     "kn16_ensemble": f"WITH {VEC_SQL}, s AS (SELECT id // 4 AS g, p, avg(v[p]) AS m, var_pop(v[p]) AS v FROM vec, unnest(range(1, 65)) AS t(p) GROUP BY ALL) SELECT g, round(avg(m), 6) AS mean, round(avg(v), 6) AS variance FROM s GROUP BY g",
     "kn17_seed_vote": f"WITH {_SEED}, n AS (SELECT id, pred, count(*) AS n, min(seed) AS f FROM sd WHERE pred IS NOT NULL GROUP BY ALL) SELECT id, arg_max(pred, (n, -f)) AS pred FROM n GROUP BY id",
     "kn18_seed_metrics": f"WITH {_SEED}, a AS (SELECT seed, avg(((pred = 'positive') = (label % 3 = 0))::INT) AS a FROM sd WHERE pred IS NOT NULL GROUP BY seed) SELECT round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std, string_agg(printf('%.4f', round(a, 4)), ' ' ORDER BY seed) AS per_seed FROM a",

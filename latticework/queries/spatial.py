@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import angle_degrees, bond_valence, distance, distance_n, point
 from ..operators import spatial
+from ..operators.ordered import upper_median
 from ..operators.motif import DONORS
 from ..plans.views import ATOM_SQL, SITE_SQL, STRUCT_SQL, atoms, sites, structures, table
 
@@ -149,11 +150,11 @@ def ge35(spark, d):
 
 def ge36(spark, d):
     """Zinc coordination: N, O, S atoms nearer than 2.5, the two scores and the verdict."""
-    near = spatial.with_nearest_site(atoms(spark, d).where("element in ('N', 'O', 'S')"), sites(spark, d), "sid", "idx").where("d < 3.5")
-    n = near.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"))
+    near = spatial.with_nearest_site(atoms(spark, d).where("element in ('N', 'O', 'S')"), sites(spark, d), "sid", "idx").where("d < 2.5")
+    n = near.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("d") - 2.1)).alias("off"))
     j = structures(spark, d).select("sid").join(n, "sid", "left").fillna(0, ["n"])
     cn = F.when(F.col("n").between(3, 5), 1.0).when(F.col("n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 0.25 * F.abs(F.col("n") - 4)))
-    dist = F.when(F.col("n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("mean") - 2.1)))
+    dist = F.when(F.col("n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("off") / 0.4))
     return j.select("sid", "n", F.round(0.5 * cn + 0.5 * dist, 6).alias("score"), ((0.5 * cn + 0.5 * dist) > 0.5).alias("valid"))
 
 
@@ -176,8 +177,9 @@ def ge40(spark, d):
     """Site localisation: predicted (site) against real (atoms 18 and 19); upper median and maximum."""
     real = atoms(spark, d).where("idx in (18, 19)").select("sid", *(F.col(c).alias(f"r{c}") for c in "xyz"))
     e = sites(spark, d).join(real, "sid").groupBy("sid", "site_idx").agg(F.min(distance(point(), point("r"))).alias("e"))
-    m = F.sort_array(F.collect_list("e"))
-    return e.groupBy((F.col("sid") % 50).alias("panel")).agg(F.round(F.element_at(m, (F.size(m) / 2).cast("int") + 1), 6).alias("median"), F.round(F.max("e"), 6).alias("max"), F.count(F.lit(1)).alias("n"))
+    e = e.select((F.col("sid") % 50).alias("panel"), "e")
+    middle = upper_median(e, "panel", "e").select("panel", F.round("upper_median", 6).alias("median"))
+    return middle.join(e.groupBy("panel").agg(F.round(F.max("e"), 6).alias("max"), F.count(F.lit(1)).alias("n")), "panel")
 
 
 def ge41(spark, d):
@@ -325,8 +327,8 @@ ORACLE_SQL = {
         {", ".join(f"round(CASE WHEN len(l) = {len(v)} THEN sqrt(list_sum(list_transform(list_zip(l, {v}::DOUBLE[]), lambda z: pow(z[1] - z[2], 2))) / {len(v)}) END, 5) AS dev_{n}" for n, v in IDEAL.items())},
         round(valence, 5) AS valence, round(gap, 5) AS site_gap
       FROM structure t LEFT JOIN p USING (sid) LEFT JOIN c USING (sid) LEFT JOIN st USING (sid) LEFT JOIN g USING (sid)""",
-    "ge36_coordination": f"""WITH {AS}, {STRUCT_SQL}, {NEAR}, c AS (SELECT sid, count(*) AS n, avg(d) AS m FROM near WHERE rn = 1 AND element IN ('N', 'O', 'S') AND d < 3.5 GROUP BY sid),
-      v AS (SELECT sid, coalesce(n, 0) AS n, 0.5 * (CASE WHEN n BETWEEN 3 AND 5 THEN 1.0 WHEN n IS NULL THEN 0.0 ELSE greatest(0.0, 1 - 0.25 * abs(n - 4)) END) + 0.5 * (CASE WHEN n IS NULL THEN 0.0 ELSE greatest(0.0, 1 - abs(m - 2.1)) END) AS s FROM structure LEFT JOIN c USING (sid))
+    "ge36_coordination": f"""WITH {AS}, {STRUCT_SQL}, {NEAR}, c AS (SELECT sid, count(*) AS n, avg(abs(d - 2.1)) AS m FROM near WHERE rn = 1 AND element IN ('N', 'O', 'S') AND d < 2.5 GROUP BY sid),
+      v AS (SELECT sid, coalesce(n, 0) AS n, 0.5 * (CASE WHEN n BETWEEN 3 AND 5 THEN 1.0 WHEN n IS NULL THEN 0.0 ELSE greatest(0.0, 1 - 0.25 * abs(n - 4)) END) + 0.5 * (CASE WHEN n IS NULL THEN 0.0 ELSE greatest(0.0, 1 - m / 0.4) END) AS s FROM structure LEFT JOIN c USING (sid))
       SELECT sid, n, round(s, 6) AS score, s > 0.5 AS valid FROM v""",
     "ge37_water_proxy": f"""WITH {AS}, {NEAR}, g AS (SELECT sid, avg((d > 1.5 AND d < 3.0)::INT) AS f, count(*) FILTER (WHERE d < 2.5) AS b FROM near WHERE rn = 1 GROUP BY sid)
       SELECT sid, round(CASE WHEN b = 0 THEN 0.0 ELSE greatest(0.0, 1 - 3 * f) END, 6) AS water_score, CASE WHEN b = 0 THEN 0.0 ELSE greatest(0.0, 1 - 3 * f) END > 0.4 AS plausible FROM g""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import neighbours as nn
 from ..operators import triage as t
+from ..operators.ordered import before, sorted_digest
 from ..plans.views import ATOM_SQL, STRUCT_SQL, VEC_SQL, atoms, structures, table, vectors
 from ..sources import text as s
 
@@ -54,7 +55,7 @@ def sc10(spark, d):
 
 
 def sc11(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    li = table(spark, d, "lineitem")
     cols = [F.concat(F.lit("p"), F.col("l_partkey"))] + [F.lit("-")] * 11 + [F.col("l_tax").cast("string"), F.col("l_extendedprice").cast("string"), F.lit("0.1"), F.lit("1"), F.lit("90"), F.col("l_linenumber").cast("string"), F.lit("99"), F.lit("1"), F.lit("99"), F.lit("0.9"), F.lit("text here")]
     lines = li.select(F.lit("dom").alias("path"), F.col("l_orderkey").alias("line"), F.concat_ws("   ", *cols).alias("value")).union(li.sparkSession.sql("select 'dom' path, 0L line, '# a comment' value"))
     ids = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey") * 2).alias("id"))
@@ -175,8 +176,9 @@ def fi18(spark, d):
 
 def fi19(spark, d):
     x = table(spark, d, "documents")
-    own = x.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ""), 256).alias("h"))
-    again = x.where("doc_id <> 7").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ""), 256).alias("g"))
+    x = x.select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    own = sorted_digest(x, "source", ["h"], "h", "").withColumnRenamed("digest", "h")
+    again = sorted_digest(x.where("doc_id <> 7"), "source", ["h"], "h", "").withColumnRenamed("digest", "g")
     return own.join(again, "source").select("source", (F.col("h") == F.col("g")).alias("same"))
 
 
@@ -211,11 +213,9 @@ def tr6(spark, d):
 
 def tr7(spark, d):
     """Triplets: each positive with another positive and a negative, chosen by hash, the same in every run."""
-    from pyspark.sql import Window
-
-    e = structures(spark, d)
-    pos = e.where("label = 'positive'").withColumn("r", F.row_number().over(Window.orderBy(F.sha2(F.col("sid").cast("string"), 256)))).select("sid", "r")
-    neg = e.where("label = 'negative'").withColumn("r", F.row_number().over(Window.orderBy(F.sha2(F.col("sid").cast("string"), 256)))).select(F.col("sid").alias("negative"), "r")
+    e = structures(spark, d).select("sid", "label", F.sha2(F.col("sid").cast("string"), 256).alias("h"))
+    ranked = lambda label: before(e.where(F.col("label") == label), ["h"], "r").withColumn("r", F.col("r") + 1)
+    pos, neg = ranked("positive").select("sid", "r"), ranked("negative").select(F.col("sid").alias("negative"), "r")
     n = pos.count()
     nxt = pos.select(F.col("sid").alias("positive"), F.when(F.col("r") == 1, n).otherwise(F.col("r") - 1).alias("r"))
     return pos.join(nxt, "r").join(neg, "r").select(F.col("sid").alias("anchor"), "positive", "negative")
@@ -223,12 +223,14 @@ def tr7(spark, d):
 
 def tr8(spark, d):
     """Semi-hard mining: d_ap < d_an < d_ap + margin, the nearest such negative; else the nearest of all."""
-    v = vectors(spark, d).where("id % 4 = 0")
-    a = v.where("label = 'positive' and id % 8 = 0")
-    pp = nn.top_k(nn.pair_distances(a, v.where("label = 'positive'"), leave_self=True), 1).select("q", F.col("id").alias("positive"), F.col("d").alias("ap"))
-    j = nn.pair_distances(a, v.where("label = 'negative'")).join(pp, "q")
-    semi = (F.col("d") > F.col("ap")) & (F.col("d") < F.col("ap") + 0.2)
-    return j.groupBy("q", "positive").agg(F.coalesce(F.min_by(F.when(semi, F.col("id")), F.when(semi, F.struct("d", "id"))), F.min_by("id", F.struct("d", "id"))).alias("negative"))
+    v = vectors(spark, d).select("id", "v", "label")
+    a, negatives = v.where("label = 'positive'").drop("label"), v.where("label = 'negative'").drop("label")
+    pp = nn.nearest(a, a, 1, leave_self=True).select("q", F.col("id").alias("positive"), F.col("d").alias("ap"))
+    asked = a.join(pp, F.col("id") == F.col("q")).select("id", "v", "ap")
+    any_ = nn.nearest(asked, negatives, 1).select("q", F.col("id").alias("nearest"))
+    semi = nn.nearest(asked, negatives, 1, above="ap").select("q", F.col("id").alias("beyond"), F.col("d").alias("an"))
+    j = pp.join(any_, "q").join(semi, "q", "left")
+    return j.select("q", "positive", F.when(F.col("an") < F.col("ap") + 0.2, F.col("beyond")).otherwise(F.col("nearest")).alias("negative"))
 
 
 def tr9(spark, d):
@@ -256,8 +258,8 @@ def tr13(spark, d):
 def tr14(spark, d):
     """Candidate record: structural status, retrieval and their triage, in one row."""
     q, train = vectors(spark, d).where("part = 'query'"), vectors(spark, d).where("part = 'train'")
-    r = nn.vote_fraction(nn.top_k(nn.pair_distances(q, train), 5), F.col("label") == "positive").select(F.col("q").alias("sid"), F.col("pred"))
-    st = structures(spark, d).where("sid % 20 = 0").select("sid", F.when(F.col("tier") == 1, F.when(F.col("family") == "", "unavailable").otherwise("supported")).otherwise("not_supported").alias("status"))
+    r = nn.vote_fraction(nn.nearest(q, train, 5), F.col("label") == "positive").select(F.col("q").alias("sid"), F.col("pred"))
+    st = structures(spark, d).where("sid % 5 = 0").select("sid", F.when(F.col("tier") == 1, F.when(F.col("family") == "", "unavailable").otherwise("supported")).otherwise("not_supported").alias("status"))
     return st.join(r, "sid").select("sid", "status", "pred", t.two_channel(F.col("status"), F.col("pred")).alias("triage"))
 
 
@@ -270,7 +272,7 @@ def tr15(spark, d):
 def tr16(spark, d):
     """Comparator calls: every expected id must be there."""
     have = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("call"))
-    want = table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id")
+    want = table(spark, d, "documents").select("doc_id")
     j = want.join(have, "doc_id", "left")
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("call").isNull()).alias("missing"), F.count_if("call").alias("called"))
 
@@ -317,7 +319,7 @@ ORACLE_SQL = {
     "sc8_keyed_last": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey",
     "sc9_pair_table": f"WITH {_PL} SELECT least(q, t) AS a, greatest(q, t) AS b, round(arg_max(identity, line), 6) AS identity, round(arg_max(coverage, line), 6) AS coverage FROM pl WHERE q <> t GROUP BY 1, 2",
     "sc10_clusters": "SELECT o_custkey AS member, arg_max(o_orderpriority, o_orderkey) AS representative FROM orders GROUP BY o_custkey",
-    "sc11_domains": "SELECT 'p' || (p_partkey * 2) AS id, max(l_extendedprice) AS best_score, count(l_partkey) AS n_domains FROM part LEFT JOIN lineitem ON l_partkey = p_partkey * 2 AND l_linenumber <= 3 GROUP BY p_partkey",
+    "sc11_domains": "SELECT 'p' || (p_partkey * 2) AS id, max(l_extendedprice) AS best_score, count(l_partkey) AS n_domains FROM part LEFT JOIN lineitem ON l_partkey = p_partkey * 2 GROUP BY p_partkey",
     "sc12_fasta": "SELECT 'd' || doc_id AS id, sha256(regexp_replace(text, '\\s', '', 'g')) AS digest, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM documents",
     "sc13_json": "SELECT event_id, coalesce((props->>'$.k')::BIGINT, -1) AS k, len(json_keys(props)) AS n FROM events",
     "sc14_mean_pool": f"WITH {VEC_SQL}, m AS (SELECT id, (p - 1) % 16 AS k, avg(v[p]) AS m FROM vec, unnest(range(1, 65)) AS t(p) GROUP BY ALL) SELECT id, round(sqrt(sum(m * m)), 6) AS norm, count(*) AS width FROM m GROUP BY id",
@@ -351,7 +353,7 @@ ORACLE_SQL = {
     "tr6_report": "SELECT CASE WHEN contains(html, '</html>') THEN 'ok' ELSE 'failed' END AS status, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1",
     "tr7_triplets": f"""WITH {STRUCT_SQL}, p AS (SELECT sid, row_number() OVER (ORDER BY sha256(sid::VARCHAR)) AS r FROM structure WHERE label = 'positive'), n AS (SELECT sid, row_number() OVER (ORDER BY sha256(sid::VARCHAR)) AS r FROM structure WHERE label = 'negative')
       SELECT p.sid AS anchor, q.sid AS positive, n.sid AS negative FROM p JOIN p q ON q.r = p.r % (SELECT count(*) FROM p) + 1 JOIN n ON n.r = p.r""",
-    "tr8_semi_hard": f"""WITH {VEC_SQL}, v AS (SELECT * FROM vec WHERE id % 4 = 0), a AS (SELECT * FROM v WHERE label = 'positive' AND id % 8 = 0), ap AS (SELECT a.id AS q, min(list_distance(a.v, b.v)) AS ap, arg_min(b.id, (list_distance(a.v, b.v), b.id)) AS positive FROM a JOIN v b ON b.label = 'positive' AND a.id <> b.id GROUP BY a.id),
+    "tr8_semi_hard": f"""WITH {VEC_SQL}, v AS (SELECT * FROM vec), a AS (SELECT * FROM v WHERE label = 'positive'), ap AS (SELECT a.id AS q, min(list_distance(a.v, b.v)) AS ap, arg_min(b.id, (list_distance(a.v, b.v), b.id)) AS positive FROM a JOIN v b ON b.label = 'positive' AND a.id <> b.id GROUP BY a.id),
       an AS (SELECT a.id AS q, b.id, list_distance(a.v, b.v) AS d FROM a JOIN v b ON b.label = 'negative') SELECT q, positive, coalesce(arg_min(id, (d, id)) FILTER (WHERE d > ap AND d < ap + 0.2), arg_min(id, (d, id))) AS negative FROM an JOIN ap USING (q) GROUP BY q, positive""",
     "tr9_triplet_loss": "WITH r AS (SELECT abs(embedding[1]::DOUBLE) AS ap, abs(embedding[2]::DOUBLE) AS an, least([1.0, 0.85, 0.6, 0.35][vec_id % 4 + 1], [1.0, 0.85, 0.6, 0.35][(vec_id + 1) % 4 + 1])::DOUBLE AS w FROM embeddings) SELECT round(sum(w * greatest(0, 0.1 + ap - an)) / greatest(sum(w), 1e-8), 6) AS loss FROM r",
     "tr10_message_passing": f"WITH {VEC_SQL}, e AS (SELECT DISTINCT id, id + k AS src FROM vec, (VALUES (-1), (1), (7)) AS t(k)) SELECT e.id, p - 1 AS k, round(avg(v[p]), 6) AS x FROM e JOIN vec s ON s.id = e.src, unnest(range(1, 5)) AS u(p) GROUP BY ALL",
@@ -360,7 +362,7 @@ ORACLE_SQL = {
       g AS (SELECT q AS sid, CASE WHEN avg((label = 'positive')::INT) > 0.5 THEN 'positive' ELSE 'negative' END AS pred FROM pr WHERE r <= 5 GROUP BY q), s AS (SELECT sid, CASE WHEN tier = 1 THEN CASE WHEN family = '' THEN 'unavailable' ELSE 'supported' END ELSE 'not_supported' END AS status FROM structure)
       SELECT sid, status, pred, CASE WHEN status = 'supported' AND pred = 'positive' THEN 'dual_support' WHEN status = 'supported' THEN 'structure_only' WHEN pred = 'positive' THEN 'retrieval_only' ELSE 'unresolved' END AS triage FROM s JOIN g USING (sid)""",
     "tr15_freeze": "WITH c AS (SELECT conv_id, count(DISTINCT role) = 1 AS agree FROM conversations GROUP BY conv_id) SELECT agree, count(*) AS n FROM c GROUP BY agree",
-    "tr16_comparator": "SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE toxic = 1) AS called FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 10 = 0",
+    "tr16_comparator": "SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE toxic = 1) AS called FROM documents d LEFT JOIN labels l USING (doc_id)",
     "ge9_transform": f"WITH {ATOM_SQL} SELECT sid, idx, round(1 - y, 6) AS x, round(x + 2, 6) AS y, round(z + 3, 6) AS z FROM atom",
     "ge30_one_hot": f"WITH {ATOM_SQL} SELECT sid, count(*) FILTER (WHERE res_name = 'ASP') AS asp, count(*) FILTER (WHERE res_name = 'CYS') AS cys, count(*) FILTER (WHERE res_name = 'HIS') AS his FROM atom GROUP BY sid",
     "ge31_features": f"WITH {ATOM_SQL}, {VEC_SQL} SELECT sid, idx, 69 AS width, round(1 + b_factor + x + list_sum(v), 5) AS total FROM atom JOIN vec ON vec.id = sid",
