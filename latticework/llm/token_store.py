@@ -254,7 +254,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """The files' documents: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
+    """The files' documents: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit).  A shard of the
+    manifest that is not there is an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,7 +280,9 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     if manifest.isEmpty():
         return spark.createDataFrame([], schema).select("doc_id", F.col("at").alias("start"), "n_tokens", "ids_crc32", "ids")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.pfor").load(folder).select("path", "content")
-    return files.mapInArrow(read, schema).join(before, "name").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    found = before.join(files.mapInArrow(read, schema), "name", "left")
+    lost = F.raise_error(F.concat(F.lit("a shard of the manifest is missing: "), "name")).cast("long")
+    return found.select("doc_id", (F.col("before") + F.col("at")).alias("start"), F.coalesce("n_tokens", lost).alias("n_tokens"), "ids_crc32", "ids")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

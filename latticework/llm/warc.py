@@ -188,7 +188,8 @@ def write_bundles(pages: DataFrame, folder: str, smallest: int = 0, frame_bytes:
 def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names, found through it: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, payload (null for a revisit).  A response's payload is hashed
-    anew and must have the digest and length that its header states."""
+    anew and must have the digest and length that its header states.  A record of the index that no bundle holds is
+    an error where its digest is asked for."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,7 +218,9 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
         return spark.createDataFrame([], schema).select(*out)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "pages-*.warc.zst").load(folder).select("path", "content")
     place = ["bundle", "frame", "at"]
-    return files.mapInArrow(read, schema).join(index.select(*place), place).select(*out)
+    found = index.select(*place).join(files.mapInArrow(read, schema), place, "left")
+    lost = F.raise_error(F.concat(F.lit("a record of the index is missing in "), "bundle")).cast("string")
+    return found.withColumn("payload_digest", F.coalesce("payload_digest", lost)).select(*out)
 
 
 def archive(pages: DataFrame, folder: str) -> DataFrame:

@@ -266,6 +266,19 @@ def test_warc(spark):
     assert warc.read_record(data, one.frame, one["at"])[1] == b"x" * 70_000
 
 
+def test_lost_files_are_errors(spark, docs, tmp_path):
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/tokens"
+    manifest = token_store.write_tokens(docs, path, folder, shard_tokens=2000)
+    (tmp_path / "tokens" / manifest.first()["name"]).unlink()
+    with pytest.raises(Exception, match="shard of the manifest is missing"):
+        token_store.read_tokens(spark, folder, manifest).collect()
+    pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(60)], "page_id long, url string, html string")
+    index = warc.write_bundles(pages, f"file://{tmp_path}/warc", frame_bytes=100, bundle_bytes=500)
+    (tmp_path / "warc" / index.first()["bundle"]).unlink()
+    with pytest.raises(Exception, match="record of the index is missing"):
+        warc.read_bundles(spark, f"file://{tmp_path}/warc", index).collect()
+
+
 def brute_suffix(texts):
     seen, out = set(), {}
     for k in sorted(texts):
