@@ -1,11 +1,14 @@
-"""Geometry as Catalyst expressions: nothing here leaves the JVM."""
+"""Geometry as Catalyst expressions; only the rotations of ``with_superposition`` leave the JVM, in Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Point = tuple[Column, Column, Column]
 
@@ -119,5 +122,33 @@ def with_rmsd(df, n: int, name: str = "rmsd"):
     return a.select(*keep, F.sqrt(F.greatest((F.col("e") - 2 * trace) / n, F.lit(0.0))).alias(name))
 
 
+def with_superposition(df: DataFrame, fixed: Sequence[tuple[float, float, float]], target: str = "target") -> DataFrame:
+    """Add ``rotation`` (nine numbers, row by row) and ``translation`` (three): the rigid motion, without a
+    reflection, that brings the fixed points nearest to ``target``, an array of as many points in one row of numbers.
+    Rows must have a target; each Arrow batch is one stacked decomposition."""
+    points = np.array(fixed, float)
+    centre, count = points.mean(axis=0), len(points)
+    ours = points - centre
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            theirs = b.column(target).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, count, 3)
+            middle = theirs.mean(axis=1)
+            left, _, right = np.linalg.svd(np.einsum("ni,bnj->bij", ours, theirs - middle[:, None]))
+            left[:, :, 2] *= np.sign(np.linalg.det(left @ right))[:, None]
+            turn = left @ right
+            move = middle - centre @ turn
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * w), pa.array(v.reshape(-1))) for v, w in ((turn, 9), (move, 3))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], [*b.schema.names, "rotation", "translation"])
+
+    numbers = T.ArrayType(T.DoubleType())
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("rotation", numbers), T.StructField("translation", numbers)]))
+
+
+def moved(p: Point, rotation: Column, translation: Column) -> Point:
+    """A point after the rigid motion of ``with_superposition``."""
+    return tuple(p[0] * rotation[k] + p[1] * rotation[3 + k] + p[2] * rotation[6 + k] + translation[k] for k in range(3))  # type: ignore[return-value]
+
+
 def bond_valence(d: Column, r0: Column) -> Column:
     return F.exp((r0 - d) / 0.37)

@@ -48,16 +48,17 @@ def canonical_donors(atoms: DataFrame, sites: DataFrame, donors: dict[str, tuple
     return with_nearest_site(atoms.where(ok), sites, "sid", "idx").where(F.col("d") <= limit)
 
 
-def pose_metrics(ligand: DataFrame, protein: DataFrame) -> DataFrame:
-    """GE10: per structure the shares of ligand atoms that clash (< 1.5) and touch (<= 4.5), and the least
-    distance, however far.  ligand: sid, lig, x, y, z; both sides heavy atoms only.  (The least distance needs every
-    pair of a structure's atoms, so there is no grid: they meet by structure and leave each task as one minimum.)"""
+def pose_metrics(ligand: DataFrame, protein: DataFrame, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """GE10: per structure (and ``keys``) the shares of ligand atoms that clash (< 1.5) and touch (<= 4.5), and the
+    least distance, however far.  ligand: sid, keys, lig, x, y, z and the columns to carry, which are the same in
+    all its rows; both sides heavy atoms only.  (The least distance needs every pair of a structure's atoms, so there
+    is no grid: they meet by structure and leave each task as one minimum.)"""
     other = protein.select("sid", *(F.col(c).alias(f"__p{c}") for c in "xyz"))
-    near = ligand.join(other, "sid").groupBy("sid", "lig").agg(F.min(distance(point(), point("__p"))).alias("d"))
-    every = ligand.select("sid", "lig").join(near, ["sid", "lig"], "left")
+    same = [F.first(c).alias(c) for c in carry]
+    near = ligand.join(other, "sid", "left").groupBy("sid", *keys, "lig").agg(F.min(distance(point(), point("__p"))).alias("d"), *same)
     one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    return every.groupBy("sid").agg(
-        F.avg(one(F.col("d") < 1.5)).alias("clash_share"), F.avg(one(F.col("d") <= 4.5)).alias("contact_share"), F.min("d").alias("min_distance"), F.count(F.lit(1)).alias("n_heavy")
+    return near.groupBy("sid", *keys).agg(
+        F.avg(one(F.col("d") < 1.5)).alias("clash_share"), F.avg(one(F.col("d") <= 4.5)).alias("contact_share"), F.min("d").alias("min_distance"), F.count(F.lit(1)).alias("n_heavy"), *same
     )
 
 

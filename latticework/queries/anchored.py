@@ -69,7 +69,7 @@ _PARTS = f"{ATOM_SQL}, {SITE_SQL}, {STRUCT_SQL}, {NEAR}, don AS (SELECT * FROM n
 _ASG = "asg AS (SELECT s.sid, s.site_idx, n.idx AS i0, o.idx AS i1, c.idx AS i2, [s.x, n.x, o.x, c.x] AS px, [s.y, n.y, o.y, c.y] AS py, [s.z, n.z, o.z, c.z] AS pz FROM site s JOIN don n ON n.sid = s.sid AND n.site_idx = s.site_idx AND n.element = 'N' JOIN don o ON o.sid = s.sid AND o.site_idx = s.site_idx AND o.element = 'O' JOIN don c ON c.sid = s.sid AND c.site_idx = s.site_idx AND c.element = 'S')"
 _TPL = "tpl AS (SELECT * FROM (VALUES ('short', [0.0, 2.0, 0.0, 0.0]::DOUBLE[], [0.0, 0.0, 2.0, 0.0]::DOUBLE[], [0.0, 0.0, 0.0, 2.3]::DOUBLE[]), ('wide', [0.0, 3.0, 0.0, -2.0]::DOUBLE[], [0.0, 0.0, 3.0, 0.0]::DOUBLE[], [0.0, 0.0, 0.0, 2.5]::DOUBLE[])) AS t(name, ax, ay, az))"
 _U = "u AS (SELECT asg.*, name, list_avg(px) AS gx, list_avg(py) AS gy, list_avg(pz) AS gz, list_transform(ax, lambda v: v - list_avg(ax)) AS tx, list_transform(ay, lambda v: v - list_avg(ay)) AS ty, list_transform(az, lambda v: v - list_avg(az)) AS tz FROM asg, tpl)"
-_TAIL = _FIT[_FIT.index("cov AS (") :].replace("sid, oi, si, ni, perm, i1, i2, i3", "sid, name, site_idx, i0, i1, i2").replace("/ 6, 0)) AS rmsd", "/ 4, 0)) AS rmsd")
+_TAIL = _FIT[_FIT.index("cov AS (") :].replace("sid, oi, si, ni, perm, i1, i2, i3, dev", "sid, name, site_idx, i0, i1, i2").replace("/ 6, 0)) AS rmsd", "/ 4, 0)) AS rmsd")
 _SC = f"WITH {_PARTS}, {_ASG}, {_TPL}, {_U}, {_TAIL}, b AS (SELECT sid, name, min(rmsd) AS rmsd, count(*) AS n FROM fit GROUP BY ALL), sc AS (SELECT t.sid, tpl.name AS template, CASE WHEN h.sid IS NULL THEN 'unavailable' WHEN n IS NULL THEN 'not_applicable' WHEN rmsd <= 1.25 THEN 'supported' ELSE 'not_supported' END AS status, coalesce(n, 0) AS n_assignments, rmsd FROM structure t CROSS JOIN tpl LEFT JOIN (SELECT DISTINCT sid FROM site) h USING (sid) LEFT JOIN b ON b.sid = t.sid AND b.name = tpl.name)"
 ORACLE_SQL = {
     "ge14_assignments": f"WITH {_PARTS}, {_ASG} SELECT sid, site_idx, i0, i1, i2 FROM asg",

@@ -53,3 +53,33 @@ def test_error_is_the_least_over_proper_rotations(spark):
         w[2] *= np.sign(np.linalg.det(u @ vt))
         want = math.sqrt(max(0.0, ((x**2).sum() + (y**2).sum() - 2 * w.sum()) / 6))
         assert abs(got[k] - want) < 1e-5
+
+
+def test_pose_gates_rank_before_the_error(spark):
+    """The exact site is blocked by an atom in the ligand's place: the call of the architecture stays, that of the pose goes."""
+    a = atoms(spark, [*T.first, *T.second])
+    free = motif.search(a).first()
+    assert free.full_pose_call and np.allclose(free.metals, T.metals, atol=1e-3)
+    wall = a.select("sid", "x", "y", "z").union(spark.createDataFrame([(1, *p) for p in T.ligand], "sid long, x double, y double, z double"))
+    row = motif.search(a, protein=wall).first()
+    assert row.architecture_call and not row.full_pose_call and row.status == "not_supported" and row.clash_share == 1.0
+    assert motif.search(atoms(spark, [*T.first, *T.second], modified=True)).first().native_full_pose_call is False
+
+
+def test_motion_is_the_one_that_was_made(spark):
+    from latticework.functions.geometry import moved, with_superposition
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    fixed, sets = [*T.first, *T.second], []
+    for _ in range(20):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        q[:, 2] *= np.linalg.det(q)
+        sets.append((q, rng.normal(size=3)))
+    df = spark.createDataFrame([(k, [float(v) for v in (np.array(fixed) @ q + t).reshape(-1)]) for k, (q, t) in enumerate(sets)], "k int, target array<double>")
+    probe = (1.0, -2.0, 3.0)
+    at = moved(tuple(F.lit(v) for v in probe), F.col("rotation"), F.col("translation"))
+    for r in with_superposition(df, fixed).select("k", *(v.alias(c) for c, v in zip("xyz", at, strict=True))).collect():
+        q, t = sets[r.k]
+        assert np.allclose([r.x, r.y, r.z], np.array(probe) @ q + t, atol=1e-9)
+    assert with_superposition(df.where("k < 0"), fixed).count() == 0
