@@ -13,6 +13,37 @@ from pyspark.sql import functions as F
 from ..functions.geometry import angle_degrees, bond_valence, distance, point, with_torsion
 
 BACKBONE = ("N", "CA", "C", "O")
+#: Fixed values of the twenty residues: hydropathy, charge, polar, volume, aromatic, hydrogen-bond donors, acceptors,
+#: can bind zinc.
+RESIDUES = {
+    "ALA": (1.8, 0, 0, 0.88, 0, 0, 0, 0),
+    "ARG": (-4.5, 1, 1, 1.73, 0, 5, 0, 0),
+    "ASN": (-3.5, 0, 1, 1.14, 0, 2, 2, 0),
+    "ASP": (-3.5, -1, 1, 1.11, 0, 1, 3, 1),
+    "CYS": (2.5, 0, 0, 1.08, 0, 1, 0, 1),
+    "GLN": (-3.5, 0, 1, 1.44, 0, 2, 2, 0),
+    "GLU": (-3.5, -1, 1, 1.38, 0, 1, 3, 1),
+    "GLY": (-0.4, 0, 0, 0.60, 0, 0, 0, 0),
+    "HIS": (-3.2, 0, 1, 1.53, 1, 2, 1, 1),
+    "ILE": (4.5, 0, 0, 1.67, 0, 0, 0, 0),
+    "LEU": (3.8, 0, 0, 1.67, 0, 0, 0, 0),
+    "LYS": (-3.9, 1, 1, 1.69, 0, 3, 0, 0),
+    "MET": (1.9, 0, 0, 1.62, 0, 0, 0, 0),
+    "PHE": (2.8, 0, 0, 1.89, 1, 0, 0, 0),
+    "PRO": (-1.6, 0, 0, 1.13, 0, 0, 0, 0),
+    "SER": (-0.8, 0, 1, 0.89, 0, 1, 1, 0),
+    "THR": (-0.7, 0, 1, 1.16, 0, 1, 1, 0),
+    "TRP": (-0.9, 0, 1, 2.28, 1, 1, 0, 0),
+    "TYR": (-1.3, 0, 1, 1.94, 1, 1, 1, 0),
+    "VAL": (4.2, 0, 0, 1.40, 0, 0, 0, 0),
+}
+
+
+def residue_features(res_name: Column) -> Column:
+    """GE30: one-hot over the twenty residues, then their eight properties; zeros for any other residue."""
+    one = lambda k: [float(k == j) for j in range(len(RESIDUES))]
+    rows = [F.when(res_name == r, F.array(*(F.lit(float(v)) for v in (*one(k), *p)))) for k, (r, p) in enumerate(RESIDUES.items())]
+    return F.coalesce(*rows, F.array_repeat(F.lit(0.0), len(RESIDUES) + 8))
 
 
 def range_join(left: DataFrame, right: DataFrame, radius: float, prefix: str = "r_") -> DataFrame:

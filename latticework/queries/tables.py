@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import neighbours as nn
 from ..operators import triage as t
 from ..operators.ordered import before, sorted_digest
+from ..operators.spatial import RESIDUES, residue_features
 from ..plans.views import ATOM_SQL, STRUCT_SQL, VEC_SQL, atoms, structures, table, vectors
 from ..sources import text as s
 
@@ -284,8 +285,10 @@ def ge9(spark, d):
 
 
 def ge30(spark, d):
-    a = atoms(spark, d).groupBy("sid").agg(*(F.sum((F.col("res_name") == r).cast("int")).alias(r.lower()) for r in ("ASP", "CYS", "HIS")))
-    return a
+    """Sums of each feature over a structure's atoms; every third atom has a residue outside the table."""
+    name = F.when(F.col("idx") % 3 == 2, "UNK").otherwise(F.col("res_name"))
+    f = atoms(spark, d).select("sid", F.posexplode(residue_features(name)).alias("k", "v"))
+    return f.groupBy("sid", "k").agg(F.round(F.sum("v"), 4).alias("total"))
 
 
 def ge31(spark, d):
@@ -364,7 +367,9 @@ ORACLE_SQL = {
     "tr15_freeze": "WITH c AS (SELECT conv_id, count(DISTINCT role) = 1 AS agree FROM conversations GROUP BY conv_id) SELECT agree, count(*) AS n FROM c GROUP BY agree",
     "tr16_comparator": "SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE toxic = 1) AS called FROM documents d LEFT JOIN labels l USING (doc_id)",
     "ge9_transform": f"WITH {ATOM_SQL} SELECT sid, idx, round(1 - y, 6) AS x, round(x + 2, 6) AS y, round(z + 3, 6) AS z FROM atom",
-    "ge30_one_hot": f"WITH {ATOM_SQL} SELECT sid, count(*) FILTER (WHERE res_name = 'ASP') AS asp, count(*) FILTER (WHERE res_name = 'CYS') AS cys, count(*) FILTER (WHERE res_name = 'HIS') AS his FROM atom GROUP BY sid",
+    "ge30_one_hot": f"""WITH {ATOM_SQL}, r(name, nth, p) AS (VALUES {", ".join(f"('{n}', {k}, {[float(v) for v in p]}::DOUBLE[])" for k, (n, p) in enumerate(RESIDUES.items()))}),
+      f AS (SELECT sid, k, CASE WHEN idx % 3 = 2 OR nth IS NULL THEN 0.0::DOUBLE WHEN k < 20 THEN (k = nth)::INT::DOUBLE ELSE p[k - 19] END AS v FROM atom LEFT JOIN r ON name = res_name, unnest(range(0, 28)) AS t(k))
+      SELECT sid, k::INT AS k, round(sum(v), 4) AS total FROM f GROUP BY ALL""",
     "ge31_features": f"WITH {ATOM_SQL}, {VEC_SQL} SELECT sid, idx, 69 AS width, round(1 + b_factor + x + list_sum(v), 5) AS total FROM atom JOIN vec ON vec.id = sid",
     "ge44_chain_sequences": f"WITH {ATOM_SQL}, r AS (SELECT sid, chain_id, res_id, arg_min(res_name, idx) AS n FROM atom GROUP BY ALL) SELECT sid, chain_id, string_agg(CASE n WHEN 'ASP' THEN 'D' WHEN 'CYS' THEN 'C' ELSE 'H' END, '' ORDER BY res_id) AS sequence FROM r GROUP BY ALL",
 }
