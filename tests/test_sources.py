@@ -100,8 +100,16 @@ def test_vote_tie_goes_to_the_nearer(spark):
     assert neighbours.majority(rows, "q").first().pred == "b"
 
 
-def test_large_sides_meet_in_a_grid(spark, monkeypatch):
-    v = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(12)], "id long, v array<double>")
-    want = sorted(map(tuple, neighbours.pair_distances(v, v, True).collect()))
-    monkeypatch.setattr(neighbours, "BROADCAST_ROWS", 2)
-    assert sorted(map(tuple, neighbours.pair_distances(v, v, True).collect())) == want and len(want) == 132
+@pytest.mark.parametrize("above", [None, "floor"])
+def test_large_sides_meet_in_a_grid(spark, monkeypatch, above):
+    at = [(k * 7) % 12 for k in range(12)]
+    v = spark.createDataFrame([(k, [float(x), 0.0], 2.0) for k, x in enumerate(at)], "id long, v array<double>, floor double")
+    want = []
+    for q in range(12):
+        far = sorted((abs(at[q] - at[r]), r) for r in range(12) if r != q and (above is None or abs(at[q] - at[r]) > 2))
+        want += [(q, r, float(d), n + 1) for n, (d, r) in enumerate(far[:3])]
+    found = lambda: sorted(tuple(r) for r in neighbours.nearest(v, v, 3, leave_self=True, above=above).select("q", "id", "d", "rank").collect())
+    assert found() == want
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 5)
+    assert found() == want
