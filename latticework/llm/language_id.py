@@ -31,17 +31,18 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts, blanks for what is no letter, each text followed by a blank."""
-    low = [(t or "").lower() + " " for t in texts]
+def _codes(texts: list[str | None], orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased code points of all texts, blanks for what is no letter, each text followed by so many blanks
+    that no n-gram from one of its letters reaches into the next text."""
+    end = " " * max(1, *(order - 1 for order in orders))
+    low = [(t or "").lower() + end for t in texts]
     offs = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(letters()[codes], codes, np.uint32(32)).astype(np.uint64), offs
 
 
 def _grams(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    """Bucket of the n-gram at each place (those that run into the next text begin with its own text's end
-    and a blank, and so tell nothing wrong); ``buckets`` where all is blank."""
+    """Bucket of the n-gram at each place; ``buckets`` where it begins with a blank."""
     h = np.full(len(codes), order, np.uint64)
     for k in range(order):
         h *= np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +68,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
         sums: dict[str, np.ndarray] = {}
         for b in slices(batches):
             texts, of = b.column("text").to_pylist(), b.column("lang").to_pylist()
-            codes, offs = _codes(texts)
+            codes, offs = _codes(texts, orders)
             names = sorted(set(of))
             which = np.repeat(np.array([names.index(x) for x in of], np.int64), np.diff(offs))
             for name in names:
@@ -107,7 +108,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc
         log_p, prior = sent.value
         buckets = len(log_p) - 1
         for b in slices(batches):
-            codes, offs = _codes(b.column("text").to_pylist())
+            codes, offs = _codes(b.column("text").to_pylist(), orders)
             has = np.add.reduceat(codes != 32, offs[:-1]) > 0
             if langs:
                 total = np.tile(prior, (len(offs) - 1, 1))
