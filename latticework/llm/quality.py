@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices, table, word_hashes
+from .common import bytes_of, cut, discard, slices, table, word_hashes
 
 #: Hash buckets for words beside the 2^14 word shapes; documents in the training sample (those whose hashed
-#: ids are least, among documents with a vote); passes over it; step; L2 weight; rounds of EM.
+#: ids are least, among different documents with a vote); passes over it; step; L2 weight; rounds of EM.
 WORD_BUCKETS, SAMPLE, EPOCHS, STEP, DECAY, ROUNDS = 1 << 14, 8_000, 12, 0.5, 1e-5, 50
 #: Words of a window in which variety is measured, so that a text's length does not matter.
 WINDOW = 400
@@ -123,30 +123,34 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS)
     return w
 
 
-VOTES = "doc_id long, votes binary"
+VOTES = "doc_id long, text_key long, votes binary"
+#: The votes of a document on which nobody votes.
+SILENT = np.full(len(LABELLERS), NONE, np.int8).tobytes()
 
 
 def weak_votes(docs: DataFrame) -> DataFrame:
-    """doc_id, votes (a byte per labeller: 0 bad, 1 good, 255 none)."""
+    """doc_id, text_key (a hash of the text), votes (a byte per labeller: 0 bad, 1 good, 255 none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             votes = measure(*bytes_of(b.column("text")))[0]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v.tobytes() for v in votes], pa.binary())], ["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([v.tobytes() for v in votes], pa.binary())], ["doc_id", "text_key", "votes"])
 
-    return docs.mapInArrow(run, VOTES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, VOTES)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, p_weak (the labellers' posterior), score (the scorer's, 0 to 1), good.
 
     A null or empty text has no words: nobody votes on it, and it scores 0.  Rows that repeat a doc_id
-    each give a row; equal hashes of ids in the sample are taken in the order of the ids.  An empty table
-    gives no rows.  Other columns are not read.
+    each give a row, but rows with one id and one text are one document of the sample; equal hashes of ids are
+    taken in the order of the ids.  Very long texts are measured whole.  An empty table gives no rows.  Other
+    columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = weak_votes(rows).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    cast = cut(weak_votes(rows), "votes")
+    found = cast.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("votes")
     width = len(LABELLERS)
     patterns = np.frombuffer(b"".join(found["votes"]), np.int8).reshape(-1, width) if len(found) else np.zeros((0, width), np.int8)
     model = estimate(patterns, found["n"].to_numpy(float))
@@ -161,10 +165,15 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
             for k in range(len(count)):
                 at, n = np.unique(buckets[order[ends[k] : ends[k + 1]]], return_counts=True)
                 keep.append((np.append(at, _SIZE - 1).astype("<i4").tobytes(), np.append(n / max(1, count[k]), 1.0).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(post), pa.array([x[0] for x in keep], pa.binary()), pa.array([x[1] for x in keep], pa.binary())], ["doc_id", "p", "at", "x"])
-
-    chosen = rows.where("length(text) > 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    learned = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, p double, at binary, x binary").toPandas().sort_values("doc_id")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(post), pa.array([x[0] for x in keep], pa.binary()), pa.array([x[1] for x in keep], pa.binary())], ["doc_id", "text_key", "p", "at", "x"])
+
+    # Different documents first: neither an id nor a text that many rows repeat fills the sample or the driver.
+    chosen = cast.where(F.col("votes") != F.lit(SILENT)).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct().orderBy(F.xxhash64("id"), "id", "key").limit(sample)
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    picked = keyed.join(F.broadcast(chosen), keyed["doc_id"].eqNullSafe(chosen["id"]) & (keyed["text_key"] == chosen["key"]), "left_semi")
+    once = picked.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    learned = once.mapInArrow(features, "doc_id long, text_key long, p double, at binary, x binary").toPandas().sort_values(["doc_id", "text_key"])
+    discard(cast)
     weights = fit([(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4").astype(float), float(p)) for a, x, p in zip(learned["at"], learned["x"], learned["p"], strict=True)])
     sent = spark.sparkContext.broadcast((model, weights))
 

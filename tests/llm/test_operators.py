@@ -55,7 +55,8 @@ def empty(spark):
 def odd(spark):
     """Rows without ids, and rows that repeat an id."""
     long = "some words that go on for more than one hundred bytes so that the suffix operator has work to do here, twice over"
-    return spark.createDataFrame([(None, long), (None, None), (5, long), (5, long), (5, "other text"), (None, long + "!")], "doc_id long, text string")
+    rows = [(None, long), (None, None), (5, long), (5, long), (5, "other text"), (None, long + "!")]
+    return spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
 
 
 def shingles(text):
@@ -191,6 +192,51 @@ def test_language_id(spark, sf_dir):
     assert sum(got[k].lang_pred == truth[k] for k in held) >= 0.95 * len(held)
 
 
+def bayes(rows, orders=language_id.ORDERS, buckets=language_id.BUCKETS):
+    """Naive Bayes with counts in dictionaries, one n-gram at a time: (language, posterior) of each text."""
+
+    def grams(text):
+        s = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()] + [32] * max(orders)
+        for n in orders:
+            for k in range(len(s)):
+                if s[k] != 32:
+                    h = n
+                    for c in s[k : k + n]:
+                        h = (h * 0x9E3779B97F4A7C15 + c * 0xC2B2AE3D27D4EB4F) % (1 << 64)
+                    yield ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 40) % buckets
+
+    counts, seen = defaultdict(Counter), Counter()
+    for k, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(k).encode()) % 4 != 2:
+            counts[lang].update(grams(text))
+            seen[lang] += 1
+    out = {}
+    for k, text, _ in rows:
+        log_p, bag = {}, Counter(grams(text))
+        for lang in sorted(seen):
+            total = sum(counts[lang].values()) + language_id.SMOOTHING * buckets
+            log_p[lang] = np.log(seen[lang] / sum(seen.values())) + sum(n * np.log((counts[lang][g] + language_id.SMOOTHING) / total) for g, n in bag.items())
+        best = max(log_p, key=log_p.get)
+        out[k] = (best, 1 / sum(np.exp(v - log_p[best]) for v in log_p.values())) if bag else ("und", 0.0)
+    return out
+
+
+def test_language_id_is_naive_bayes(docs, texts, monkeypatch):
+    want = bayes([(k, t, ["en", "de", None][k % 3]) for k, t in texts.items()])
+    for gather in (language_id.GATHER, 64):  # long texts go over several gathers
+        monkeypatch.setattr(language_id, "GATHER", gather)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+        assert got.keys() == want.keys()
+        for k, (lang, p) in want.items():
+            assert got[k][0] == lang and abs(got[k][1] - p) < 1e-6, k
+
+
+def test_language_id_ties_go_to_the_first_name(spark):
+    rows = spark.createDataFrame([(k, "the same words", lang) for k, lang in ((0, "y"), (1, "x"), (3, "x"), (4, "y"))], "doc_id long, text string, lang string")
+    model = language_id.train(rows)
+    assert {(r.lang_pred, round(r.score, 9)) for r in language_id.predict(rows, model).collect()} == {("x", 0.5)}
+
+
 def test_language_id_without_letters(spark, docs, empty):
     got = {r.doc_id: r for r in language_id.identify(docs).collect()}
     assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and got[0].score == 0
@@ -335,6 +381,78 @@ def test_quality(spark, sf_dir):
     assert sum(got[k] == bool(q) for k, q in truth.items()) >= 0.9 * len(truth)
 
 
+def labelled(text):
+    """Votes of one text by the labellers' definitions, and its words' features, one word at a time."""
+    words = (text or "").encode().split()
+    n = len(words)
+    shapes, features = [], Counter()
+    for w in words:
+        kinds = {0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 13 if c > 127 else b".,!#$%&*|".index(c) + 3 if c in b".,!#$%&*|" else 12 for c in w}
+        shapes.append(kinds)
+        features[sum(1 << k for k in kinds)] += 1
+        features[(1 << 14) + int(common.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) // (1 << 40) % quality.WORD_BUCKETS] += 1
+    low = [w.lower() for w in words]
+    again = [k > 0 and low[k] == low[k - 1] for k in range(n)]
+    features[quality._SIZE - 2] += sum(again)
+    upper = [1 in s and 0 not in s and len(w) > 2 for s, w in zip(shapes, words, strict=True)]
+    odd = [bool(s & set(range(5, 12))) for s in shapes]
+    share = lambda x: sum(map(bool, x)) / max(n, 1)
+    size = min(quality.WINDOW, n)
+    parts = [low[min(k, n - size) :][:size] for k in range(0, n, size or 1)]
+    variety = sum(len(set(p)) / size for p in parts) / len(parts) if n >= 40 else 1
+    bad = [share(s & set(range(6, 11)) for s in shapes) > 0.2, share(again) > 0.2, share(upper) > 0.3, variety < 0.2, share(5 in s for s in shapes) > 0.2, share(11 in s for s in shapes) > 0.2]
+    stops, plain = share(3 in s for s in shapes), share(not (a or b or c) for a, b, c in zip(upper, odd, again, strict=True))
+    votes = [0 if b and n >= 5 else -1 for b in bad] + [1 if 0.02 < stops < 0.5 and plain > 0.8 else -1, 1 if plain > 0.9 else 0 if plain < 0.6 and n >= 5 else -1]
+    return (votes if n else [-1] * 8), {k: v for k, v in features.items() if v}, n
+
+
+def test_quality_is_em_and_a_logistic_scorer(spark, texts):
+    rng = random.Random(9)
+    more = [" ".join(rng.choice(["Fine words.", "plain", "text", "SHOUT", "##", "a|b", "wow!", "same same same", "x,"]) for _ in range(rng.randint(1, 80))) for _ in range(150)]
+    given = {k: t for k, t in [*texts.items(), *((100 + k, t) for k, t in enumerate(more))]}
+    known = {k: labelled(t) for k, t in given.items()}
+    # EM over the documents themselves, one at a time.
+    post = {k: 1 / (1 + np.exp(-(v.count(1) - 2.0 * v.count(0)))) for k, (v, _, _) in known.items()}
+    for _ in range(quality.ROUNDS):
+        prior = sum(post.values()) / len(post)
+        p = {(c, j, v): 0.5 for c in (0, 1) for j in range(8) for v in (-1, 0, 1)}
+        for k, (votes, _, _) in known.items():
+            for j, v in enumerate(votes):
+                p[1, j, v] += post[k]
+                p[0, j, v] += 1 - post[k]
+        sums = {(c, j): sum(p[c, j, v] for v in (-1, 0, 1)) for c in (0, 1) for j in range(8)}
+        for k, (votes, _, _) in known.items():
+            odds = np.log(prior / (1 - prior)) + sum(np.log(p[1, j, v] / sums[1, j]) - np.log(p[0, j, v] / sums[0, j]) for j, v in enumerate(votes))
+            post[k] = 1 / (1 + np.exp(-min(max(odds, -50), 50)))
+    # Adagrad over dictionaries, on the documents with a vote.
+    taught = [k for k in sorted(known) if set(known[k][0]) != {-1}]
+    assert 50 < len(taught) < len(known)
+    bag = {k: {**{b: float(np.float32(c / max(1, n))) for b, c in f.items()}, quality._SIZE - 1: 1.0} for k, (_, f, n) in known.items()}
+    w, seen, order = defaultdict(float), defaultdict(lambda: 1e-3), np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        for at in order.permutation(len(taught)):
+            x = bag[taught[at]]
+            slope = 1 / (1 + np.exp(-sum(w[b] * v for b, v in x.items()))) - post[taught[at]]
+            for b, v in x.items():
+                g = slope * v + quality.DECAY * w[b]
+                seen[b] += g * g
+                w[b] -= quality.STEP * g / np.sqrt(seen[b])
+    rows = [(k, t) for k, t in given.items()]
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got.keys() == given.keys()
+    for k, r in got.items():
+        score = 1 / (1 + np.exp(-sum(w[b] * v for b, v in bag[k].items()))) if known[k][2] else 0.0
+        assert abs(r.p_weak - post[k]) < 1e-6 and abs(r.score - score) < 1e-4 and r.good == (r.score >= 0.5), k
+
+
+def test_quality_repeated_rows_teach_once(spark, texts):
+    rows = [(k, t) for k, t in texts.items()]
+    one, many = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows + [(40, texts[40])] * 50))
+    # The vote histogram counts every row; the sample holds each document once.
+    assert quality.classify(many).count() == len(rows) + 50
+    assert quality.classify(one, sample=5).count() == len(rows)
+
+
 def test_quality_variety_counts_every_word():
     rng = random.Random(5)
     varied = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
@@ -352,7 +470,7 @@ def test_quality_on_awkward_texts(docs, texts):
 
 OPERATORS = {
     "jaccard": jaccard_join.jaccard_join, "exact": exact_dedup.exact_dedup, "suffix": suffix_dedup.suffix_dedup, "language": lambda d: language_id.predict(d, {"langs": [], "orders": (1,), "log_p": np.zeros((9, 0)), "log_prior": np.zeros(0)}),
-    "license": license_scan.license_scan, "quality": quality.classify, "bpe": lambda d: bpe.encode(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "identify": language_id.identify, "license": license_scan.license_scan, "quality": quality.classify, "bpe": lambda d: bpe.encode(d, public_tokenizers.path("byte_bpe_50k.json")),
 }
 
 
