@@ -108,6 +108,7 @@ def test_large_sides_meet_in_a_grid(spark, monkeypatch, above):
     for q in range(12):
         far = sorted((abs(at[q] - at[r]), r) for r in range(12) if r != q and (above is None or abs(at[q] - at[r]) > 2))
         want += [(q, r, float(d), n + 1) for n, (d, r) in enumerate(far[:3])]
+    want.sort()
     found = lambda: sorted(tuple(r) for r in neighbours.nearest(v, v, 3, leave_self=True, above=above).select("q", "id", "d", "rank").collect())
     assert found() == want
     monkeypatch.setattr(neighbours, "BROADCAST_BYTES", -1)
