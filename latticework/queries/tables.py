@@ -8,7 +8,8 @@ from ..operators import neighbours as nn
 from ..operators import triage as t
 from ..operators.ordered import before, sorted_digest
 from ..operators.spatial import RESIDUES, residue_features
-from ..plans.views import ATOM_SQL, STRUCT_SQL, VEC_SQL, atoms, structures, table, vectors
+from ..plans.views import ATOM_SQL, SITE_SQL, STRUCT_SQL, VEC_SQL, atoms, sites, structures, table, vectors
+from ..sources import npz, sinks
 from ..sources import text as s
 
 
@@ -200,11 +201,74 @@ def tr3(spark, d):
 
 
 def tr4(spark, d):
-    """Errors become a status with a reason; a missing input has a status of its own."""
-    x = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.substring("text", 1, 1 + (F.col("doc_id") % 3).cast("int"))).alias("v"))
-    n = F.expr("try_cast(conv(hex(v), 16, 10) as bigint) % 7")
-    status = F.when(F.col("v").isNull(), "no_structure").when(n == 0, "unavailable").otherwise("scored")
-    return x.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """Status of every structure: some were never fetched, in some a line has lost its coordinates."""
+    sid = F.substring_index(s.stem(F.col("path")), "s", -1).cast("long")
+    lines = _pdb_lines(spark, d).where(sid % 9 != 0)
+    torn = F.when((sid % 7 == 0) & (F.col("line") > 2), F.concat(F.substring("value", 1, 34), F.lit("--"), F.substring("value", 37, 50))).otherwise(F.col("value"))
+    return s.scan_status(structures(spark, d).select(F.concat(F.lit("s"), "sid").alias("id")), lines.withColumn("value", torn))
+
+
+def sc1(spark, d):
+    """Structure scan: of two models in a file the first one counts, with its temperature factors."""
+    one = _pdb_lines(spark, d)
+    end = one.where("line = 1").select("path", F.lit(100).alias("line"), F.lit("ENDMDL").alias("value"))
+    again = one.select("path", F.col("line") + 200, "value")
+    p = s.parse_pdb(one.union(end).union(again))
+    return p.groupBy(s.stem(F.col("path")).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("b_factor"), 2).alias("b"))
+
+
+def sc3(spark, d):
+    """Probe scan: the occupancy column holds the probability of a site."""
+    a = atoms(spark, d)
+    line = s.pdb_line(F.col("idx") + 1, F.col("atom_name"), F.col("res_name"), F.col("chain_id"), F.col("res_id"), *(F.col(c) for c in "xyz"), F.least(F.lit(1.0), F.col("b_factor") / 100), F.lit(0.0), F.col("element"))
+    p = s.parse_pdb(a.select(F.concat(F.lit("s"), "sid").alias("path"), "idx", line.alias("value")).withColumnRenamed("idx", "line"))
+    return p.groupBy(F.col("path").alias("id")).agg(F.round(F.sum("occupancy"), 2).alias("total"), F.count_if(F.col("occupancy") >= 0.5).alias("n_sites"))
+
+
+def _metals(spark, d):
+    m = F.struct("site_idx", F.array("x", "y", "z").alias("at"), F.col("probability").alias("p"))
+    return sites(spark, d).groupBy("sid").agg(F.array_sort(F.collect_list(m)).alias("m"))
+
+
+def sc4(spark, d):
+    """Pocket archives, written and read: every fourth is of the older kind with one metal, some of them without a
+    confidence; a pocket without metals has none."""
+    a = atoms(spark, d).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("idx", F.array("x", "y", "z").alias("at"), "res_id", "atom_name"))).alias("a"))
+    old, given = F.col("sid") % 4 == 0, F.size("m") > 0
+    conf = F.when(old & given & (F.col("sid") % 8 != 0), F.col("m")[0]["p"])
+    r = a.join(_metals(spark, d), "sid", "left").select(
+        F.concat(F.lit("s"), "sid").alias("path"), F.to_json(F.struct("sid", conf.alias("metal_confidence"))).alias("metadata"),
+        F.transform("a", lambda z: z["at"]).alias("coords"), F.transform("a", lambda z: z["res_id"]).alias("res_ids"), F.transform("a", lambda z: z["atom_name"]).alias("atom_names"),
+        F.when(~old & given, F.transform("m", lambda z: z["at"])).alias("metal_coords"), F.when(~old & given, F.transform("m", lambda z: z["p"])).alias("metal_probabilities"), F.when(old & given, F.col("m")[0]["at"]).alias("metal_coord"),
+    )
+    path = sinks.shared_folder(spark, "pockets")
+    npz.archives(r).write.parquet(path)
+    p = npz.unpack(spark.read.parquet(path))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    return p.select(F.col("path").alias("id"), "n_atoms", F.size("metal_coords").alias("n_metals"), F.round(add("metal_probabilities"), 6).alias("p"), F.round(add(F.flatten("metal_coords")), 6).alias("place"), F.round(add(F.flatten("coords")), 5).alias("total"))
+
+
+def sc6(spark, d):
+    """Two-metal templates: what is wrong with each structure as a template of its family's first subclass."""
+    x = structures(spark, d).join(_metals(spark, d), "sid", "left")
+    fault = s.template_fault(F.when(F.col("family") != "", F.col("sid")), F.col("sid"), F.col("subclass"), F.lit("B1"), F.coalesce(F.size("m"), F.lit(0)))
+    return x.select("sid", fault.alias("fault"))
+
+
+def sk5(spark, d):
+    """FASTA, written and read back; texts without a letter are not written."""
+    path = sinks.shared_folder(spark, "fasta")
+    x = table(spark, d, "documents")
+    sinks.write_fasta(x, F.concat(F.lit("d"), "doc_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), path)
+    return s.read_fasta(spark, path).select("id", F.length("sequence").alias("n"), F.sha2("sequence", 256).alias("digest"))
+
+
+def sk7(spark, d):
+    """An export is made when no row failed, and read back."""
+    path = sinks.shared_folder(spark, "export")
+    x = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
+    sinks.export_all_or_none(x.withColumn("failed", F.col("last").isNull()), "failed", path)
+    return spark.read.parquet(path)
 
 
 def tr6(spark, d):
@@ -307,6 +371,7 @@ def ge44(spark, d):
 
 
 QUERIES = {
+    "sc1_structure_scan": sc1, "sc3_probe_scan": sc3, "sc4_pocket_archives": sc4, "sc6_template_check": sc6, "sk5_fasta": sk5, "sk7_all_or_none": sk7,
     "sc2_pdb_parse": sc2, "sc7_manifest": sc7, "sc8_keyed_last": sc8, "sc9_pair_table": sc9, "sc10_clusters": sc10, "sc11_domains": sc11, "sc12_fasta": sc12, "sc13_json": sc13, "sc14_mean_pool": sc14, "sc15_alignment_guard": sc15,
     "sc21_pocket_score": sc21, "sc22_record_extraction": sc22, "sc23_ids": sc23, "sk1_json": sk1, "sk3_pdb_lines": sk3, "sk6_pivot_rows": sk6, "fi5_composition": fi5, "fi6_hash_sample": fi6, "fi7_exclusion": fi7, "fi8_mapping": fi8,
     "fi9_validation": fi9, "fi10_id_sets": fi10, "fi11_overlap": fi11, "fi12_resume": fi12, "fi14_confidence": fi14, "fi15_ablation": fi15, "fi16_slice": fi16, "fi17_metadata": fi17, "fi18_union": fi18, "fi19_hash_guard": fi19,
@@ -353,6 +418,16 @@ ORACLE_SQL = {
     "tr1_triage": "SELECT CASE WHEN l_quantity > 30 AND l_discount > 0.05 THEN 'dual_support' WHEN l_quantity > 30 THEN 'structure_only' WHEN l_discount > 0.05 THEN 'retrieval_only' ELSE 'unresolved' END AS triage, count(*) AS n FROM lineitem GROUP BY 1",
     "tr2_shortlist": "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber < 6 AND l_quantity > 20 AND l_quantity * 2 >= 70 AND NOT l_tax > 0.06 AND NOT l_discount > 0.05 GROUP BY 1",
     "tr3_pilot": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 20 AND NOT l_tax > 0.05 AND NOT l_discount > 0.05 GROUP BY 1",
+    "sc1_structure_scan": f"WITH {ATOM_SQL} SELECT 's' || sid AS id, count(*) AS n, round(avg(printf('%.2f', b_factor)::DOUBLE), 2) AS b FROM atom GROUP BY sid",
+    "sc3_probe_scan": f"WITH {ATOM_SQL}, o AS (SELECT sid, printf('%.2f', least(1.0, b_factor / 100))::DOUBLE AS o FROM atom) SELECT 's' || sid AS id, round(sum(o), 2) AS total, count(*) FILTER (WHERE o >= 0.5) AS n_sites FROM o GROUP BY sid",
+    "sc4_pocket_archives": f"""WITH {ATOM_SQL}, {SITE_SQL}, m AS (SELECT sid, count(*) AS n_metals, sum(CASE WHEN sid % 8 = 0 THEN 0.7 ELSE probability END) AS p, sum(x + y + z) AS place FROM site WHERE sid % 4 <> 0 OR site_idx = 0 GROUP BY sid)
+      SELECT 's' || sid AS id, count(*)::INT AS n_atoms, any_value(n_metals)::INT AS n_metals, round(any_value(p), 6) AS p, round(any_value(place), 6) AS place, round(sum(x + y + z), 5) AS total FROM atom LEFT JOIN m USING (sid) GROUP BY sid""",
+    "sc6_template_check": f"""WITH {STRUCT_SQL}, {SITE_SQL}, m AS (SELECT sid, count(*) AS n FROM site GROUP BY sid) SELECT sid, CASE WHEN family = '' THEN 'template_id differs' WHEN subclass IS DISTINCT FROM 'B1' THEN 'subclass differs'
+      WHEN n IS DISTINCT FROM 2 THEN 'a template has two metals' END AS fault FROM structure LEFT JOIN m USING (sid)""",
+    "sk5_fasta": "WITH x AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM documents) SELECT 'd' || doc_id AS id, length(t) AS n, sha256(t) AS digest FROM x WHERE length(t) > 0",
+    "sk7_all_or_none": "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY o_custkey",
+    "tr4_error_status": """SELECT 's' || vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN 'no_structure_fetched' WHEN vec_id % 7 = 0 THEN 'unavailable' ELSE 'scored' END AS status,
+      CASE WHEN vec_id % 9 <> 0 AND vec_id % 7 = 0 THEN 'line 3: a coordinate is no number' END AS reason, CASE WHEN vec_id % 9 <> 0 AND vec_id % 7 <> 0 THEN 21 END AS n_atoms FROM embeddings""",
     "tr6_report": "SELECT CASE WHEN contains(html, '</html>') THEN 'ok' ELSE 'failed' END AS status, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1",
     "tr7_triplets": f"""WITH {STRUCT_SQL}, p AS (SELECT sid, row_number() OVER (ORDER BY sha256(sid::VARCHAR)) AS r FROM structure WHERE label = 'positive'), n AS (SELECT sid, row_number() OVER (ORDER BY sha256(sid::VARCHAR)) AS r FROM structure WHERE label = 'negative')
       SELECT p.sid AS anchor, q.sid AS positive, n.sid AS negative FROM p JOIN p q ON q.r = p.r % (SELECT count(*) FROM p) + 1 JOIN n ON n.r = p.r""",

@@ -1,4 +1,4 @@
-"""SC4 and SC5: NumPy archives (parallel arrays and JSON metadata), one file a record."""
+"""SC4, SC5 and SK2: NumPy archives (parallel arrays and JSON metadata), one file or one Parquet row a record."""
 
 from __future__ import annotations
 
@@ -27,9 +27,37 @@ def decode(path: str, content: bytes) -> dict:
         return {"path": path, "metadata": json.dumps(meta, sort_keys=True), "n_atoms": len(coords), "metal_coords": metals, "metal_probabilities": p, "coords": coords, "res_ids": get("res_ids", []), "atom_names": get("atom_names", [])}
 
 
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
+def encode(record: dict) -> bytes:
+    """One compressed archive of metadata (JSON) and the arrays that are not null."""
+    out = io.BytesIO()
+    np.savez_compressed(out, metadata=np.array(record["metadata"] or "{}"), **{k: np.array(_plain(v)) for k, v in record.items() if k != "metadata" and v is not None})
+    return out.getvalue()
+
+
+def _plain(v) -> list:
+    return [_plain(x) if isinstance(x, (np.ndarray, list)) else x for x in v]
+
+
+def archives(records: DataFrame) -> DataFrame:
+    """SK2: path, content (the archive) for rows of path, metadata and arrays; write them as Parquet."""
+    arrays = [c for c in records.columns if c != "path"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "content": [encode(r) for r in f[arrays].to_dict("records")]})
+
+    return records.mapInPandas(run, "path string, content binary")
+
+
+def unpack(contents: DataFrame) -> DataFrame:
+    """The records of path and content."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame([decode(p, c) for p, c in zip(f["path"], f["content"], strict=True)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return contents.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    return unpack(spark.read.format("binaryFile").load(path))

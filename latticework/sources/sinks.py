@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; only where that is unset (one machine) a temporary folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="latticework-sink-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """SK1: a record a line."""
     df.write.mode("errorifexists").json(path)
@@ -21,6 +30,12 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.where(F.col(column).isNotNull()).select(column).write.mode("errorifexists").text(path, lineSep="\n")
 
 
+def write_fasta(df: DataFrame, name: Column, sequence: Column, path: str) -> None:
+    """SK5: a header and a sequence line a record; empty and null sequences are not written."""
+    record = F.when(F.length(sequence) > 0, F.concat(F.lit(">"), name, F.lit("\n"), sequence))
+    write_lines(df.select(record.alias("record")), "record", path)
+
+
 def export_all_or_none(rows: DataFrame, failed: str, path: str) -> int:
     """SK7: count the failures first; any aborts, and Spark's commit shows a finished write only."""
     n = rows.where(F.col(failed)).count()

@@ -41,6 +41,23 @@ def parse_pdb(lines: DataFrame) -> DataFrame:
     )
 
 
+def scan_status(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """TR4: id, status, reason, n_atoms of every wanted structure.  Without lines it is ``no_structure_fetched``; with
+    a coordinate that is no number ``unavailable``, and the reason names the first such line; else ``scored``."""
+    atom = F.trim(F.substring("value", 1, 6)).isin("ATOM", "HETATM")
+    numbers = [F.trim(F.substring("value", a, 8)).try_cast("double") for a in (31, 39, 47)]
+    bad = atom & (numbers[0] + numbers[1] + numbers[2]).isNull()
+    found = lines.groupBy(stem(F.col("path")).alias("id")).agg(F.min(F.when(bad, F.col("line"))).alias("bad"), F.count_if(atom).alias("n"))
+    status = F.when(F.col("n").isNull(), "no_structure_fetched").when(F.col("bad").isNotNull(), "unavailable").otherwise("scored")
+    reason = F.concat(F.lit("line "), F.col("bad").cast("string"), F.lit(": a coordinate is no number"))
+    return ids.select("id").join(found, "id", "left").select("id", status.alias("status"), reason.alias("reason"), F.when(status == "scored", F.col("n")).alias("n_atoms"))
+
+
+def template_fault(template_id: Column, wanted_id: Column, subclass: Column, wanted_subclass: Column, n_metals: Column) -> Column:
+    """SC6: what is wrong with a two-metal template; null if nothing is."""
+    return F.when(~template_id.eqNullSafe(wanted_id), "template_id differs").when(~subclass.eqNullSafe(wanted_subclass), "subclass differs").when(~n_metals.eqNullSafe(F.lit(2)), "a template has two metals")
+
+
 def pdb_line(serial: Column, name: Column, res: Column, chain: Column, res_id: Column, x: Column, y: Column, z: Column, occupancy: Column, b: Column, element: Column) -> Column:
     """SK3: one fixed-width ATOM line."""
     return F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", serial, name, res, chain, res_id, x, y, z, occupancy, b, element)
