@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, merkle, quality, suffix_dedup, token_store, warc, whitening
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, merkle, pii, quality, suffix_dedup, token_store, warc, whitening
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard_join.op1_ngram_jaccard,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_pii": pii.op12_pii,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
