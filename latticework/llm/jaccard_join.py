@@ -86,8 +86,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """kind 0: a document (a = doc_id, b = class, n = set size; the sketch comes with the first of a class in a
-    task); kind 1: a frequent shingle (a = hash, n = documents)."""
+    """kind 0: a document (a = doc_id, b = class, n = set size, key = its row's key; the sketch comes with the first of
+    a class in a task); kind 1: a frequent shingle (a = hash, n = documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -100,7 +100,8 @@ def _scan(docs: DataFrame) -> DataFrame:
             held.clear()
             seen.clear()
             size = 0
-            return _batch(np.ones(hot.sum(), np.int64), every[hot].view(np.int64), np.zeros(hot.sum(), np.int64), n[hot])
+            none = np.zeros(hot.sum(), np.int64)
+            return _batch(none + 1, every[hot].view(np.int64), none, n[hot], none)
 
         for b in slices(batches):
             ids, names, sizes, sketches = b.column("doc_id"), [], [], []
@@ -113,17 +114,17 @@ def _scan(docs: DataFrame) -> DataFrame:
                     seen.add(name)
                     held.append(s)
                     size += len(s)
-            yield _batch(np.zeros(len(names), np.int64), ids, np.array(names, np.int64), np.array(sizes, np.int64), sketches)
+            yield _batch(np.zeros(len(names), np.int64), ids, np.array(names, np.int64), np.array(sizes, np.int64), b.column("key"), sketches)
             if size > COUNT_SHINGLES:
                 yield frequent()
         yield frequent()
 
-    return docs.mapInArrow(run, "kind long, a long, b long, n long, sketch array<long>")
+    return docs.mapInArrow(run, "kind long, a long, b long, n long, key long, sketch array<long>")
 
 
-def _batch(kind, a, b, n, sketches: list | None = None) -> pa.RecordBatch:
+def _batch(kind, a, b, n, key, sketches: list | None = None) -> pa.RecordBatch:
     last = pa.array(sketches if sketches is not None else [None] * len(n), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([*(pa.array(c) if isinstance(c, np.ndarray) else c for c in (kind, a, b, n)), last], ["kind", "a", "b", "n", "sketch"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c) if isinstance(c, np.ndarray) else c for c in (kind, a, b, n, key)), last], ["kind", "a", "b", "n", "key", "sketch"])
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -274,25 +275,32 @@ def _deal(left: DataFrame, met: DataFrame, known: DataFrame) -> DataFrame:
     return left.join(split, "region", "left_anti").select(*cols).union(near).union(none)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows without an id, or that repeat one, apart by their texts."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), component (a
+    name of what is linked, null for a text without shingles) and key (``row_key`` of its id and text).
 
     Null, empty and blank texts have no shingles and are alone; very long texts are taken whole, one at a time.
-    Rows that repeat a doc_id each give a row; a null id is reported with its component's smallest id, null where
-    there is none.  An empty table gives no rows; other columns are not read.
+    Rows that repeat a doc_id each give a row.  Rows without an id link like others: they are reported with their
+    component's smallest id, null where there is none.  An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     scanned = cut(_scan(rows), "scan")
-    members = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"), "sketch")
-    # A class's text is read again by its smallest id; a class without any id stays alone.
-    grouped = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"))
+    members = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"), "key", "sketch")
+    # A class's text is read again by the smallest of its rows' keys.
+    grouped = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"))
     classes = cut(grouped, "classes")
     members = members.drop("sketch")
 
     top = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT_TABLE).toPandas().sort_values("a")
     hot = top["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
-    posts = _postings(rows.where("doc_id is not null"), hot[order], top["n"].to_numpy(np.int64)[order])
+    posts = _postings(rows, hot[order], top["n"].to_numpy(np.int64)[order])
     # The first round: the star of each region, its pivot against all others.
     stars = cut(posts.repartition("token", "salt").sortWithinPartitions("token", "class").mapInArrow(_stars, _STARS), "stars")
     dealt = stars.where("p is null").drop("p", "pn", "ppos", "open")
@@ -332,14 +340,15 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = cut(named.join(least, "component").select("class", "component_id"), "named")
+    found = cut(named.join(least, "component").select("class", "component", "component_id"), "named")
+    discard(classes, labels, known, stars)
     out = members.join(found, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component", "key")
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """x, s: the shingle hashes of the classes (class, rep) wanted, from the text of their smallest ids.
-    (Rows that repeat the id may give a class twice, or another one: neither changes what is verified.)"""
+    """x, s: the shingle hashes of the classes (class, key) wanted, from the rows of these keys.
+    (Rows that share a key may give a class twice, or another one: neither changes what is verified.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -348,10 +357,10 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             names = np.array([_class(s.view(np.uint64)) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets)))], ["x", "s"])
 
-    chosen = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    chosen = wanted.select("key").distinct()
     if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    return cut(rows.join(chosen, "doc_id", "left_semi").mapInArrow(run, "x long, s array<long>"), "sets")
+    return cut(rows.join(chosen, "key", "left_semi").mapInArrow(run, "x long, s array<long>"), "sets")
 
 
 def _folded(own: str, other: str) -> Column:
@@ -376,7 +385,7 @@ def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     if near.isEmpty():
         return shut
     ends = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-    sets = _fetch(rows, ends.join(classes.select("class", "rep"), "class"))
+    sets = _fetch(rows, ends.join(classes.select("class", "key"), "class"))
     one, two = sets.select(F.col("x").alias("a"), F.col("s").alias("sa")), sets.select(F.col("x").alias("b"), F.col("s").alias("sb"))
     counted = near.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     union = F.col("t") - F.col("i")
@@ -387,7 +396,7 @@ def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = r"""

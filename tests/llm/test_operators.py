@@ -79,6 +79,20 @@ def test_jaccard_join(docs, texts):
     assert {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs).collect()} == roots(texts)
 
 
+def test_jaccard_join_links_rows_without_ids(spark):
+    """A near copy without an id ties two documents that are not linked with each other; others have no id at all."""
+    words = [f"w{k}" for k in range(104)]
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    lone = " ".join(f"v{k}" for k in range(60))
+    far = changed(10, 20), changed(50, 60), changed()
+    assert roots({5: far[0], 9: far[1]})[9][2] == 9 and roots({5: far[0], 7: far[2], 9: far[1]})[9][2] == 5
+    rows = [(5, far[0]), (None, far[2]), (9, far[1]), (None, lone), (None, lone + " more"), (None, None), (None, "  ")]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1)] * 4 + [(-1, 5), (5, 5), (9, 5)]
+    names = [r.component for r in got if r.component is not None]
+    assert len(names) == 5 and len(set(names)) == 2
+
+
 def test_jaccard_join_recurses(docs, texts, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
     monkeypatch.setattr(jaccard_join, "FREQUENT_IN_TASK", 1 << 30)  # no order by frequency: regions stay hot

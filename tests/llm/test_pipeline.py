@@ -56,3 +56,16 @@ def test_exact_stage_keeps_rows_not_ids(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id or 0, r.text.lower()) for r in corpus_pipeline.drop_copies(spark, docs, sf_dir).collect())
     assert got == [(0, "a b"), (2, "c"), (3, "d"), (3, "e")]
+
+
+def test_near_copy_stage_keeps_rows_not_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(3, text), (None, text + " a"), (8, text + " b"), (3, other), (None, other + " a"), (None, "lone words of its own"), (None, None), (4, ""), (4, ""), (9, "p q r s t u"), (9, "p q r s t u")]
+    rows += [(None, " ".join(f"u{k}" for k in range(60)) + end) for end in ("", " a", " b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    free = [g for g in got if (g[1] or "").startswith("u0")]
+    assert len(free) == 1 and free[0][0] is None
+    want = [(3, text), (3, other), (None, "lone words of its own"), (None, None), (4, ""), (4, ""), (9, "p q r s t u")]
+    assert sorted(map(repr, (g for g in got if g not in free))) == sorted(map(repr, want))
