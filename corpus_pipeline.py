@@ -5,7 +5,7 @@ digest of each document).  ``run`` writes every stage's result as Parquet in the
 again, so a lost executor never reaches back beyond one stage.
 
 Null and empty texts leave in the first stage; very long texts are whole in every stage; rows that repeat an id
-with different texts are documents of their own, but for the near copies; an empty table runs through and gives no
+with different texts are documents of their own; an empty table runs through and gives no
 rows.  Further columns, whatever they are called, come along up to the last stage.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import bpe, common, decontaminate, exact_dedup, jaccard_join, language_id
@@ -35,19 +35,29 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = common.cut(kept, "kept")
     # By id and text, for rows without an id and rows that repeat one.
     same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (exact_dedup.text_digest(docs["text"]) == kept["kept_text"])
+    return _one_of_each(docs, kept, same, ["kept_id", "kept_text"])
+
+
+def _one_of_each(docs: DataFrame, kept: DataFrame, same: Column, key: list[str]) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names; where it names several rows alike (kept_rows), one of them."""
     if kept.where("kept_rows > 1").isEmpty():
         return docs.join(kept, same, "left_semi")
     found, row = docs.join(kept, same), f"row_{uuid.uuid4().hex}"
-    again = Window.partitionBy("kept_id", "kept_text").orderBy("text")
-    return found.withColumn(row, F.row_number().over(again)).where(F.col(row) == 1).select(*(docs[c] for c in docs.columns))
+    again = Window.partitionBy(*(kept[c] for c in key)).orderBy(docs["text"])
+    return found.withColumn(row, F.when(kept["kept_rows"] > 1, F.row_number().over(again)).otherwise(1)).where(F.col(row) == 1).select(*(docs[c] for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest id.  Rows that repeat an id
-    are one document to this filter (as are those without one): it stays if one of its rows stays."""
-    found = jaccard_join.jaccard_join(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each component of near copies stays: the one with the smallest id; where no row has an id, or
+    several have that one, the one whose key is least; of rows that repeat both id and text, one.  Texts without words
+    are linked with nothing, and stay."""
+    found = common.cut(jaccard_join.jaccard_join(docs).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), "component"), "linked")
+    first = F.min(F.struct(F.col("kept_id").isNull().alias("none"), "kept_id", "kept_key", "kept_rows")).alias("first")
+    each = found.where("component is not null").groupBy("component", "kept_id", "kept_key").agg(F.count(F.lit(1)).alias("kept_rows"))
+    kept = each.groupBy("component").agg(first).select("first.kept_id", "first.kept_key", "first.kept_rows")
+    kept = common.cut(kept.union(found.where("component is null").select("kept_id", "kept_key", F.lit(1)).distinct()), "kept")
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (jaccard_join.row_key(docs["doc_id"], docs["text"]) == kept["kept_key"])
+    return _one_of_each(docs, kept, same, ["kept_id", "kept_key"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
