@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import sequences
 from ..operators.ordered import sorted_digest
 from ..plans.views import PAIR_SQL, pairs, table
 
@@ -144,6 +145,13 @@ def gr21(spark, d):
     return m.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("id") % 3 == 0).cast("int")), 6).alias("sensitivity"))
 
 
+def gr22(spark, d):
+    """Documents as sequences of words, all against all; the edges of GR1 are marked."""
+    found = sequences.search(table(spark, d, "documents").select(F.col("doc_id").alias("id"), sequences.words(F.col("text")).alias("s")))
+    edge = (F.col("identity") >= 0.3) & (F.least("query_coverage", "target_coverage") >= 0.8)
+    return found.select(F.col("a").alias("query"), F.col("b").alias("target"), F.round("identity", 6).alias("identity"), F.round("query_coverage", 6).alias("query_coverage"), F.round("target_coverage", 6).alias("target_coverage"), edge.alias("edge"))
+
+
 def gr23(spark, d):
     """Directory hash: names and file hashes in order, with count and bytes; a source is a directory."""
     x = table(spark, d, "documents").select("source", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("e"), "doc_id", F.octet_length("text").alias("b"))
@@ -169,7 +177,7 @@ def gr26(spark, d):
 QUERIES = {
     "gr1_sequence_edges": gr1, "gr2_structure_edges": gr2, "gr3_components": gr3, "gr4_threshold_sweep": gr4, "gr5_composition": gr5, "gr6_feasibility": gr6, "gr7_dominant_family": gr7, "gr8_greedy_balance": gr8, "gr9_panels": gr9,
     "gr10_leave_family_out": gr10, "gr11_operational_split": gr11, "gr12_integrity": gr12, "gr13_similarity_audit": gr13, "gr14_leaks": gr14, "gr15_identity_distribution": gr15, "gr16_search_completeness": gr16,
-    "gr17_panel_composition": gr17, "gr18_majority_stratum": gr18, "gr19_stratified_folds": gr19, "gr20_validation_carve": gr20, "gr21_identity_bins": gr21, "gr23_directory_hash": gr23, "gr24_file_hash": gr24,
+    "gr17_panel_composition": gr17, "gr18_majority_stratum": gr18, "gr19_stratified_folds": gr19, "gr20_validation_carve": gr20, "gr21_identity_bins": gr21, "gr22_sequence_search": gr22, "gr23_directory_hash": gr23, "gr24_file_hash": gr24,
     "gr25_content_hash": gr25, "gr26_fold_pivot": gr26,
 }
 
