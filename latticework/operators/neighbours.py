@@ -2,8 +2,8 @@
 
 Vectors: id, v (array<double>, all of one length; rows with a null vector are left out).  Ties go to the smaller
 id.  A side whose bytes were counted and are few goes to every task as one matrix and the other side streams past
-it; else both sides are dealt into blocks of bounded size, and each pair of blocks is one group.  Either way a block
-of references keeps its k best of each query before results meet, so no task sees all references of a query.
+it; else references are found through a metric index (``metric_index``).  Either way a block of references keeps its
+k best of each query before results meet, so no task sees all references of a query.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _checkpoint
+from .metric_index import best, search
 from .ordered import before
 
-#: Bytes of vectors that may be broadcast, rows of a block of the grid, rows of a batch that are compared at once.
-BROADCAST_BYTES, BLOCK_ROWS, BATCH_ROWS = 64 << 20, 8192, 4096
+#: Bytes of vectors that may be broadcast, rows of a batch that are compared at once.
+BROADCAST_BYTES, BATCH_ROWS = 64 << 20, 4096
 _FOUND = "q long, id long, d double"
 
 
@@ -28,26 +29,6 @@ def _matrix(ids: pa.Array, v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids.to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 1)
 
 
-def _best(q: np.ndarray, qv: np.ndarray, above: np.ndarray | None, r: np.ndarray, rv: np.ndarray, k: int, leave_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, reference, distance) of the k nearest references in a block for each query."""
-    at, ids, far = [], [], []
-    for n in range(len(q)):
-        d = np.sqrt(((rv - qv[n]) ** 2).sum(axis=1))
-        ok = np.ones(len(d), bool)
-        if leave_self:
-            ok &= r != q[n]
-        if above is not None:
-            ok &= d > above[n]
-        c = np.flatnonzero(ok)
-        if len(c) > k:
-            c = c[d[c] <= np.partition(d[c], k - 1)[k - 1]]
-        c = c[np.lexsort((r[c], d[c]))][:k]
-        at.append(np.full(len(c), q[n]))
-        ids.append(r[c])
-        far.append(d[c])
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (at, ids, far))
-
-
 def _size(df: DataFrame) -> tuple[int, int]:
     """Rows and bytes of the vectors."""
     n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
@@ -75,23 +56,13 @@ def _compared(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool, abo
                     if not len(ids) or not len(own):
                         continue
                     if few_queries:
-                        got = _best(ids, v, top if above else None, own, ov, k, leave_self)
+                        got = best(ids, v, top if above else None, own, ov, k, leave_self)
                     else:
-                        got = _best(own, ov, b.column("above").to_numpy(zero_copy_only=False) if above else None, ids, v, k, leave_self)
+                        got = best(own, ov, b.column("above").to_numpy(zero_copy_only=False) if above else None, ids, v, k, leave_self)
                     yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["q", "id", "d"])
 
         return (r if few_queries else q).mapInArrow(run, _FOUND)
-    rows, cols = -(-nq // BLOCK_ROWS), -(-nr // BLOCK_ROWS)
-    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64"})
-        got = _best(a["id"].to_numpy(), np.stack(a["v"]), a["above"].to_numpy() if above else None, b["id"].to_numpy(), np.stack(b["v"]), k, leave_self)
-        return pd.DataFrame(dict(zip(["q", "id", "d"], got, strict=True))).astype({"q": "int64", "id": "int64"})
-
-    left, right = deal(q, "block_q", rows, "block_r", cols), deal(r, "block_r", cols, "block_q", rows)
-    return left.groupBy("block_q", "block_r").cogroup(right.groupBy("block_q", "block_r")).applyInPandas(block, _FOUND)
+    return search(q, r, k, leave_self, bool(above), nr)
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = False, above: str | None = None) -> DataFrame:
@@ -133,9 +104,9 @@ def mean_vector(vectors: DataFrame, *keys: str) -> DataFrame:
 def percentile_below(scores: DataFrame, value: str, calibration: DataFrame, x: str) -> DataFrame:
     """KN5's percentile: the share of calibration values strictly below each score.  Values are counted once per
     distinct value, and a running sum over the distinct values of both sides gives every score its place."""
-    total = F.lit(calibration.where(F.col(x).isNotNull()).count())
+    known = _checkpoint(calibration.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    total = F.lit(known.agg(F.sum("__n")).first()[0])
     asked = scores.select(F.col(value).alias("__v")).where("__v is not null").distinct().withColumn("__n", F.lit(0))
-    known = calibration.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    merged = asked.unionByName(known).groupBy("__v").agg(F.sum("__n").alias("__n"))
+    merged = _checkpoint(asked.unionByName(known).groupBy("__v").agg(F.sum("__n").alias("__n")))
     below = before(merged, ["__v"], "__below", "__n").select("__v", (F.col("__below") / total).alias("percentile"))
     return scores.join(below, F.col(value) == F.col("__v"), "left").drop("__v")

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets of a running sum, and rows sampled for their bounds.
-BUCKETS, SAMPLE = 32, 4000
+#: Buckets of a running sum, at least; rows of one bucket, up to 256 buckets; rows sampled for their bounds.
+BUCKETS, BUCKET_ROWS, SAMPLE = 32, 1 << 20, 4000
 
 
 def before(df: DataFrame, order: list[str], name: str, value: str | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def before(df: DataFrame, order: list[str], name: str, value: str | None = None)
     n = df.count()
     rows = df.select(*order).dropna().sample(min(1.0, SAMPLE / max(n, 1)), seed=7).collect() if n > SAMPLE else []
     bounds = sorted({tuple(r) for r in rows})
-    bounds = bounds[:: max(1, len(bounds) // BUCKETS)][1:]
+    bounds = bounds[:: max(1, len(bounds) // max(BUCKETS, min(256, n // BUCKET_ROWS)))][1:]
     kinds = [df.schema[c].dataType for c in order]
     place = F.lit(0)
     for b in bounds:

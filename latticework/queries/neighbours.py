@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance_n
 from ..operators import neighbours as nn
+from ..operators.graph import _checkpoint as once
 from ..plans.views import VEC_SQL, table, vectors
 
 K = 5
@@ -51,7 +52,7 @@ def _calibration(spark, d):
 
 
 def kn5(spark, d):
-    near = _near(spark, d)
+    near = once(_near(spark, d))
     v = nn.vote_fraction(near, F.col("label") == "positive")
     listed = near.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"].cast("string")), ",").alias("neighbours"))
     out = nn.percentile_below(v, "nearest", _calibration(spark, d), "c").join(listed, "q")

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from latticework.operators import neighbours, ordered
+from latticework.operators import metric_index, neighbours, ordered
 
 
 def test_before_with_many_buckets(spark, monkeypatch):
@@ -43,8 +43,8 @@ def test_sorted_digest(spark):
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_nearest(spark, monkeypatch, limit):
-    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", limit)  # the grid of blocks where nothing may be broadcast
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", limit)  # the metric index where nothing may be broadcast
+    monkeypatch.setattr(metric_index, "BLOCK", 7)
     monkeypatch.setattr(neighbours, "BATCH_ROWS", 7)
     rng = random.Random(3)
     rows = [(k, [float(rng.randrange(3)) for _ in range(4)] if k % 11 else None, f"l{k % 2}") for k in range(60)]

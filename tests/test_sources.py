@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.operators import graph, neighbours, triage
+from latticework.operators import graph, metric_index, neighbours, triage
 from latticework.sources import npz, sinks
 from latticework.sources import text as s
 
@@ -112,5 +112,5 @@ def test_large_sides_meet_in_a_grid(spark, monkeypatch, above):
     found = lambda: sorted(tuple(r) for r in neighbours.nearest(v, v, 3, leave_self=True, above=above).select("q", "id", "d", "rank").collect())
     assert found() == want
     monkeypatch.setattr(neighbours, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(metric_index, "BLOCK", 5)
     assert found() == want
