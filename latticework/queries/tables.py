@@ -9,7 +9,7 @@ from ..operators import triage as t
 from ..operators.ordered import before, sorted_digest
 from ..operators.spatial import RESIDUES, residue_features
 from ..plans.views import ATOM_SQL, SITE_SQL, STRUCT_SQL, VEC_SQL, atoms, sites, structures, table, vectors
-from ..sources import npz, sinks
+from ..sources import npz, paged, pdb_source, sinks
 from ..sources import text as s
 
 
@@ -114,6 +114,52 @@ def sk6(spark, d):
     return o.select("o_custkey", F.concat_ws(",", *(F.coalesce(F.col(c), F.lit(0)) for c in "FOP")).alias("row"))
 
 
+def sc2_source(spark, d):
+    """Chain A's nitrogens out of files, by the data source; both conditions are the reader's."""
+    pdb_source.register(spark)
+    path = sinks.shared_folder(spark, "structures")
+    rows = _pdb_lines(spark, d).withColumn("id", s.stem(F.col("path")))
+    rows.repartition("id").sortWithinPartitions("id", "line").select("id", "value").write.partitionBy("id").text(path)
+    found = spark.read.format("latticework_pdb").schema("id string, chain_id string, element string, x double, y double, z double, b_factor double").load(path)
+    found = found.where((F.col("chain_id") == "A") & F.col("element").isin("N", "O"))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("element") == "O").alias("n_o"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum(F.col("y") + F.col("z")), 3).alias("syz"), F.round(F.avg("b_factor"), 2).alias("b"))
+
+
+def _accept():
+    return [t.hash_sample(F.col("accession"), 0.5), t.composition(F.col("sequence"), {"H": 3, "D": 1, "C": 1})]
+
+
+def _entries(spark, d):
+    e = table(spark, d, "documents").where("text is not null")
+    return e.select(F.format_string("P%09d", "doc_id").alias("accession"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"), F.col("lang").alias("organism"))
+
+
+def sc17(spark, d):
+    """Every page of a paged store, sampled by hash and by composition."""
+    paged.register(spark)
+    path = sinks.shared_folder(spark, "pages")
+    paged.write_pages(_entries(spark, d), path, 500)
+    found = spark.read.format("latticework_paged").load(path)
+    for condition in _accept():
+        found = found.where(condition)
+    return found.select("accession", "organism", F.length("sequence").alias("n"))
+
+
+def sc18(spark, d):
+    """A scan that stops at the store's end and goes on when pages were added; labelled entries are excluded."""
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("pages", "accepted", "state"))
+    entries = _entries(spark, d)
+    half = entries.agg(F.max("accession")).first()[0]
+    half = f"P{int(half[1:]) // 2:09d}" if half else ""
+    excluded = table(spark, d, "labels").select(F.format_string("P%09d", "doc_id").alias("accession")).distinct()
+    paged.write_pages(entries.where(F.col("accession") < half), path, 200)
+    paged.scan_into(spark, path, out, state, _accept(), excluded)
+    pages = spark.read.parquet(path).agg(F.max(F.col("cursor").cast("int"))).first()[0]
+    paged.write_pages(entries.where(F.col("accession") >= half), path, 200, first=pages + 1)
+    paged.scan_into(spark, path, out, state, _accept(), excluded)
+    return spark.read.parquet(out).select("accession", "organism", F.length("sequence").alias("n"))
+
+
 def fi5(spark, d):
     up = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return table(spark, d, "documents").where(t.composition(up, {"H": 3, "D": 1, "C": 1})).select("doc_id")
@@ -373,7 +419,7 @@ def ge44(spark, d):
 QUERIES = {
     "sc1_structure_scan": sc1, "sc3_probe_scan": sc3, "sc4_pocket_archives": sc4, "sc6_template_check": sc6, "sk5_fasta": sk5, "sk7_all_or_none": sk7,
     "sc2_pdb_parse": sc2, "sc7_manifest": sc7, "sc8_keyed_last": sc8, "sc9_pair_table": sc9, "sc10_clusters": sc10, "sc11_domains": sc11, "sc12_fasta": sc12, "sc13_json": sc13, "sc14_mean_pool": sc14, "sc15_alignment_guard": sc15,
-    "sc21_pocket_score": sc21, "sc22_record_extraction": sc22, "sc23_ids": sc23, "sk1_json": sk1, "sk3_pdb_lines": sk3, "sk6_pivot_rows": sk6, "fi5_composition": fi5, "fi6_hash_sample": fi6, "fi7_exclusion": fi7, "fi8_mapping": fi8,
+    "sc21_pocket_score": sc21, "sc22_record_extraction": sc22, "sc23_ids": sc23, "sc2_pdb_source": sc2_source, "sc17_paged_scan": sc17, "sc18_resumable_scan": sc18, "sk1_json": sk1, "sk3_pdb_lines": sk3, "sk6_pivot_rows": sk6, "fi5_composition": fi5, "fi6_hash_sample": fi6, "fi7_exclusion": fi7, "fi8_mapping": fi8,
     "fi9_validation": fi9, "fi10_id_sets": fi10, "fi11_overlap": fi11, "fi12_resume": fi12, "fi14_confidence": fi14, "fi15_ablation": fi15, "fi16_slice": fi16, "fi17_metadata": fi17, "fi18_union": fi18, "fi19_hash_guard": fi19,
     "tr1_triage": tr1, "tr2_shortlist": tr2, "tr3_pilot": tr3, "tr4_error_status": tr4, "tr6_report": tr6, "tr7_triplets": tr7, "tr8_semi_hard": tr8, "tr9_triplet_loss": tr9, "tr10_message_passing": tr10, "tr13_per_seed": tr13,
     "tr14_candidate": tr14, "tr15_freeze": tr15, "tr16_comparator": tr16, "ge9_transform": ge9, "ge30_one_hot": ge30, "ge31_features": ge31, "ge44_chain_sequences": ge44,
@@ -381,6 +427,8 @@ QUERIES = {
 
 _UP = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 _PL = "pl AS (SELECT l_orderkey * 10 + l_linenumber AS line, 'p' || (l_partkey % 50) AS q, 'p' || (l_suppkey % 50) AS t, l_quantity * 2 / 100 AS identity, least(1 - l_discount, 1 - l_tax) AS coverage FROM lineitem)"
+_ENTRIES = "WITH e AS (SELECT doc_id, printf('P%09d', doc_id) AS accession, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence, lang AS organism FROM documents WHERE text IS NOT NULL)"
+_SAMPLED = "('0x' || substr(sha256(accession), 1, 8))::BIGINT / 4294967295.0 < 0.5 AND " + " AND ".join(f"length(sequence) - length(replace(sequence, '{c}', '')) >= {n}" for c, n in (("H", 3), ("D", 1), ("C", 1)))
 ORACLE_SQL = {
     "sc2_pdb_parse": f"WITH {ATOM_SQL} SELECT 's' || sid AS id, count(*) AS n, round(sum(printf('%.3f', x)::DOUBLE), 3) AS sx, round(avg(printf('%.2f', b_factor)::DOUBLE), 2) AS b, count(*) FILTER (WHERE element = 'N') AS n_n, max(res_id)::INT AS last FROM atom GROUP BY sid",
     "sc7_manifest": "SELECT p_partkey AS key, p_size AS tier, CASE WHEN p_size > 25 THEN NULL ELSE p_type END AS subclass, p_partkey % 3 = 0 AS is_predicted, p_partkey % 2 = 0 AS is_reference_bank FROM part",
@@ -394,6 +442,10 @@ ORACLE_SQL = {
     "sc15_alignment_guard": "SELECT vec_id AS id, vec_id % 3 = 1 AS aligned, CASE WHEN vec_id % 3 = 1 THEN 21 ELSE NULL END AS used FROM embeddings",
     "sc21_pocket_score": "SELECT p_brand AS path, arg_min(p_retailprice, p_partkey) FILTER (WHERE p_size > 40) AS score FROM part GROUP BY p_brand",
     "sc22_record_extraction": f"WITH {ATOM_SQL} SELECT 's' || sid AS id, count(*) AS n FROM atom WHERE atom_name = 'SG' AND chain_id = 'A' GROUP BY sid",
+    "sc2_pdb_source": f"""WITH {ATOM_SQL}, o AS (SELECT 's' || sid AS id, element, printf('%.3f', x)::DOUBLE AS x, printf('%.3f', y)::DOUBLE AS y, printf('%.3f', z)::DOUBLE AS z, printf('%.2f', b_factor)::DOUBLE AS b FROM atom WHERE chain_id = 'A' AND element IN ('N', 'O'))
+      SELECT id, count(*) AS n, count(*) FILTER (WHERE element = 'O') AS n_o, round(sum(x), 3) AS sx, round(sum(y + z), 3) AS syz, round(avg(b), 2) AS b FROM o GROUP BY id""",
+    "sc17_paged_scan": f"{_ENTRIES} SELECT accession, organism, length(sequence) AS n FROM e WHERE {_SAMPLED}",
+    "sc18_resumable_scan": f"{_ENTRIES} SELECT accession, organism, length(sequence) AS n FROM e WHERE {_SAMPLED} AND doc_id NOT IN (SELECT doc_id FROM labels)",
     "sc23_ids": "SELECT DISTINCT 'WP_' || page_id || '.1' AS id FROM pages",
     "sk1_json": """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json FROM nation""",
     "sk3_pdb_lines": f"WITH {ATOM_SQL} SELECT 's' || sid AS id, idx + 1 AS line, printf('ATOM  %5d %-4s %3s %1s%4d    ', idx + 1, atom_name, res_name, chain_id, res_id) AS head, 78 AS width FROM atom",
