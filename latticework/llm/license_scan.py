@@ -54,9 +54,12 @@ LONG = {
         ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 #: Words in a window and between the starts of two: a run of WORDS - STEP + 1 words lies whole in some window.
-SCALES = ((8, 2), (22, 4))
-BANDS, GUARANTEE, CONTAINMENT, MAX_TEMPLATES = 24, 0.999, 0.75, 10_000
-PART = SCALES[-1][0] - SCALES[-1][1] + 1
+SCALES = ((8, 2), (22, 4), (4, 2))
+#: The scale of long templates' parts; the last one is for two words, whose one shingle the others hold too rarely.
+WIDE = 1
+#: Templates that are broadcast at a time; words of a text that are scanned as one row.
+BANDS, GUARANTEE, CONTAINMENT, MAX_TEMPLATES, CHUNK = 24, 0.999, 0.75, 10_000, 512
+PART = SCALES[WIDE][0] - SCALES[WIDE][1] + 1
 SPLIT = "[^a-z0-9]+"
 
 
@@ -69,7 +72,7 @@ def _scale(words: int) -> int:
 
 def _slack(words: Column) -> Column:
     """Words that a long template's stretch has more on either side."""
-    return F.lit(SCALES[-1][0]) + F.floor(words / 4).cast("int")
+    return F.lit(SCALES[WIDE][0]) + F.floor(words / 4).cast("int")
 
 
 def _words(text: Column) -> Column:
@@ -87,10 +90,8 @@ def _min_hash(shingles: Column, band: int) -> Column:
 
 
 def templates(spark: SparkSession, notices: dict[str, str] = TEMPLATES) -> DataFrame:
-    """license, words, whole (its shingles), and of each part: offset (its first word), scale, shingles, signature
-    (at most MAX_TEMPLATES: they are broadcast)."""
-    if len(notices) > MAX_TEMPLATES:
-        raise ValueError("more templates than may be broadcast")
+    """license, words, whole (its shingles), and of each part: offset (its first word), scale, shingles, signature.
+    Templates of one word have no shingles and are not among them."""
     rows = spark.createDataFrame(sorted(notices.items()), "license string, notice string")
     worded = rows.select("license", _words(F.col("notice")).alias("w")).where("size(w) > 1").select("license", F.size("w").alias("words"), "w", F.array_distinct(_shingles("w")).alias("whole"))
     last = F.col("words") - PART
@@ -107,11 +108,32 @@ def license_scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, threshold
     the first such window begins, from 0).  A template of more than PART words has as its windows the stretches
     about its parts.
 
-    Null, empty and one-word texts have no shingles and find nothing; rows that repeat a doc_id count as one
-    document; a null doc_id is a document of its own.  Other columns are not read.
+    Null and empty texts, and those without a letter or digit, find nothing; one-word texts only templates of one
+    word.  Rows that repeat a doc_id count as one document; a null doc_id is a document of its own.  Very long texts are
+    scanned in chunks that overlap by as much as the longest template may take up, in proportion to their words.  An
+    empty table gives no rows.  Other columns are not read.  More than MAX_TEMPLATES templates are scanned for in turn.
     """
-    spark = docs.sparkSession
-    known = templates(spark, notices)
+    names = sorted(notices)
+    parts = [_scanned(docs, {n: notices[n] for n in names[k : k + MAX_TEMPLATES]}, threshold) for k in range(0, max(1, len(names)), MAX_TEMPLATES)]
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    return found
+
+
+def _single(worded: DataFrame, notices: dict[str, str]) -> DataFrame:
+    """Templates of one word: a window of one word either holds it or not."""
+    spark = worded.sparkSession
+    rows = spark.createDataFrame(sorted(notices.items()), "license string, notice string").select("license", _words(F.col("notice")).alias("w"))
+    ones = rows.where("size(w) = 1").select("license", F.col("w")[0].alias("one"))
+    sought = sorted({r.one for r in ones.collect()})
+    hits = worded.select("doc_id", F.posexplode("w").alias("word", "one")).where(F.col("one").isin(sought))
+    return hits.join(F.broadcast(ones), "one").groupBy("doc_id", "license").agg(F.lit(1.0).alias("containment"), F.min("word").alias("word"))
+
+
+def _scanned(docs: DataFrame, notices: dict[str, str], threshold: float) -> DataFrame:
+    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("w"))
+    known = templates(docs.sparkSession, notices)
     sought = known.select("license", "offset", "scale", F.posexplode("signature").alias("band", "key"))
     wholes = known.select("license", "words", F.col("whole").alias("template")).dropDuplicates(["license"])
     longest = known.agg(F.max("words")).first()[0] or 0
@@ -119,40 +141,46 @@ def license_scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, threshold
     behind = known.select("scale", F.explode("shingles").alias("h"), "signature").select(
         "scale", "h", F.explode(F.array(*(F.when(F.xxhash64("h", F.lit(k)) == F.element_at("signature", k + 1), F.col("h")) for k in range(BANDS)))).alias("s")
     )
-    keys = {k: [] for k in range(len(SCALES))}
-    for k, s in behind.where("s is not null").select("scale", "s").distinct().collect():
-        keys[k].append(s)
-    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("w")).where("size(w) > 1")
-    every = sorted({s for v in keys.values() for s in v})
-    places = worded.select("doc_id", _shingles("w").alias("all")).select("doc_id", "all", F.posexplode("all").alias("pos", "h")).where(F.col("h").isin(every))
-    # The windows of each scale about a place, from the one pass over the texts.
+    keys: dict[int, list[int]] = {k: [] for k in range(len(SCALES))}
+    for k, h in behind.where("s is not null").select("scale", "s").distinct().collect():
+        keys[k].append(h)
+    # Chunks of the text: what follows carries a chunk and its margins, never the text.
+    reach = longest + SCALES[WIDE][0] + longest // 4 if longest > PART else 0
+    margin = reach + SCALES[WIDE][0]
+    whole = worded.where("size(w) > 1").select("doc_id", _shingles("w").alias("all"))
+    cuts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / CHUNK).cast("int"))
+    chunk = lambda c: F.struct((c * CHUNK).alias("low"), F.greatest(F.lit(0), c * CHUNK - margin).alias("base"), F.slice("all", F.greatest(F.lit(0), c * CHUNK - margin) + 1, c * CHUNK + CHUNK + margin - F.greatest(F.lit(0), c * CHUNK - margin)).alias("all"))
+    chunks = whole.select("doc_id", F.explode(F.transform(cuts, chunk)).alias("c")).select("doc_id", "c.low", "c.base", "c.all")
+
+    # The different windows of each scale about the places of such shingles.
     def about(k: int, size: int, step: int) -> Column:
-        first = F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 2) / step)).cast("int")
-        starts = F.sequence(first, F.floor(F.col("pos") / step).cast("int"))
-        found = F.transform(starts, lambda j: F.struct(F.lit(k).alias("scale"), (j * step).alias("word"), F.lit(size - 1).alias("n")))
-        return F.when(F.col("h").isin(keys[k]), found).otherwise(F.array().cast("array<struct<scale:int,word:int,n:int>>"))
-
-    spans = [about(k, size, step) for k, (size, step) in enumerate(SCALES)]
-    # With long templates, also as much of the text as the longest may take up about a window.
-    reach = F.lit(longest) + _slack(F.lit(longest))
+        own = F.transform("all", lambda h, i: F.when(h.isin(keys[k]) & (i + F.col("base") >= F.col("low")) & (i + F.col("base") < F.col("low") + CHUNK), i + F.col("base")))
+        starts = lambda pos: F.sequence(F.greatest(F.lit(0), F.ceil((pos - size + 2) / step)).cast("int"), F.floor(pos / step).cast("int"))
+        windows = F.array_distinct(F.flatten(F.transform(F.filter(own, lambda p: p.isNotNull()), starts)))
+        return F.transform(windows, lambda j: F.struct(F.lit(k).alias("scale"), (j * step).alias("word"), F.lit(size - 1).alias("n")))
+
+    spans = [about(k, size, step) for k, (size, step) in enumerate(SCALES) if keys[k]]
+    if not spans:
+        return _single(worded, notices)
     begin = F.greatest(F.lit(0), F.col("s.word") - reach)
-    stretch = F.when(F.col("s.scale") == len(SCALES) - 1, F.slice("all", begin + 1, F.col("s.word") + reach - begin))
-    wide = [begin.alias("begin"), stretch.alias("stretch")] if longest > PART else []
-    windows = places.select("doc_id", "all", F.explode(F.concat(*spans)).alias("s")).select("doc_id", "s.scale", "s.word", F.slice("all", F.col("s.word") + 1, F.col("s.n")).alias("window"), *wide)
+    stretch = F.when(F.col("s.scale") == WIDE, F.slice("all", begin - F.col("base") + 1, F.col("s.word") + reach - begin))
+    wide = [begin.alias("begin"), stretch.alias("stretch")] if reach else []
+    windows = chunks.select("doc_id", "base", "all", F.explode(F.concat(*spans)).alias("s")).select("doc_id", "s.scale", "s.word", F.slice("all", F.col("s.word") - F.col("base") + 1, F.col("s.n")).alias("window"), *wide)
     bands = windows.select("*", F.posexplode(F.array(*(_min_hash(F.col("window"), k) for k in range(BANDS)))).alias("band", "key"))
     met = bands.join(F.broadcast(sought), ["scale", "band", "key"])
     met = met.join(F.broadcast(wholes), "license")
-    if longest > PART:
+    if reach:
         starts = F.col("word") - F.col("offset") - _slack(F.col("words"))
         first = F.greatest(F.lit(0), starts)
         whole = F.slice("stretch", first - F.col("begin") + 1, F.greatest(F.lit(0), F.col("word") - F.col("offset") + F.col("words") + _slack(F.col("words")) - first))
         long = F.col("words") > PART
         met = met.select("doc_id", "license", "template", F.when(long, first).otherwise(F.col("word")).alias("word"), F.when(long, whole).otherwise(F.col("window")).alias("window"))
     held = F.size(F.array_intersect("window", "template")) / F.size("template")
-    return (
+    found = (
         met.select("doc_id", "license", "word", held.alias("containment")).where(F.col("containment") >= threshold)
         .groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min_by("word", F.struct(-F.col("containment"), "word")).alias("word"))
     )
+    return found.union(_single(worded, notices))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -377,6 +378,32 @@ def test_license_scan(spark, texts):
     assert dict(got) == {k: {(name, 1.0)} for k, name in enumerate(license_scan.TEMPLATES)} | {94: {("all-rights-reserved", 1.0)}, None: {("all-rights-reserved", 1.0)}}
 
 
+def test_license_scan_short_templates_and_chunks(spark, texts, monkeypatch):
+    """Templates of one and two words; any cut of texts and of templates gives the same rows."""
+    notes = {"one": "MIT", "two": "MIT License.", "other": "zlib", **license_scan.TEMPLATES}
+    rows = [(1, "the MIT license"), (2, "permit MIT, or License"), (3, "ZLIB"), (4, None), (5, ""), (6, "mit"), (7, texts[72] + " mit license " + texts[72])]
+    rows += [(8, " ".join(license_scan.TEMPLATES.values()) * 9), (9, texts[72] + " " + license_scan.LONG["mit-text"] + " " + texts[72])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scan = lambda: sorted((r.doc_id, r.license, r.containment, r.word) for r in license_scan.license_scan(df, notes | license_scan.LONG).collect())
+    want = scan()
+    assert {r[:3] for r in want if r[0] < 8} == {(1, "one", 1.0), (1, "two", 1.0), (2, "one", 1.0), (3, "other", 1.0), (6, "one", 1.0), (7, "one", 1.0), (7, "two", 1.0)}
+    assert {r[1] for r in want if r[0] == 8} >= set(license_scan.TEMPLATES) and (9, "mit-text", 1.0) in {r[:3] for r in want}
+    monkeypatch.setattr(license_scan, "CHUNK", 5)
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATES", 4)
+    assert scan() == want
+
+
+def test_license_scan_takes_time_in_proportion(spark):
+    notices = " ".join(license_scan.TEMPLATES.values())
+    seconds = []
+    for times in (150, 150, 1500):  # the first run compiles; then 9,000 and 90,000 words
+        df = spark.createDataFrame([(1, (notices + " ") * times)], "doc_id long, text string")
+        began = time.time()
+        assert license_scan.license_scan(df, license_scan.TEMPLATES | license_scan.LONG).count() >= 7
+        seconds.append(time.time() - began)
+    assert seconds[2] < 14 * seconds[1] + 5, seconds
+
+
 def test_license_scan_long_texts(spark, texts):
     words = {k: v.split() for k, v in license_scan.LONG.items()}
     mit = words["mit-text"]
