@@ -1,65 +1,86 @@
-"""Operators that need NumPy in a task: surface area and seeded controls.  Each works on one structure."""
+"""Surface area and seeded controls, in Catalyst expressions: SQL repeats them number by number.
+
+Random numbers are counters: the first digits of a SHA-256 over seed, structure and row.  They depend on nothing but
+these, so a lost task draws the same again, and rows need not be gathered to draw for them.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
 
-#: Van der Waals radii by element, the probe's radius, and points on a sphere.
-RADII, PROBE, POINTS = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8}, 1.4, 96
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..functions.geometry import distance, point
+from .spatial import range_join
 
-def _sphere(n: int) -> np.ndarray:
-    k = np.arange(n) + 0.5
-    z, turn = 1 - 2 * k / n, np.pi * (1 + 5**0.5) * k
-    r = np.sqrt(1 - z * z)
-    return np.stack([r * np.cos(turn), r * np.sin(turn), z], axis=1)
+#: Van der Waals radii by element (OTHER for all more), the probe's radius, and words of spots on a sphere.
+RADII, OTHER, PROBE, WORDS, WORD = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8}, 1.7, 1.4, 2, 48
 
 
-def surface_area(atoms: DataFrame) -> DataFrame:
-    """GE29: sid, res_id, area (accessible area / 100), by rolling a probe over each atom's sphere."""
-    ball = _sphere(POINTS)
+def sphere(n: int = WORDS * WORD) -> list[tuple[float, float, float]]:
+    """n spots spread evenly over the unit sphere (a golden spiral)."""
+    out = []
+    for k in range(n):
+        z, turn = 1 - 2 * (k + 0.5) / n, math.pi * (1 + 5**0.5) * (k + 0.5)
+        r = math.sqrt(1 - z * z)
+        out.append((r * math.cos(turn), r * math.sin(turn), z))
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        at = pdf[["x", "y", "z"]].to_numpy()
-        r = pdf["element"].map(RADII).fillna(1.7).to_numpy() + PROBE
-        area = np.zeros(len(pdf))
-        for k in range(len(pdf)):
-            spots = at[k] + r[k] * ball
-            near = np.flatnonzero((np.linalg.norm(at - at[k], axis=1) < r + r[k]) & (np.arange(len(pdf)) != k))
-            hid = (np.linalg.norm(spots[:, None] - at[near][None], axis=2) < r[near]).any(axis=1) if len(near) else np.zeros(POINTS, bool)
-            area[k] = 4 * np.pi * r[k] ** 2 * (~hid).mean()
-        out = pdf.assign(area=area / 100).groupby(["sid", "res_id"], as_index=False)["area"].sum()
-        return out[["sid", "res_id", "area"]]
 
-    return atoms.select("sid", "idx", "res_id", "element", "x", "y", "z").groupBy("sid").applyInPandas(run, "sid long, res_id int, area double")
+def radius(element: Column) -> Column:
+    """Of an atom with the probe."""
+    return F.coalesce(*(F.when(element == e, r + PROBE) for e, r in RADII.items()), F.lit(OTHER + PROBE))
 
 
-def permute_coordinates(atoms: DataFrame, seed: int) -> DataFrame:
-    """MT17: a structure's coordinates dealt anew over its donors by a generator seeded with seed + sid."""
+def surface_area(atoms: DataFrame) -> DataFrame:
+    """GE29: sid, res_id, area (accessible area / 100), by rolling a probe over each atom's sphere.
+
+    Neighbours come from a radius join.  A neighbour hides the spots of a cap: those whose direction u has
+    u . (b - a) > (d^2 + ra^2 - rb^2) / (2 ra).  A cap is a mask of bits, the union of caps is a ``bit_or``, and the
+    area follows from the count of bits.  atoms: sid, idx, res_id, element, x, y, z."""
+    own = atoms.select("sid", "idx", "res_id", radius(F.col("element")).alias("r"), "x", "y", "z")
+    reach = 2 * (max(*RADII.values(), OTHER) + PROBE)
+    near = range_join(own, own.drop("res_id"), reach).where((F.col("idx") != F.col("r_idx")) & (F.col("d") < F.col("r") + F.col("r_r")))
+    beyond = (F.col("d") * F.col("d") + F.col("r") * F.col("r") - F.col("r_r") * F.col("r_r")) / (2 * F.col("r"))
+    way = [F.col(f"r_{c}") - F.col(c) for c in "xyz"]
+    spots = sphere()
+
+    def cap(word: int) -> Column:
+        bits = F.lit(0).cast("long")
+        for k, u in enumerate(spots[word * WORD : (word + 1) * WORD]):
+            hidden = sum((v * w for v, w in zip(way[1:], u[1:], strict=True)), way[0] * u[0]) > beyond
+            bits = bits + F.when(hidden, F.lit(1 << k)).otherwise(F.lit(0))
+        return bits
+
+    caps = near.select("sid", "idx", *(cap(w).alias(f"w{w}") for w in range(WORDS))).groupBy("sid", "idx").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)))
+    hidden = sum((F.bit_count(F.coalesce(f"w{w}", F.lit(0))) for w in range(1, WORDS)), F.bit_count(F.coalesce("w0", F.lit(0))))
+    free = 1 - hidden / len(spots)
+    area = 4 * math.pi * F.col("r") * F.col("r") * free / 100
+    return own.join(caps, ["sid", "idx"], "left").groupBy("sid", "res_id").agg(F.sum(area).alias("area"))
+
+
+def uniform(seed: int, stream: str, *keys: str) -> Column:
+    """A number from 0 to 1 of these keys; another stream, another number."""
+    digest = F.sha2(F.concat_ws(":", F.lit(f"{seed}{stream}"), *keys), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        order = np.random.default_rng(seed + int(pdf["sid"].iloc[0])).permutation(len(pdf))
-        pdf[["x", "y", "z"]] = pdf[["x", "y", "z"]].to_numpy()[order]
-        return pdf
 
-    return atoms.groupBy("sid").applyInPandas(run, atoms.schema)
+def permute_coordinates(atoms: DataFrame, seed: int) -> DataFrame:
+    """MT17: a structure's coordinates dealt anew over its donors: the donor that is k-th by idx gets those of the one
+    that is k-th by its random number."""
+    by = Window.partitionBy("sid")
+    ranked = atoms.withColumn("__u", uniform(seed, "p", "sid", "idx"))
+    own = ranked.drop("x", "y", "z").withColumn("__k", F.row_number().over(by.orderBy("idx"))).drop("__u")
+    dealt = ranked.select("sid", "x", "y", "z", F.row_number().over(by.orderBy("__u", "idx")).alias("__k"))
+    return own.join(dealt, ["sid", "__k"]).select(*atoms.columns)
 
 
 def scramble_directions(bonds: DataFrame, seed: int) -> DataFrame:
-    """MT18: each donor moved to a random direction from its metal, at the same distance.
-    bonds: sid, idx, x, y, z (donor) and mx, my, mz (metal)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        way = np.random.default_rng(seed + int(pdf["sid"].iloc[0])).normal(size=(len(pdf), 3))
-        way /= np.linalg.norm(way, axis=1, keepdims=True)
-        metal = pdf[["mx", "my", "mz"]].to_numpy()
-        length = np.linalg.norm(pdf[["x", "y", "z"]].to_numpy() - metal, axis=1, keepdims=True)
-        pdf[["x", "y", "z"]] = metal + way * length
-        return pdf
-
-    return bonds.groupBy("sid").applyInPandas(run, bonds.schema)
+    """MT18: each donor moved to a random direction from its metal, at the same distance.  All directions are alike:
+    the height and the turn about the axis are uniform.  bonds: sid, idx, x, y, z (donor) and mx, my, mz (metal)."""
+    z, turn = 1 - 2 * uniform(seed, "z", "sid", "idx"), 2 * math.pi * uniform(seed, "t", "sid", "idx")
+    rows = bonds.withColumns({"__z": z, "__t": turn, "__l": distance(point(), point("m"))})
+    flat = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("__z") * F.col("__z")))
+    to = {"x": F.col("mx") + F.col("__l") * flat * F.cos("__t"), "y": F.col("my") + F.col("__l") * flat * F.sin("__t"), "z": F.col("mz") + F.col("__l") * F.col("__z")}
+    return rows.withColumns(to).select(*bonds.columns)
