@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import pdb_line
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; only where that is unset (one machine) a temporary folder."""
@@ -30,6 +32,20 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.where(F.col(column).isNotNull()).select(column).write.mode("errorifexists").text(path, lineSep="\n")
 
 
+def pocket_lines(pockets: DataFrame) -> DataFrame:
+    """SK4: id, line, value: the atoms of each pocket (path, coords, res_ids, atom_names, res_names, elements) as PDB
+    lines in chain A, whatever chains they came from."""
+    rows = pockets.select("path", F.posexplode(F.arrays_zip("coords", "res_ids", "atom_names", "res_names", "elements")).alias("n", "a"))
+    at = [F.col("a.coords")[k] for k in range(3)]
+    value = pdb_line(F.col("n") + 1, F.col("a.atom_names"), F.col("a.res_names"), F.lit("A"), F.col("a.res_ids"), *at, F.lit(1.0), F.lit(0.0), F.col("a.elements"))
+    return rows.select(F.col("path").alias("id"), (F.col("n") + 1).alias("line"), value.alias("value"))
+
+
+def write_pocket_files(lines: DataFrame, path: str) -> None:
+    """SK4: one file a pocket, below ``id=...``."""
+    lines.repartition("id").sortWithinPartitions("id", "line").select("id", "value").write.mode("errorifexists").partitionBy("id").text(path)
+
+
 def write_fasta(df: DataFrame, name: Column, sequence: Column, path: str) -> None:
     """SK5: a header and a sequence line a record; empty and null sequences are not written."""
     record = F.when(F.length(sequence) > 0, F.concat(F.lit(">"), name, F.lit("\n"), sequence))
