@@ -1,15 +1,17 @@
 """Operator 7: benchmark decontamination.
 
-The items' word windows, normalised, make one Aho-Corasick automaton.  The items' texts are broadcast after
-their size was checked; those beyond one block's bound are taken in blocks, one automaton at a time, and the
-hits are united.  Every document is scanned once for each block, in a narrow pass without a shuffle, and hits
-are mapped back to offsets in the original text.
+The items' word windows, normalised, make one Aho-Corasick automaton, which scans every text once; hits are mapped back
+to offsets in the original text.  An automaton holds BLOCK_BYTES of item text, which is also what is broadcast at a
+time.  More items make more blocks (a longer item is cut where windows overlap, so no window is lost): each block but
+the last goes over the texts in a pass of its own, which writes what it found by the digest of the text, and the last
+pass unites it all.  A task builds its automaton once and takes the texts in slices of about a megabyte.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, slices, table
 
-#: Words in a window, the most characters of item text that one automaton may hold, and that may be broadcast.
-WINDOW, BLOCK_BYTES, BROADCAST_BYTES = 10, 4 << 20, 256 << 20
+#: Words in a window, and the most bytes of item text in one automaton.
+WINDOW, BLOCK_BYTES = 10, 4 << 20
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -85,23 +87,59 @@ def offsets(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"begin": int(lead[starts[a]]), "end": int(lead[ends[b]])} for a, b in zip(heads, tails, strict=True)]
 
 
-def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The items in blocks of about ``limit`` bytes each, in the order of their ids."""
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if total > BROADCAST_BYTES:
-        raise ValueError(f"{total} characters of items; {BROADCAST_BYTES} may be broadcast: scan for parts of them in turn")
-    blocks: list[list[tuple[str, str]]] = [[]]
-    size = 0
+def pieces(text: str, size: int, limit: int) -> Iterator[str]:
+    """A text in parts of about ``limit`` bytes that hold the same windows."""
+    if len(text.encode("utf-8", "surrogatepass")) <= limit:
+        yield text
+        return
+    words = words_of(text)
+    start = end = 0
+    while end < len(words):
+        end, held = min(len(words), start + size), 0
+        while end < len(words) and held + len(words[end]) < limit:
+            held += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[start:end]).decode("utf-8", "surrogatepass")
+        start = end - size + 1
+
+
+def blocks_of(benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of about ``limit`` bytes each, in the order of their ids; one block is on the driver at a
+    time.  The last block may be empty."""
+    block: list[tuple[str, str]] = []
+    held = 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
-        if size and size + len(text) > limit:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += len(text)
-    return blocks
+        for piece in pieces(text, size, limit):
+            n = len(piece.encode("utf-8", "surrogatepass"))
+            if held and held + n > limit:
+                yield block
+                block, held = [], 0
+            block.append((item, piece))
+            held += n
+    yield block
 
 
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<begin:long,end:long>>"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+
+
+def _found(texts: DataFrame, block: list[tuple[str, str]], size: int) -> DataFrame:
+    """key, hit (numbers of words), names (of items) of the texts in which a block's windows occur."""
+    sent = texts.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automaton(sent.value, size)
+        for part in slices(batches):
+            keys, hits, names = [], [], []
+            for key, text in zip(part.column("key").to_pylist(), part.column("text"), strict=True):
+                _, hit, items = scan(found, text.as_py())
+                if items:
+                    keys.append(key)
+                    hits.append(hit.tolist())
+                    names.append(sorted(items))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["key", "hit", "names"])
+
+    return cut(texts.mapInArrow(run, "key string, hit array<long>, names array<string>").dropDuplicates(["key"]), "hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
@@ -110,32 +148,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
 
     ``spans`` are character offsets in the original text.  A null or empty text, and one without words,
     has no hits; items that are null or have no words occur nowhere; item ids are compared as strings.
-    Repeated rows each give a row; an empty benchmark finds nothing.
+    Repeated rows each give a row; an empty benchmark finds nothing; an empty table gives no rows.  Very long texts are
+    scanned whole, each as a slice of its own; very long items are cut into parts with the same windows.
     """
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(blocks_of(benchmark, limit))
+    carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col("doc_id").cast("long")
+    given = docs.select(carried.alias("row"), "text")
+    earlier: list[DataFrame] = []
+    last: list[tuple[str, str]] | None = None
+    for block in blocks_of(benchmark, size, limit):
+        if last is not None:
+            earlier.append(_found(docs.where("text is not null").select(F.md5("text").alias("key"), "text"), last, size))
+        last = block
+    if earlier:
+        hits = reduce(DataFrame.union, earlier).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+        given = given.withColumn("key", F.md5("text")).join(hits, "key", "left").select("row", "text", "hit", "names")
+    sent, united = docs.sparkSession.sparkContext.broadcast(last), bool(earlier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = automaton(sent.value[0], size) if len(sent.value) == 1 else None
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            scanned = None
-            for block in sent.value:
-                found = only if only is not None else automaton(block, size)
-                new = [scan(found, text) for text in texts]
-                scanned = new if scanned is None else [(n, np.union1d(a, b), i | j) for (n, a, i), (_, b, j) in zip(scanned, new, strict=True)]
-                del found
+        found = automaton(sent.value, size)
+        for part in slices(batches):
+            more = [part.column(c) for c in ("hit", "names")] if united else None
             rows = []
-            for text, (n, hit, items) in zip(texts, scanned, strict=True):
+            for k, scalar in enumerate(part.column("text")):
+                text = scalar.as_py()
+                n, hit, items = scan(found, text)
+                if more is not None and more[0][k].is_valid:
+                    hit, items = np.union1d(hit, np.array(more[0][k].as_py(), np.int64)), items | set(more[1][k].as_py())
                 names = sorted(items)
                 rows.append((n, len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0, names, offsets(text, hit) if len(hit) else []))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
             names = ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), _KINDS, strict=True))], names)
 
-    carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col("doc_id").cast("long")
-    given = docs.select(carried.alias("row"), "text")
     return given.mapInArrow(run, T.StructType([given.schema["row"], *T.StructType.fromDDL(SCHEMA)])).withColumnRenamed("row", "row" if carry else "doc_id")
 
 

@@ -188,7 +188,7 @@ def test_decontaminate(spark, docs, texts):
     items = [(1, texts[5]), (2, " ".join(texts[72].split()[50:75]).upper()), (10, "One, TWO: three!"), (3, None), (4, "..."), (12, "nothing like this occurs here at all in any of the texts")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_windows(texts, items)
-    for limit in (1 << 20, 40):  # one block, and several
+    for limit in (1 << 20, 300, 80):  # one block; several; items longer than a block
         for r in decontaminate.decontaminate(docs, bench, limit=limit).collect():
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id]
             cut = [decontaminate.words_of(texts[r.doc_id][s.begin : s.end]) for s in r.spans]
@@ -197,6 +197,14 @@ def test_decontaminate(spark, docs, texts):
     assert none.isEmpty()
 
 
+def test_pieces_hold_the_windows():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = " ".join(rng.choice(["a", "bcd", "éé", "x" * 9]) for _ in range(rng.randint(1, 60)))
+        parts = list(decontaminate.pieces(text, 10, rng.randint(1, 200)))
+        assert {w for p in parts for w in decontaminate.windows_of(decontaminate.words_of(p))} == set(decontaminate.windows_of(decontaminate.words_of(text)))
+
+
 def test_language_id(spark, sf_dir):
     d = common.table(spark, sf_dir, "documents")
     got = {r.doc_id: r for r in language_id.identify(d).collect()}
