@@ -168,24 +168,49 @@ def shell(d: Column) -> Column:
     return F.array(*(F.coalesce(c, F.lit(False)).cast("int") for c in (d < 5, (d >= 5) & (d < 9), d >= 9)))
 
 
-def coordination_fingerprint(structures: DataFrame, donors: DataFrame, sites: DataFrame) -> DataFrame:
-    """GE35 (without surface area): counts by element, six nearest distances, angles at the primary site,
-    deviations from ideal angles, bond-valence sum, distance between the sites.  donors: with GE5's columns."""
-    primary = sites.groupBy("sid").agg(F.min(F.struct("site_idx", "x", "y", "z")).alias("p"), F.count(F.lit(1)).alias("n_sites")).select("sid", "n_sites", F.col("p.site_idx").alias("site_idx"), *(F.col(f"p.{c}").alias(f"s{c}") for c in "xyz"))
-    r0 = F.when(F.col("element") == "O", 1.704).when(F.col("element") == "S", 2.09).otherwise(1.77)
-    counts = donors.groupBy("sid").agg(
-        *(F.count_if(F.col("element") == e).alias(f"n_{e.lower()}") for e in "NOS"), F.sum(bond_valence(F.col("d"), r0)).alias("valence"), F.slice(F.array_sort(F.collect_list("d")), 1, 6).alias("nearest")
+#: Bond-valence radii, ideal angles by coordination, and how far a second shell reaches.
+VALENCE_RADII = {"N": 1.77, "O": 1.70, "S": 2.01}
+IDEAL = {"tetrahedral": [109.5] * 6, "bipyramidal": [90.0] * 6 + [120.0] * 3 + [180.0], "octahedral": [90.0] * 12 + [180.0] * 3}
+SECOND_SHELL = 3.5
+
+
+def coordination_fingerprint(structures: DataFrame, atoms: DataFrame, sites: DataFrame, donors: dict[str, tuple[str, ...]], area: DataFrame, limit: float = 2.8) -> DataFrame:
+    """GE35: sid and 24 numbers: coordination number, counts by element, six nearest distances, angles of all donors at
+    the first site, deviations from the ideal angles, bond-valence sum and its deviation from 2, polar atoms of the
+    second shell, accessible area of the donors' residues, distance between two sites, number of sites, has_metal.
+
+    Without a site all are 0.  With one, what cannot be measured is null: distances beyond the coordination number,
+    angles of fewer than two donors, deviations at another number of angles, a second shell without donors, a distance
+    where there are not two sites.  area: sid, res_id, area of the whole chain (``workers.surface_area``)."""
+    first = sites.groupBy("sid").agg(F.min(F.struct("site_idx", "x", "y", "z")).alias("p"), F.count(F.lit(1)).alias("n_metal_sites")).select("sid", "n_metal_sites", *(F.col(f"p.{c}").alias(f"s{c}") for c in "xyz"))
+    held = canonical_donors(atoms, sites, donors, limit)
+    r0 = F.coalesce(*(F.when(F.col("element") == e, r) for e, r in VALENCE_RADII.items()))
+    counts = held.groupBy("sid").agg(
+        F.count(F.lit(1)).alias("cn"), *(F.count_if(F.col("element") == e).alias(f"n_{e.lower()}") for e in "NOS"), F.sum(bond_valence(F.col("d"), r0)).alias("valence"), F.slice(F.array_sort(F.collect_list("d")), 1, 6).alias("nearest")
     )
-    first = donors.join(primary.select("sid", "site_idx", "sx", "sy", "sz"), ["sid", "site_idx"])
-    b = first.select("sid", F.col("idx").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
-    angles = first.join(b, "sid").where("idx < j").select("sid", angle_degrees(point(), point("s"), point("b")).alias("a"))
+    at = held.join(first.select("sid", "sx", "sy", "sz"), "sid")
+    other = held.select("sid", F.col("idx").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
+    angles = at.join(other, "sid").where("idx < j").select("sid", angle_degrees(point(), point("s"), point("b")).alias("a"))
     stats = angles.groupBy("sid").agg(F.avg("a").alias("angle_mean"), F.stddev_pop("a").alias("angle_std"), F.min("a").alias("angle_min"), F.max("a").alias("angle_max"), F.array_sort(F.collect_list("a")).alias("angles"))
-    ideal = {"tetrahedral": [109.5] * 6, "bipyramidal": sorted([90.0] * 6 + [120.0] * 3 + [180.0]), "octahedral": sorted([90.0] * 12 + [180.0] * 3)}
-    dev = lambda want: F.when(F.size("angles") == len(want), F.sqrt(F.aggregate(F.zip_with("angles", F.array(*(F.lit(v) for v in want)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v) / len(want)))
-    two = sites.alias("u").join(sites.alias("v"), "sid").where("u.site_idx < v.site_idx").groupBy("sid").agg(F.min(distance(tuple(F.col(f"u.{c}") for c in "xyz"), tuple(F.col(f"v.{c}") for c in "xyz"))).alias("site_gap"))
-    out = structures.select("sid").join(primary.select("sid", "n_sites"), "sid", "left").join(counts, "sid", "left").join(stats, "sid", "left").join(two, "sid", "left")
-    return out.select(
-        "sid", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), *(F.coalesce(f"n_{e}", F.lit(0)).alias(f"n_{e}") for e in "nos"), *(F.try_element_at("nearest", F.lit(k + 1)).alias(f"d{k + 1}") for k in range(6)),
-        "angle_mean", "angle_std", "angle_min", "angle_max", *(dev(v).alias(f"dev_{k}") for k, v in ideal.items()), "valence", "site_gap",
-    )
-
+    residues = held.select("sid", "res_id").distinct()
+    canonical = F.lit(False)
+    for name, names in donors.items():
+        canonical = canonical | ((F.col("res_name") == name) & F.col("atom_name").isin(*names))
+    polar = atoms.where(F.col("element").isin("N", "O")).join(residues.withColumn("__own", F.lit(True)), ["sid", "res_id"], "left").where(~(canonical & F.coalesce("__own", F.lit(False))))
+    shell_ = range_join(polar.select("sid", "idx", "x", "y", "z"), held.select("sid", "x", "y", "z"), SECOND_SHELL).groupBy("sid").agg(F.count_distinct("idx").alias("second_shell"))
+    exposed = area.join(residues, ["sid", "res_id"], "left_semi").groupBy("sid").agg(F.sum("area").alias("area"))
+    u, v = (tuple(F.col(f"{k}.{c}") for c in "xyz") for k in "uv")
+    two = sites.alias("u").join(sites.alias("v"), "sid").where("u.site_idx < v.site_idx").groupBy("sid").agg(F.min(distance(u, v)).alias("gap"))
+    dev = lambda want: F.when(F.size("angles") == len(want), F.sqrt(F.aggregate(F.zip_with("angles", F.array(*(F.lit(w) for w in want)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, w: t + w) / len(want)))
+    j = structures.select("sid")
+    for side in (first, counts, stats, shell_, exposed, two):
+        j = j.join(side, "sid", "left")
+    metal, none = F.col("n_metal_sites").isNotNull(), F.lit(None).cast("double")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    made = {
+        "coordination_number": n("cn"), **{f"donor_{e}": n(f"n_{e}") for e in "nos"}, **{f"distance_{k + 1}": F.try_element_at("nearest", F.lit(k + 1)) for k in range(6)},
+        **{f"angle_{k}": F.col(f"angle_{k}") for k in ("mean", "std", "min", "max")}, **{f"deviation_{k}": dev(w) for k, w in IDEAL.items()},
+        "valence_sum": n("valence"), "valence_deviation": F.abs(n("valence") - 2), "second_shell": F.when(n("cn") > 0, n("second_shell")), "area": n("area"),
+        "site_gap": F.when(F.col("n_metal_sites") == 2, F.col("gap")).otherwise(none), "n_metal_sites": n("n_metal_sites"), "has_metal": F.lit(1.0),
+    }
+    return j.select("sid", *(F.when(metal, c).otherwise(0.0).alias(k) for k, c in made.items()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anchored, motif, spatial, workers
 from ..plans.views import ATOM_SQL, SITE_SQL, STRUCT_SQL, atoms, sites, structures, vectors
 from .motif import _FIT, _TRIADS, donors
-from .spatial import NEAR
+from .spatial import AREA_SQL, NEAR
 
 #: The controls' seeds.
 SEEDS = {"mt17": 20260820, "mt18": 20260819}
@@ -83,8 +83,6 @@ _U = "u AS (SELECT asg.*, name, list_avg(px) AS gx, list_avg(py) AS gy, list_avg
 _TAIL = _FIT[_FIT.index("cov AS (") :].replace("sid, oi, si, ni, perm, i1, i2, i3, dev", "sid, name, site_idx, i0, i1, i2").replace("/ 6, 0)) AS rmsd", "/ 4, 0)) AS rmsd")
 _SC = f"WITH {_PARTS}, {_ASG}, {_TPL}, {_U}, {_TAIL}, b AS (SELECT sid, name, min(rmsd) AS rmsd, count(*) AS n FROM fit GROUP BY ALL), sc AS (SELECT t.sid, tpl.name AS template, CASE WHEN h.sid IS NULL THEN 'unavailable' WHEN n IS NULL THEN 'not_applicable' WHEN rmsd <= 1.25 THEN 'supported' ELSE 'not_supported' END AS status, coalesce(n, 0) AS n_assignments, rmsd FROM structure t CROSS JOIN tpl LEFT JOIN (SELECT DISTINCT sid FROM site) h USING (sid) LEFT JOIN b ON b.sid = t.sid AND b.name = tpl.name)"
 _UNI = lambda seed, stream: f"(('0x' || substr(sha256('{seed}{stream}:' || sid || ':' || idx), 1, 8))::BIGINT / 4294967296.0)"
-_RADIUS = f"CASE element {' '.join(f'WHEN {e!r} THEN {r + workers.PROBE!r}' for e, r in workers.RADII.items())} ELSE {workers.OTHER + workers.PROBE!r} END::DOUBLE"
-_SPOTS = ", ".join(f"({k}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for k, (x, y, z) in enumerate(workers.sphere()))
 _PERMUTED = f"""raw AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY idx) AS k, row_number() OVER (PARTITION BY sid ORDER BY {_UNI(SEEDS['mt17'], 'p')}, idx) AS u FROM base),
 atom AS (SELECT o.sid, o.idx, o.role, n.x, n.y, n.z FROM raw o JOIN raw n ON n.sid = o.sid AND n.u = o.k)"""
 _LEN = "sqrt((n.x - s.x) * (n.x - s.x) + (n.y - s.y) * (n.y - s.y) + (n.z - s.z) * (n.z - s.z))"
@@ -96,11 +94,7 @@ ORACLE_SQL = {
     "ge15_anchored_score": f"{_SC} SELECT sid, template, status, n_assignments, round(rmsd, 4) AS rmsd FROM sc",
     "ge16_combined_templates": f"""{_SC} SELECT sid, bool_or(status = 'supported') AS supported, count(rmsd) AS n_evaluable, count(*) FILTER (WHERE status = 'supported') AS n_supported,
       coalesce(arg_min(template, (rmsd, template)) FILTER (WHERE status = 'supported'), arg_min(template, (rmsd, template)) FILTER (WHERE rmsd IS NOT NULL)) AS best, round(coalesce(min(rmsd) FILTER (WHERE status = 'supported'), min(rmsd)), 4) AS rmsd FROM sc GROUP BY sid""",
-    "ge29_surface_area": f"""WITH {ATOM_SQL}, s(k, ux, uy, uz) AS (VALUES {_SPOTS}), b AS (SELECT *, {_RADIUS} AS r FROM atom),
-      p AS (SELECT a.sid, a.idx, b.x - a.x AS vx, b.y - a.y AS vy, b.z - a.z AS vz, a.r AS ra, b.r AS rb FROM b a JOIN b ON b.sid = a.sid AND b.idx <> a.idx),
-      q AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS d FROM p),
-      h AS (SELECT sid, idx, count(DISTINCT k) AS n FROM (SELECT *, (d * d + ra * ra - rb * rb) / (2 * ra) AS beyond FROM q WHERE d < ra + rb) w JOIN s ON vx * ux + vy * uy + vz * uz > beyond GROUP BY ALL)
-      SELECT sid, res_id, round(sum(4 * pi() * r * r * (1 - coalesce(n, 0) / {len(workers.sphere())}) / 100), 6) AS area FROM b LEFT JOIN h USING (sid, idx) GROUP BY ALL""",
+    "ge29_surface_area": f"WITH {ATOM_SQL}, {AREA_SQL} SELECT sid, res_id, round(area, 6) AS area FROM area",
     "mt17_permutation_control": f"""WITH {ATOM_SQL.replace('atom AS', 'base AS', 1)}, {_PERMUTED}, {_TRIADS}, {_FIT}, best AS (SELECT sid, min(rmsd) AS rmsd, count(*) AS n FROM fit GROUP BY sid)
       SELECT sid, coalesce(n, 0) AS n_alignments, round(rmsd, 4) AS rmsd, coalesce(rmsd <= 1.25, false) AS architecture_call FROM (SELECT DISTINCT sid FROM atom) LEFT JOIN best USING (sid)""",
     "mt18_direction_control": _SC.replace(_DON, _MOVED) + " SELECT sid, template, status, n_assignments, round(rmsd, 4) AS rmsd FROM sc",

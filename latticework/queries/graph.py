@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import sequences
+from ..operators.graph import _checkpoint
 from ..operators.ordered import sorted_digest
 from ..plans.views import PAIR_SQL, pairs, table
 
@@ -66,11 +67,10 @@ def gr8(spark, d):
 def gr9(spark, d):
     """Panels: the two components with the most positives and the rest; sizes of test and train."""
     c = _labelled(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") > 45).alias("pos"))
-    from pyspark.sql import Window
-
-    r = c.where("pos > 0").withColumn("r", F.row_number().over(Window.orderBy(F.desc("pos"), "component")))
-    panel = F.when(F.col("r") <= 2, F.concat(F.lit("top"), F.col("r"))).otherwise("rest")
-    t = r.groupBy(panel.alias("panel")).agg(F.sum("n").alias("n_test"), F.sum("pos").alias("n_positive"))
+    c = _checkpoint(c)
+    top = {r.component: f"top{k + 1}" for k, r in enumerate(c.where("pos > 0").orderBy(F.desc("pos"), "component").limit(2).collect())}
+    panel = F.coalesce(*(F.when(F.col("component") == k, v) for k, v in top.items()), F.lit("rest"))
+    t = c.where("pos > 0").groupBy(panel.alias("panel")).agg(F.sum("n").alias("n_test"), F.sum("pos").alias("n_positive"))
     total = c.agg(F.sum("n").alias("all"))
     return t.join(F.broadcast(total), F.lit(True)).select("panel", "n_test", "n_positive", (F.col("all") - F.col("n_test")).alias("n_train"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..operators import neighbours as nn
-from ..operators.ordered import upper_median
+from ..operators.ordered import before, upper_median
 from ..plans.views import CALL_SQL, calls, table
 
 
@@ -115,8 +115,10 @@ def wi3(spark, d):
 
 
 def wi4(spark, d):
-    by = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", ((F.row_number().over(by) - 1) % 4).alias("slot"))
+    """Slots in turn inside each nation: the places of one ordered pass, less those of the nation's first customer."""
+    placed = before(table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey", "c_custkey"], "at")
+    first = placed.groupBy("c_nationkey").agg(F.min("at").alias("first"))
+    return placed.join(first, "c_nationkey").select("c_custkey", ((F.col("at") - F.col("first")) % 4).alias("slot"))
 
 
 def wi5(spark, d):

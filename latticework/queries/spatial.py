@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle_degrees, bond_valence, distance, distance_n, point
-from ..operators import spatial
+from ..operators import spatial, workers
 from ..operators.ordered import upper_median
 from ..operators.motif import DONORS
 from ..plans.views import ATOM_SQL, SITE_SQL, STRUCT_SQL, atoms, sites, structures, table
@@ -138,14 +138,14 @@ def ge32(spark, d):
 
 def ge34(spark, d):
     don = spatial.canonical_donors(atoms(spark, d), sites(spark, d), DONORS, 4.0)
-    r0 = F.when(F.col("element") == "O", 1.704).when(F.col("element") == "S", 2.09).otherwise(1.77)
+    r0 = F.coalesce(*(F.when(F.col("element") == e, r) for e, r in spatial.VALENCE_RADII.items()))
     return don.groupBy("sid").agg(F.round(F.sum(bond_valence(F.col("d"), r0)), 6).alias("valence"))
 
 
 def ge35(spark, d):
-    f = spatial.coordination_fingerprint(structures(spark, d), spatial.canonical_donors(atoms(spark, d), sites(spark, d), DONORS, 5.0), sites(spark, d))
-    real = [c for c, t in f.dtypes if t == "double"]
-    return f.select("sid", "n_sites", "n_n", "n_o", "n_s", *(F.round(c, 5).alias(c) for c in real))
+    a = atoms(spark, d)
+    f = spatial.coordination_fingerprint(structures(spark, d), a, sites(spark, d), DONORS, workers.surface_area(a), 5.0)
+    return f.select("sid", *(F.round(c, 4).alias(c) for c in f.columns[1:]))
 
 
 def ge36(spark, d):
@@ -261,7 +261,7 @@ POSE = f"""pose AS (SELECT sid, avg((d < 1.5)::INT) AS clash_share, avg((d <= 4.
 SULFUR = """sulfur AS (SELECT s.sid, n.d, n.probability, CASE WHEN h.sid IS NULL THEN 'unavailable' WHEN n.d <= 3.0 THEN 'supported' ELSE 'not_supported' END AS status
   FROM structure s LEFT JOIN (SELECT DISTINCT sid FROM site) h USING (sid) LEFT JOIN (SELECT sid, min(d) AS d, arg_min(probability, (d, idx)) AS probability FROM near WHERE rn = 1 AND atom_name = 'SG' GROUP BY sid) n USING (sid))"""
 IDEAL = {"tetrahedral": [109.5] * 6, "bipyramidal": sorted([90.0] * 6 + [120.0] * 3 + [180.0]), "octahedral": sorted([90.0] * 12 + [180.0] * 3)}
-R0 = "CASE element WHEN 'O' THEN 1.704 WHEN 'S' THEN 2.09 ELSE 1.77 END"
+R0 = f"CASE element {' '.join(f'WHEN {e!r} THEN {r}' for e, r in spatial.VALENCE_RADII.items())} END"
 
 
 
@@ -278,6 +278,20 @@ def _torsion(p: str, q: str, r: str, s: str) -> tuple[str, str]:
 _PHI, _PSI = _torsion("pc", "n", "a", "c"), _torsion("n", "a", "c", "qn")
 _BB = ", ".join(f"{k}.{c} AS {p}{c}" for k, p in (("u", "n"), ("v", "a"), ("w", "c")) for c in "xyz")
 
+_SPOTS = ", ".join(f"({k}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for k, (x, y, z) in enumerate(workers.sphere()))
+_RADIUS = f"CASE element {' '.join(f'WHEN {e!r} THEN {r + workers.PROBE!r}' for e, r in workers.RADII.items())} ELSE {workers.OTHER + workers.PROBE!r} END::DOUBLE"
+#: GE29 in SQL: the view area (sid, res_id, area).
+AREA_SQL = f"""spot(k, ux, uy, uz) AS (VALUES {_SPOTS}), ball AS (SELECT *, {_RADIUS} AS r FROM atom),
+  pr AS (SELECT a.sid, a.idx, b.x - a.x AS vx, b.y - a.y AS vy, b.z - a.z AS vz, a.r AS ra, b.r AS rb FROM ball a JOIN ball b ON b.sid = a.sid AND b.idx <> a.idx),
+  cap AS (SELECT *, (d * d + ra * ra - rb * rb) / (2 * ra) AS beyond FROM (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS d FROM pr) WHERE d < ra + rb),
+  hid AS (SELECT sid, idx, count(DISTINCT k) AS n FROM cap JOIN spot ON vx * ux + vy * uy + vz * uz > beyond GROUP BY ALL),
+  area AS (SELECT sid, res_id, sum(4 * pi() * r * r * (1 - coalesce(n, 0) / {len(workers.sphere())}) / 100) AS area FROM ball LEFT JOIN hid USING (sid, idx) GROUP BY ALL)"""
+_OFF = lambda want: f"CASE WHEN len(l) = {len(want)} THEN sqrt(list_sum(list_transform(list_zip(l, {want}::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / {len(want)}) END"
+FINGERPRINT_SQL = {
+    "coordination_number": "cn", "donor_n": "n_n", "donor_o": "n_o", "donor_s": "n_s", **{f"distance_{k}": f"ds[{k}]" for k in range(1, 7)}, "angle_mean": "am", "angle_std": "sd", "angle_min": "lo", "angle_max": "hi",
+    **{f"deviation_{k}": _OFF(w) for k, w in spatial.IDEAL.items()}, "valence_sum": "valence", "valence_deviation": "abs(valence - 2)", "second_shell": "CASE WHEN cn > 0 THEN shell END", "area": "area",
+    "site_gap": "CASE WHEN n_sites = 2 THEN gap END", "n_metal_sites": "n_sites", "has_metal": "1",
+}
 ORACLE_SQL = {
     "fi1_one_chain": f"WITH {ATOM_SQL} SELECT sid, count(DISTINCT chain_id) AS n_chains, CASE WHEN count(DISTINCT chain_id) = 1 THEN 'ok' ELSE 'refused' END AS status FROM atom GROUP BY sid",
     "fi3_canonical_donors": f"WITH {AS}, {NEAR} SELECT sid, idx, element, site_idx, round(d, 6) AS d FROM near WHERE rn = 1 AND d <= 3.5 AND {CAN}",
@@ -315,18 +329,20 @@ ORACLE_SQL = {
     "ge32_angle": f"""WITH {ATOM_SQL} SELECT b.sid, round(degrees(acos(greatest(-1.0, least(1.0, ((a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y) + (a.z - b.z) * (c.z - b.z)) / ({D('a', 'b')} * {D('c', 'b')} + 1e-8))))), 5) AS angle
       FROM atom b JOIN atom a ON a.sid = b.sid AND a.idx = 0 JOIN atom c ON c.sid = b.sid AND c.idx = 2 WHERE b.idx = 1""",
     "ge34_valence": f"WITH {AS}, {NEAR} SELECT sid, round(sum(exp(({R0} - d) / 0.37)), 6) AS valence FROM near WHERE rn = 1 AND d <= 4.0 AND {CAN} GROUP BY sid",
-    "ge33_ge35_fingerprint": f"""WITH {AS}, {STRUCT_SQL}, {NEAR}, don AS (SELECT * FROM near WHERE rn = 1 AND d <= 5.0 AND {CAN}),
-      p AS (SELECT sid, min(site_idx) AS k, count(*) AS n_sites FROM site GROUP BY sid), ps AS (SELECT s.sid, s.site_idx, s.x, s.y, s.z FROM site s JOIN p ON p.sid = s.sid AND p.k = s.site_idx),
-      c AS (SELECT sid, count(*) FILTER (WHERE element = 'N') AS n_n, count(*) FILTER (WHERE element = 'O') AS n_o, count(*) FILTER (WHERE element = 'S') AS n_s, sum(exp(({R0} - d) / 0.37)) AS valence, list_sort(list(d)) AS ds FROM don GROUP BY sid),
-      f AS (SELECT don.* FROM don JOIN ps ON ps.sid = don.sid AND ps.site_idx = don.site_idx),
-      an AS (SELECT a.sid, degrees(acos(greatest(-1.0, least(1.0, ((a.x - s.x) * (b.x - s.x) + (a.y - s.y) * (b.y - s.y) + (a.z - s.z) * (b.z - s.z)) / ({D('a', 's')} * {D('b', 's')} + 1e-8))))) AS a FROM f a JOIN f b ON a.sid = b.sid AND a.idx < b.idx JOIN ps s ON s.sid = a.sid),
+    "ge33_ge35_fingerprint": f"""WITH {AS}, {STRUCT_SQL}, {NEAR}, {AREA_SQL}, don AS (SELECT * FROM near WHERE rn = 1 AND d <= 5.0 AND {CAN}),
+      p AS (SELECT sid, min(site_idx) AS k, count(*) AS n_sites FROM site GROUP BY sid), ps AS (SELECT s.sid, s.x, s.y, s.z FROM site s JOIN p ON p.sid = s.sid AND p.k = s.site_idx),
+      c AS (SELECT sid, count(*) AS cn, count(*) FILTER (WHERE element = 'N') AS n_n, count(*) FILTER (WHERE element = 'O') AS n_o, count(*) FILTER (WHERE element = 'S') AS n_s,
+        sum(exp(({R0} - d) / 0.37)) AS valence, list_sort(list(d)) AS ds FROM don GROUP BY sid),
+      an AS (SELECT a.sid, degrees(acos(greatest(-1.0, least(1.0, ((a.x - s.x) * (b.x - s.x) + (a.y - s.y) * (b.y - s.y) + (a.z - s.z) * (b.z - s.z)) / ({D('a', 's')} * {D('b', 's')} + 1e-8))))) AS a FROM don a JOIN don b ON a.sid = b.sid AND a.idx < b.idx JOIN ps s ON s.sid = a.sid),
       st AS (SELECT sid, avg(a) AS am, stddev_pop(a) AS sd, min(a) AS lo, max(a) AS hi, list_sort(list(a)) AS l FROM an GROUP BY sid),
-      g AS (SELECT a.sid, {D('a', 'b')} AS gap FROM site a JOIN site b ON a.sid = b.sid AND a.site_idx < b.site_idx)
-      SELECT t.sid, coalesce(n_sites, 0) AS n_sites, coalesce(n_n, 0) AS n_n, coalesce(n_o, 0) AS n_o, coalesce(n_s, 0) AS n_s, {", ".join(f"round(ds[{k}], 5) AS d{k}" for k in range(1, 7))},
-        round(am, 5) AS angle_mean, round(sd, 5) AS angle_std, round(lo, 5) AS angle_min, round(hi, 5) AS angle_max,
-        {", ".join(f"round(CASE WHEN len(l) = {len(v)} THEN sqrt(list_sum(list_transform(list_zip(l, {v}::DOUBLE[]), lambda z: pow(z[1] - z[2], 2))) / {len(v)}) END, 5) AS dev_{n}" for n, v in IDEAL.items())},
-        round(valence, 5) AS valence, round(gap, 5) AS site_gap
-      FROM structure t LEFT JOIN p USING (sid) LEFT JOIN c USING (sid) LEFT JOIN st USING (sid) LEFT JOIN g USING (sid)""",
+      own AS (SELECT DISTINCT sid, res_id FROM don),
+      po AS (SELECT a.* FROM atom a LEFT JOIN own USING (sid, res_id) WHERE element IN ('N', 'O') AND NOT ({CAN} AND own.sid IS NOT NULL)),
+      hb AS (SELECT a.sid, count(DISTINCT a.idx) AS n FROM po a JOIN don o ON o.sid = a.sid AND {D('a', 'o')} <= {spatial.SECOND_SHELL} GROUP BY a.sid),
+      ex AS (SELECT sid, sum(area) AS area FROM area JOIN own USING (sid, res_id) GROUP BY sid),
+      g AS (SELECT a.sid, min({D('a', 'b')}) AS gap FROM site a JOIN site b ON a.sid = b.sid AND a.site_idx < b.site_idx GROUP BY a.sid),
+      j AS (SELECT t.sid, n_sites, coalesce(cn, 0) AS cn, coalesce(n_n, 0) AS n_n, coalesce(n_o, 0) AS n_o, coalesce(n_s, 0) AS n_s, ds, am, sd, lo, hi, l, coalesce(valence, 0) AS valence, coalesce(hb.n, 0) AS shell, coalesce(area, 0) AS area, gap
+        FROM structure t LEFT JOIN p USING (sid) LEFT JOIN c USING (sid) LEFT JOIN st USING (sid) LEFT JOIN hb USING (sid) LEFT JOIN ex USING (sid) LEFT JOIN g USING (sid))
+      SELECT sid, {", ".join(f"CASE WHEN n_sites IS NULL THEN 0.0 ELSE round(({e})::DOUBLE, 4) END AS {k}" for k, e in FINGERPRINT_SQL.items())} FROM j""",
     "ge36_coordination": f"""WITH {AS}, {STRUCT_SQL}, {NEAR}, c AS (SELECT sid, count(*) AS n, avg(abs(d - 2.1)) AS m FROM near WHERE rn = 1 AND element IN ('N', 'O', 'S') AND d < 2.5 GROUP BY sid),
       v AS (SELECT sid, coalesce(n, 0) AS n, 0.5 * (CASE WHEN n BETWEEN 3 AND 5 THEN 1.0 WHEN n IS NULL THEN 0.0 ELSE greatest(0.0, 1 - 0.25 * abs(n - 4)) END) + 0.5 * (CASE WHEN n IS NULL THEN 0.0 ELSE greatest(0.0, 1 - m / 0.4) END) AS s FROM structure LEFT JOIN c USING (sid))
       SELECT sid, n, round(s, 6) AS score, s > 0.5 AS valid FROM v""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.geometry import moved, point
 from ..operators import neighbours as nn
 from ..operators import triage as t
 from ..operators.ordered import before, sorted_digest
@@ -42,8 +43,12 @@ def sc8(spark, d):
 
 def _pair_lines(spark, d):
     li = table(spark, d, "lineitem")
-    v = F.concat_ws("\t", F.concat(F.lit("p"), F.col("l_partkey") % 50, F.lit(".pdb")), F.concat(F.lit("p"), F.col("l_suppkey") % 50), (F.col("l_quantity") * 2).cast("string"), F.lit("100"), (1 - F.col("l_discount")).cast("string"), (1 - F.col("l_tax")).cast("string"), F.lit("1e-5"))
-    return li.select(F.lit("pairs").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), v.alias("value"))
+    # Line numbers of an order repeat, so the other columns make the place of a line its own.
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    for c, most in (("l_quantity", 1), ("l_discount", 100), ("l_tax", 100)):
+        place = place * 100 + F.round(F.col(c) * most).cast("long")
+    v = F.concat_ws("\t", F.concat(F.lit("p"), F.col("l_partkey"), F.lit(".pdb")), F.concat(F.lit("p"), F.col("l_suppkey")), (F.col("l_quantity") * 2).cast("string"), F.lit("100"), (1 - F.col("l_discount")).cast("string"), (1 - F.col("l_tax")).cast("string"), F.lit("1e-5"))
+    return li.select(F.lit("pairs").alias("path"), place.alias("line"), v.alias("value"))
 
 
 def sc9(spark, d):
@@ -180,7 +185,7 @@ def fi8(spark, d):
 
 
 def fi9(spark, d):
-    x = table(spark, d, "lineitem").select((F.col("l_partkey") % 500).alias("id"), F.when(F.col("l_returnflag") == "R", "positive").when(F.col("l_returnflag") == "N", "easy_negative").otherwise("other").alias("label"), F.col("l_linenumber").alias("tier"), F.when(F.col("l_tax") > 0.02, F.col("l_linestatus")).alias("subclass"), (F.col("l_suppkey") % 3 == 0).alias("is_reference"))
+    x = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.when(F.col("l_returnflag") == "R", "positive").when(F.col("l_returnflag") == "N", "easy_negative").otherwise("other").alias("label"), F.col("l_linenumber").alias("tier"), F.when(F.col("l_tax") > 0.02, F.col("l_linestatus")).alias("subclass"), (F.col("l_suppkey") % 3 == 0).alias("is_reference"))
     return t.validate_manifest(x).groupBy("violation").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
@@ -389,9 +394,10 @@ def tr16(spark, d):
 
 
 def ge9(spark, d):
-    """Rigid transform: a quarter turn about z and a shift."""
-    a = atoms(spark, d)
-    return a.select("sid", "idx", F.round(-F.col("y") + 1, 6).alias("x"), F.round(F.col("x") + 2, 6).alias("y"), F.round(F.col("z") + 3, 6).alias("z"))
+    """Rigid transform: a turn about z, by an angle of its own for each structure, and a shift."""
+    c, n, zero, one = F.cos("sid"), F.sin("sid"), F.lit(0.0), F.lit(1.0)
+    a = atoms(spark, d).withColumns({"rotation": F.array(c, n, zero, -n, c, zero, zero, zero, one), "translation": F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))})
+    return a.select("sid", "idx", *(F.round(v, 6).alias(k) for v, k in zip(moved(point(), F.col("rotation"), F.col("translation")), "xyz", strict=True)))
 
 
 def ge30(spark, d):
@@ -426,7 +432,7 @@ QUERIES = {
 }
 
 _UP = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
-_PL = "pl AS (SELECT l_orderkey * 10 + l_linenumber AS line, 'p' || (l_partkey % 50) AS q, 'p' || (l_suppkey % 50) AS t, l_quantity * 2 / 100 AS identity, least(1 - l_discount, 1 - l_tax) AS coverage FROM lineitem)"
+_PL = "pl AS (SELECT (((l_orderkey * 10 + l_linenumber) * 100 + round(l_quantity)::BIGINT) * 100 + round(l_discount * 100)::BIGINT) * 100 + round(l_tax * 100)::BIGINT AS line, 'p' || l_partkey AS q, 'p' || l_suppkey AS t, l_quantity * 2 / 100 AS identity, least(1 - l_discount, 1 - l_tax) AS coverage FROM lineitem)"
 _ENTRIES = "WITH e AS (SELECT doc_id, printf('P%09d', doc_id) AS accession, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence, lang AS organism FROM documents WHERE text IS NOT NULL)"
 _SAMPLED = "('0x' || substr(sha256(accession), 1, 8))::BIGINT / 4294967295.0 < 0.5 AND " + " AND ".join(f"length(sequence) - length(replace(sequence, '{c}', '')) >= {n}" for c, n in (("H", 3), ("D", 1), ("C", 1)))
 ORACLE_SQL = {
@@ -454,7 +460,7 @@ ORACLE_SQL = {
     "fi6_hash_sample": "SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967295.0 < 0.05",
     "fi7_exclusion": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE lang = 'de')",
     "fi8_mapping": "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 ELSE 1 END AS tier, count(*) AS n FROM orders GROUP BY 1",
-    "fi9_validation": """WITH x AS (SELECT l_partkey % 500 AS id, CASE l_returnflag WHEN 'R' THEN 'positive' WHEN 'N' THEN 'easy_negative' ELSE 'other' END AS label, l_linenumber AS tier, CASE WHEN l_tax > 0.02 THEN l_linestatus END AS subclass, l_suppkey % 3 = 0 AS ref FROM lineitem),
+    "fi9_validation": """WITH x AS (SELECT l_partkey AS id, CASE l_returnflag WHEN 'R' THEN 'positive' WHEN 'N' THEN 'easy_negative' ELSE 'other' END AS label, l_linenumber AS tier, CASE WHEN l_tax > 0.02 THEN l_linestatus END AS subclass, l_suppkey % 3 = 0 AS ref FROM lineitem),
       v AS (SELECT id, 'duplicate_id' AS violation FROM x GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'invalid_tier' FROM x WHERE tier NOT BETWEEN 1 AND 4 UNION ALL SELECT id, 'invalid_label' FROM x WHERE label = 'other'
       UNION ALL SELECT id, 'reference_not_positive' FROM x WHERE ref AND label <> 'positive' UNION ALL SELECT id, 'positive_without_subclass' FROM x WHERE label = 'positive' AND subclass IS NULL) SELECT violation, count(*) AS n, min(id) AS first FROM v GROUP BY violation""",
     "fi10_id_sets": """WITH w AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), s AS (SELECT doc_id, 'missing' AS side FROM w WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM w))
@@ -493,7 +499,7 @@ ORACLE_SQL = {
       SELECT sid, status, pred, CASE WHEN status = 'supported' AND pred = 'positive' THEN 'dual_support' WHEN status = 'supported' THEN 'structure_only' WHEN pred = 'positive' THEN 'retrieval_only' ELSE 'unresolved' END AS triage FROM s JOIN g USING (sid)""",
     "tr15_freeze": "WITH c AS (SELECT conv_id, count(DISTINCT role) = 1 AS agree FROM conversations GROUP BY conv_id) SELECT agree, count(*) AS n FROM c GROUP BY agree",
     "tr16_comparator": "SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE toxic = 1) AS called FROM documents d LEFT JOIN labels l USING (doc_id)",
-    "ge9_transform": f"WITH {ATOM_SQL} SELECT sid, idx, round(1 - y, 6) AS x, round(x + 2, 6) AS y, round(z + 3, 6) AS z FROM atom",
+    "ge9_transform": f"WITH {ATOM_SQL} SELECT sid, idx, round(x * cos(sid) - y * sin(sid) + 1, 6) AS x, round(x * sin(sid) + y * cos(sid) + 2, 6) AS y, round(z + 3, 6) AS z FROM atom",
     "ge30_one_hot": f"""WITH {ATOM_SQL}, r(name, nth, p) AS (VALUES {", ".join(f"('{n}', {k}, {[float(v) for v in p]}::DOUBLE[])" for k, (n, p) in enumerate(RESIDUES.items()))}),
       f AS (SELECT sid, k, CASE WHEN idx % 3 = 2 OR nth IS NULL THEN 0.0::DOUBLE WHEN k < 20 THEN (k = nth)::INT::DOUBLE ELSE p[k - 19] END AS v FROM atom LEFT JOIN r ON name = res_name, unnest(range(0, 28)) AS t(k))
       SELECT sid, k::INT AS k, round(sum(v), 4) AS total FROM f GROUP BY ALL""",
