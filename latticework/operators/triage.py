@@ -76,3 +76,14 @@ def triplet_loss(rows: DataFrame, margin: float) -> DataFrame:
     w = F.least("w_anchor", "w_positive")
     loss = F.greatest(F.lit(0.0), F.lit(margin) + F.col("d_ap") - F.col("d_an"))
     return rows.agg((F.sum(w * loss) / F.greatest(F.sum(w), F.lit(1e-8))).alias("loss"))
+
+
+def agreeing_settings(runs: DataFrame, key: str, settings: str, free: tuple[str, ...] = ("seed", "loss")) -> DataFrame:
+    """TR15: key, runs, agree, differing: whether the settings (a map of strings) of all runs of a key are the same but
+    for the free ones, and the names of those that are not, sorted.  A setting that some runs lack differs."""
+    each = runs.select(key, F.explode(F.map_filter(settings, lambda k, v: ~k.isin(*free))).alias("name", "value"))
+    named = each.groupBy(key, "name").agg(F.count(F.lit(1)).alias("held"), F.min(F.coalesce("value", F.lit("null"))).alias("low"), F.max(F.coalesce("value", F.lit("null"))).alias("high"))
+    sizes = runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs"))
+    odd = named.join(sizes, key).where((F.col("low") != F.col("high")) | (F.col("held") < F.col("runs"))).groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    out = sizes.join(odd, key, "left")
+    return out.select(key, "runs", F.col("names").isNull().alias("agree"), F.coalesce(F.array_join("names", ","), F.lit("")).alias("differing"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import moved, point
+from ..operators import metrics as m
 from ..operators import neighbours as nn
 from ..operators import triage as t
 from ..operators.ordered import before, sorted_digest
@@ -363,12 +364,27 @@ def tr10(spark, d):
     return edge.join(v.select(F.col("id").alias("src"), "k", "x"), "src").groupBy("id", "k").agg(F.round(F.avg("x"), 6).alias("x"))
 
 
+#: TR13's configurations: which numbers of a vector each one sees.
+CONFIGURATIONS = {"flat": (1, 64), "enhanced": (1, 32), "branched": (33, 64), "structure_only": (1, 16)}
+SEEDS = 3
+
+
 def tr13(spark, d):
-    """Per-seed configurations: votes over seeds, then rates."""
-    e = table(spark, d, "embeddings")
-    votes = e.select("vec_id", (F.col("label") % 3 == 0).alias("truth"), F.posexplode(F.slice("embedding", 1, 5)).alias("seed", "x"))
-    p = votes.groupBy("vec_id", "truth").agg(F.count_if(F.col("x") > 0).alias("yes"))
-    return p.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("yes") >= 3).alias("called"))
+    """Four configurations, each with three seeds that leave out a third of the training set: votes of neighbours, votes
+    over seeds, and rates by panel."""
+    v = vectors(spark, d)
+    calls = None
+    for config, (low, high) in CONFIGURATIONS.items():
+        own = v.withColumn("v", F.slice("v", low, high - low + 1))
+        for seed in range(SEEDS):
+            votes = nn.majority(nn.nearest(own.where("part = 'query'").select("id", "v"), own.where(f"part = 'train' and id % {SEEDS} <> {seed}").select("id", "v", "label"), 5), "q")
+            votes = votes.select(F.lit(config).alias("config"), F.lit(seed).alias("seed"), "q", F.col("pred").alias("vote"))
+            calls = votes if calls is None else calls.union(votes)
+    n = calls.groupBy("config", "q", "vote").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("first"))
+    voted = n.groupBy("config", "q").agg(F.max_by("vote", F.struct("n", -F.col("first"))).alias("pred"))
+    truth = v.select(F.col("id").alias("q"), (F.col("label") == "positive").alias("truth"), F.concat(F.lit("tier"), F.col("id") % 4 + 1).alias("panel"))
+    counts = voted.join(truth, "q").groupBy("config", "panel").agg(*m.confusion(F.col("pred") == "positive", F.col("truth")))
+    return m.rates(counts, ["config", "panel"], "one")
 
 
 def tr14(spark, d):
@@ -380,9 +396,12 @@ def tr14(spark, d):
 
 
 def tr15(spark, d):
-    """Freeze: the settings of all seeds must agree."""
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_distinct(F.to_json(F.struct("role"))).alias("n"), F.count(F.lit(1)).alias("turns"))
-    return c.groupBy((F.col("n") == 1).alias("agree")).agg(F.count(F.lit(1)).alias("n"))
+    """Freeze: the settings of a conversation's user turns must agree but for seed and loss."""
+    c = table(spark, d, "conversations").where("role = 'user'")
+    size = F.when(F.length("text") > 300, "long").otherwise("short")
+    given = F.create_map(F.lit("role"), F.col("role"), F.lit("size"), size, F.lit("seed"), F.col("turn").cast("string"), F.lit("loss"), F.length("text").cast("string"))
+    asks = F.when(F.contains(F.coalesce("text", F.lit("")), F.lit(",")), F.create_map(F.lit("comma"), F.lit("yes"))).otherwise(F.create_map().cast("map<string,string>"))
+    return t.agreeing_settings(c.select("conv_id", F.map_concat(given, asks).alias("settings")), "conv_id", "settings")
 
 
 def tr16(spark, d):
@@ -493,11 +512,19 @@ ORACLE_SQL = {
       an AS (SELECT a.id AS q, b.id, list_distance(a.v, b.v) AS d FROM a JOIN v b ON b.label = 'negative') SELECT q, positive, coalesce(arg_min(id, (d, id)) FILTER (WHERE d > ap AND d < ap + 0.2), arg_min(id, (d, id))) AS negative FROM an JOIN ap USING (q) GROUP BY q, positive""",
     "tr9_triplet_loss": "WITH r AS (SELECT abs(embedding[1]::DOUBLE) AS ap, abs(embedding[2]::DOUBLE) AS an, least([1.0, 0.85, 0.6, 0.35][vec_id % 4 + 1], [1.0, 0.85, 0.6, 0.35][(vec_id + 1) % 4 + 1])::DOUBLE AS w FROM embeddings) SELECT round(sum(w * greatest(0, 0.1 + ap - an)) / greatest(sum(w), 1e-8), 6) AS loss FROM r",
     "tr10_message_passing": f"WITH {VEC_SQL}, e AS (SELECT DISTINCT id, id + k AS src FROM vec, (VALUES (-1), (1), (7)) AS t(k)) SELECT e.id, p - 1 AS k, round(avg(v[p]), 6) AS x FROM e JOIN vec s ON s.id = e.src, unnest(range(1, 5)) AS u(p) GROUP BY ALL",
-    "tr13_per_seed": "SELECT label % 3 = 0 AS truth, count(*) AS n, count(*) FILTER (WHERE len(list_filter(embedding[1:5], lambda x: x > 0)) >= 3) AS called FROM embeddings GROUP BY 1",
+    "tr13_per_seed": f"""WITH {VEC_SQL}, cfg(config, lo, hi) AS (VALUES {", ".join(f"('{k}', {a}, {b})" for k, (a, b) in CONFIGURATIONS.items())}), sd(seed) AS (SELECT unnest(range(0, {SEEDS}))),
+      pr AS (SELECT config, seed, q.id AS q, t.label, row_number() OVER (PARTITION BY config, seed, q.id ORDER BY list_distance(q.v[lo:hi], t.v[lo:hi]), t.id) AS r FROM vec q, vec t, cfg, sd WHERE q.part = 'query' AND t.part = 'train' AND t.id % {SEEDS} <> seed),
+      k AS (SELECT config, seed, q, label, count(*) AS n, min(r) AS f FROM pr WHERE r <= 5 GROUP BY ALL), v AS (SELECT config, seed, q, arg_max(label, (n, -f)) AS vote FROM k GROUP BY ALL),
+      w AS (SELECT config, q, vote, count(*) AS n, min(seed) AS f FROM v GROUP BY ALL), z AS (SELECT config, q, arg_max(vote, (n, -f)) = 'positive' AS y FROM w GROUP BY ALL),
+      c AS (SELECT config, 'tier' || (q % 4 + 1) AS panel, count(*) FILTER (WHERE label = 'positive' AND y) AS tp, count(*) FILTER (WHERE label <> 'positive' AND NOT y) AS tn, count(*) FILTER (WHERE label <> 'positive' AND y) AS fp, count(*) FILTER (WHERE label = 'positive' AND NOT y) AS fn
+        FROM z JOIN vec ON vec.id = z.q GROUP BY ALL)
+      SELECT config, panel, tp, tn, fp, fn, tp + tn + fp + fn AS n, round(tp / greatest(tp + fn, 1), 6) AS sensitivity, round(tn / greatest(tn + fp, 1), 6) AS specificity, round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 6) AS balanced_accuracy,
+        round((tp + tn) / greatest(tp + tn + fp + fn, 1), 6) AS accuracy FROM c""",
     "tr14_candidate": f"""WITH {VEC_SQL}, {STRUCT_SQL}, pr AS (SELECT q.id AS q, t.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) AS r FROM vec q, vec t WHERE q.part = 'query' AND t.part = 'train'),
       g AS (SELECT q AS sid, CASE WHEN avg((label = 'positive')::INT) > 0.5 THEN 'positive' ELSE 'negative' END AS pred FROM pr WHERE r <= 5 GROUP BY q), s AS (SELECT sid, CASE WHEN tier = 1 THEN CASE WHEN family = '' THEN 'unavailable' ELSE 'supported' END ELSE 'not_supported' END AS status FROM structure)
       SELECT sid, status, pred, CASE WHEN status = 'supported' AND pred = 'positive' THEN 'dual_support' WHEN status = 'supported' THEN 'structure_only' WHEN pred = 'positive' THEN 'retrieval_only' ELSE 'unresolved' END AS triage FROM s JOIN g USING (sid)""",
-    "tr15_freeze": "WITH c AS (SELECT conv_id, count(DISTINCT role) = 1 AS agree FROM conversations GROUP BY conv_id) SELECT agree, count(*) AS n FROM c GROUP BY agree",
+    "tr15_freeze": """WITH c AS (SELECT conv_id, count(*) AS runs, count(DISTINCT length(text) > 300) > 1 AS sizes, count(*) FILTER (WHERE contains(text, ',')) BETWEEN 1 AND count(*) - 1 AS commas FROM conversations WHERE role = 'user' GROUP BY conv_id)
+      SELECT conv_id, runs, NOT sizes AND NOT commas AS agree, concat_ws(',', CASE WHEN commas THEN 'comma' END, CASE WHEN sizes THEN 'size' END) AS differing FROM c""",
     "tr16_comparator": "SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE toxic = 1) AS called FROM documents d LEFT JOIN labels l USING (doc_id)",
     "ge9_transform": f"WITH {ATOM_SQL} SELECT sid, idx, round(x * cos(sid) - y * sin(sid) + 1, 6) AS x, round(x * sin(sid) + y * cos(sid) + 2, 6) AS y, round(z + 3, 6) AS z FROM atom",
     "ge30_one_hot": f"""WITH {ATOM_SQL}, r(name, nth, p) AS (VALUES {", ".join(f"('{n}', {k}, {[float(v) for v in p]}::DOUBLE[])" for k, (n, p) in enumerate(RESIDUES.items()))}),
