@@ -377,12 +377,17 @@ def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, lo, hi, linked of each pair of classes: where the sketches allow a link, the distance from the whole
     sets twice; else the bounds that the sketches give.  (Sets that can be linked differ in size by a third at most,
     so one fold makes their sketches equal in length.)"""
-    one = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    two = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    pairs = cut(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # a round on few documents need not deal out every class
+    sketched = classes.join(F.broadcast(ends), "class", "left_semi") if few else classes
+    one = sketched.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    two = sketched.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     bits = F.aggregate(F.zip_with(_folded("ka", "kb"), _folded("kb", "ka"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     apart = pairs.join(one, "a").join(two, "b").select("a", "b", bits.alias("h"), (F.col("na") + F.col("nb")).alias("t"))
     # h <= |difference| of the sets, so the distance is 2h / (t + h) at least.
     sifted = cut(apart.select("a", "b", "h", "t", (F.col("h") * (KEEP_DEN + KEEP_NUM) <= F.col("t") * (KEEP_DEN - KEEP_NUM)).alias("open")), "sifted")
+    discard(pairs)
     near = sifted.where("open").select("a", "b")
     shut = sifted.where("not open").select("a", "b", (2 * F.col("h") / (F.col("t") + F.col("h"))).alias("lo"), F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
     if near.isEmpty():
