@@ -14,7 +14,7 @@
 3. *Recursion.*  Inside regions the pivots are documents: in the first round the one of the least name, and regions
    that have it in common become one; then rounds take turns.  Pivots of the region's largest component cost no more
    than the documents outside it and tie most of these to it; pivots of the smallest components then meet all of the
-   region, and leave it.  Either kind becomes four times as many a round.  A pivot is compared with all of its region
+   region, and leave it.  Either kind becomes MORE times as many.  A pivot is compared with all of its region
    except those of its component and those that their sizes and the ranks of the region's shingle in them (were it
    the first that both have), the triangle
    inequality about the pivot of the round before, or a sketch rule out.  A comparison gives bounds [lo, hi] of
@@ -55,9 +55,10 @@ SHINGLE, KEEP_NUM, KEEP_DEN = 5, 3, 4
 EPS = 1 - KEEP_NUM / KEEP_DEN
 #: Shingles that a task sees in so many of its documents are reported as frequent; the most frequent of them
 #: (a bounded table, which only ranks the pivots and never drops one) are broadcast.  Shingles of a task that
-#: are held for counting.  Pivots of a region, of its smallest components, in the third round.  How many times a region's documents its
+#: are held for counting.  Pivots of a region in the second
+#: and third round, and how many times as many two rounds later.  How many times a region's documents its
 #: cells may hold together.
-FREQUENT_IN_TASK, FREQUENT_TABLE, COUNT_SHINGLES, PIVOTS, SPREAD = 3, 1 << 17, 2 << 20, 8, 2
+FREQUENT_IN_TASK, FREQUENT_TABLE, COUNT_SHINGLES, PIVOTS, MORE, SPREAD = 3, 1 << 17, 2 << 20, 32, 16, 2
 #: Parts into which frequent regions are dealt; ids of texts to read again that may be broadcast, beyond which
 #: they are joined by a shuffle.
 SALTS, BROADCAST_IDS = 64, 100_000
@@ -318,7 +319,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     # Regions of one pivot become one; a document's least rank in them bounds what it can have in common there.
     joined = regions.where("open").groupBy("p", "x").agg(F.max("n").alias("n"), F.min("pos").alias("pos")).join(bounds, ["p", "x"], "left")
     left = joined.select(F.col("p").alias("region"), "x", "n", "pos", F.lit(True).alias("home"), F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
-    hubs, others, spread = 4 * PIVOTS, PIVOTS, True
+    hubs, others, spread = PIVOTS, 2 * PIVOTS, True
     while True:
         named = left.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
         apart = cut(named.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("home").alias("any")).where("least < most and any").select("region"), "apart")
@@ -339,7 +340,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         rest = left.join(pivots.select("region", F.col("p").alias("x")), ["region", "x"], "left_anti").drop("component")
         opened, left = left, _deal(rest, met, known)
         discard(opened, pivots, met, sizes)
-        hubs, others, spread = (hubs * 4, others, False) if spread else (hubs, others * 4, True)
+        hubs, others, spread = (hubs * MORE, others, False) if spread else (hubs, others * MORE, True)
 
     named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
