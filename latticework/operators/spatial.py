@@ -168,6 +168,33 @@ def shell(d: Column) -> Column:
     return F.array(*(F.coalesce(c, F.lit(False)).cast("int") for c in (d < 5, (d >= 5) & (d < 9), d >= 9)))
 
 
+def node_features(atoms: DataFrame, sites: DataFrame, backbone: DataFrame, embeddings: DataFrame, area: DataFrame, donors: dict[str, tuple[str, ...]], bond: float = 2.8) -> DataFrame:
+    """GE31: sid, res_id, features of each residue: one-hot of twenty residues, side-chain flag, distance of the centroid
+    to the nearest metal, eight properties, least distance of a ligand atom to a metal and whether it is a bond, sines
+    and cosines of both torsions, accessible area, one-hot of three shells, and the residue's embedding.
+
+    What does not exist counts as 0 (no metal, no ligand atom, a torsion without both neighbours, no embedding).
+    backbone: as ``backbone_torsions`` takes it; embeddings: sid, res_id, v, of one width; area: sid, res_id, area."""
+    canonical = F.lit(False)
+    for name, names in donors.items():
+        canonical = canonical | ((F.col("res_name") == name) & F.col("atom_name").isin(*names))
+    key = ["sid", "res_id"]
+    residues = atoms.groupBy(*key).agg(F.min_by("res_name", "idx").alias("res_name"), F.max((~F.col("atom_name").isin(*BACKBONE)).cast("double")).alias("side"))
+    centre = with_nearest_site(centroids(atoms, lone=False).withColumn("idx", F.col("res_id")), sites, "sid", "idx").select(*key, F.col("d").alias("to_metal"))
+    bound = with_nearest_site(atoms.where(canonical), sites, "sid", "idx").groupBy(*key).agg(F.min("d").alias("ligand"))
+    torsions = backbone_torsions(backbone).select(*key, F.array("sin_phi", "cos_phi", "sin_psi", "cos_psi").alias("turns"))
+    width = embeddings.agg(F.max(F.size("v"))).first()[0] or 0
+    j = residues
+    for side in (centre, bound, torsions, area.select(*key, "area"), embeddings.select(*key, "v")):
+        j = j.join(side, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
+    zeros = lambda c, n: F.coalesce(F.col(c), F.array_repeat(F.lit(0.0), n))
+    own, n = residue_features(F.col("res_name")), len(RESIDUES)
+    bonded = F.coalesce(F.col("ligand") <= bond, F.lit(False)).cast("double")
+    rest = F.concat(F.array(zero("ligand"), bonded), zeros("turns", 4), F.array(zero("area")), F.transform(shell(F.col("to_metal")), lambda x: x.cast("double")), zeros("v", width))
+    return j.select(*key, F.concat(F.slice(own, 1, n), F.array(zero("side"), zero("to_metal")), F.slice(own, n + 1, 8), rest).alias("features"))
+
+
 #: Bond-valence radii, ideal angles by coordination, and how far a second shell reaches.
 VALENCE_RADII = {"N": 1.77, "O": 1.70, "S": 2.01}
 IDEAL = {"tetrahedral": [109.5] * 6, "bipyramidal": [90.0] * 6 + [120.0] * 3 + [180.0], "octahedral": [90.0] * 12 + [180.0] * 3}

@@ -129,6 +129,16 @@ def ge28(spark, d):
     return c.select("sid", "res_id").join(near, ["sid", "res_id"], "left").groupBy("sid").agg(*(F.sum(one[k]).alias(f"shell{k}") for k in range(3)))
 
 
+def ge31(spark, d):
+    """The width of the feature vectors, and a sum in which each place has its own weight."""
+    a = atoms(spark, d)
+    e = a.select("sid", "res_id").distinct().join(table(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), "embedding"), "sid")
+    e = e.where("res_id % 9 <> 8").select("sid", "res_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("res_id") + 1)).alias("v"))
+    f = spatial.node_features(a, sites(spark, d), _backbone(spark, d), e, workers.surface_area(a), DONORS)
+    total = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return f.select("sid", "res_id", F.size("features").alias("width"), F.round(total, 4).alias("total"))
+
+
 def ge32(spark, d):
     a = atoms(spark, d)
     pick = lambda k: a.where(F.col("idx") == k).select("sid", *(F.col(c).alias(f"p{k}{c}") for c in "xyz"))
@@ -251,7 +261,7 @@ def fi1(spark, d):
 QUERIES = {
     "fi1_one_chain": fi1, "fi3_canonical_donors": fi3, "fi4_heavy_atoms": fi4, "fi13_pocket_checks": fi13, "ge1_distance": ge1, "ge5_nearest_site": ge5, "ge10_pose_metrics": ge10, "ge11_pocket_pose": ge11, "ge17_sulfur_rule": ge17,
     "ge18_combined_status": ge18, "ge19_site_selection": ge19, "ge20_site_source": ge20, "ge21_pocket_extraction": ge21, "ge22_centroid": ge22, "ge23_within_radius": ge23, "ge24_first_shell": ge24, "ge25_radius_graph": ge25,
-    "ge26_torsions": ge26, "ge27_ligand_metal": ge27, "ge28_radial_shell": ge28, "ge32_angle": ge32, "ge34_valence": ge34, "ge33_ge35_fingerprint": ge35, "ge36_coordination": ge36, "ge37_water_proxy": ge37, "ge38_plausibility": ge38,
+    "ge26_torsions": ge26, "ge27_ligand_metal": ge27, "ge28_radial_shell": ge28, "ge31_features": ge31, "ge32_angle": ge32, "ge34_valence": ge34, "ge33_ge35_fingerprint": ge35, "ge36_coordination": ge36, "ge37_water_proxy": ge37, "ge38_plausibility": ge38,
     "ge40_localisation": ge40, "ge41_donor_coverage": ge41, "ge42_largest_chain": ge42, "ge43_chain_sequence": ge43, "ge45_chain_resolution": ge45, "ge46_dominant_chain": ge46, "ge47_local_confidence": ge47, "ge48_plddt": ge48, "ge49_summary": ge49,
 }
 
@@ -292,6 +302,9 @@ FINGERPRINT_SQL = {
     **{f"deviation_{k}": _OFF(w) for k, w in spatial.IDEAL.items()}, "valence_sum": "valence", "valence_deviation": "abs(valence - 2)", "second_shell": "CASE WHEN cn > 0 THEN shell END", "area": "area",
     "site_gap": "CASE WHEN n_sites = 2 THEN gap END", "n_metal_sites": "n_sites", "has_metal": "1",
 }
+TURN_SQL = f"""bb AS (SELECT u.sid, u.idx // 3 AS res_id, {_BB} FROM atom u JOIN atom v ON v.sid = u.sid AND v.idx = u.idx + 1 JOIN atom w ON w.sid = u.sid AND w.idx = u.idx + 2 WHERE u.idx % 3 = 0 AND (u.sid + u.idx // 3) % 11 <> 0),
+      j AS (SELECT b.*, p.cx AS pcx, p.cy AS pcy, p.cz AS pcz, q.nx AS qnx, q.ny AS qny, q.nz AS qnz FROM bb b LEFT JOIN bb p ON p.sid = b.sid AND p.res_id = b.res_id - 1 LEFT JOIN bb q ON q.sid = b.sid AND q.res_id = b.res_id + 1),
+      t AS (SELECT sid, res_id, pcx IS NOT NULL AND qnx IS NOT NULL AS ok, atan2({_PHI[0]}, {_PHI[1]}) AS phi, atan2({_PSI[0]}, {_PSI[1]}) AS psi FROM j)"""
 ORACLE_SQL = {
     "fi1_one_chain": f"WITH {ATOM_SQL} SELECT sid, count(DISTINCT chain_id) AS n_chains, CASE WHEN count(DISTINCT chain_id) = 1 THEN 'ok' ELSE 'refused' END AS status FROM atom GROUP BY sid",
     "fi3_canonical_donors": f"WITH {AS}, {NEAR} SELECT sid, idx, element, site_idx, round(d, 6) AS d FROM near WHERE rn = 1 AND d <= 3.5 AND {CAN}",
@@ -318,10 +331,16 @@ ORACLE_SQL = {
     "ge23_within_radius": f"WITH {AS}, {CENTRE.replace('n = 1', 'n >= 1')} SELECT sid, count(*) AS n FROM (SELECT DISTINCT res.sid, res_id FROM res JOIN site s USING (sid) WHERE {D('res', 's')} <= 5.0) GROUP BY sid",
     "ge24_first_shell": f"WITH {AS}, {NEAR} SELECT DISTINCT sid, res_id FROM near WHERE rn = 1 AND d <= 2.8 AND {CAN}",
     "ge25_radius_graph": f"WITH {ATOM_SQL}, {CENTRE} SELECT a.sid, a.res_id AS src, b.res_id AS dst, round({D('a', 'b')}, 6) AS distance, abs(a.res_id - b.res_id) = 1 AS is_adjacent FROM res a JOIN res b ON a.sid = b.sid AND a.res_id <> b.res_id WHERE {D('a', 'b')} <= 4.0 OR abs(a.res_id - b.res_id) = 1",
-    "ge26_torsions": f"""WITH {ATOM_SQL}, bb AS (SELECT u.sid, u.idx // 3 AS res_id, {_BB} FROM atom u JOIN atom v ON v.sid = u.sid AND v.idx = u.idx + 1 JOIN atom w ON w.sid = u.sid AND w.idx = u.idx + 2 WHERE u.idx % 3 = 0 AND (u.sid + u.idx // 3) % 11 <> 0),
-      j AS (SELECT b.*, p.cx AS pcx, p.cy AS pcy, p.cz AS pcz, q.nx AS qnx, q.ny AS qny, q.nz AS qnz FROM bb b LEFT JOIN bb p ON p.sid = b.sid AND p.res_id = b.res_id - 1 LEFT JOIN bb q ON q.sid = b.sid AND q.res_id = b.res_id + 1),
-      t AS (SELECT sid, res_id, pcx IS NOT NULL AND qnx IS NOT NULL AS ok, atan2({_PHI[0]}, {_PHI[1]}) AS phi, atan2({_PSI[0]}, {_PSI[1]}) AS psi FROM j)
+    "ge26_torsions": f"""WITH {ATOM_SQL}, {TURN_SQL}
       SELECT sid, res_id, {", ".join(f"round(CASE WHEN ok THEN {f}({a}) ELSE 0 END, 6) AS {f}_{a}" for f in ("sin", "cos") for a in ("phi", "psi"))} FROM t""",
+    "ge31_features": f"""WITH {AS}, {NEAR}, {CENTRE}, {AREA_SQL}, {TURN_SQL}, nm(name, nth, p) AS (VALUES {", ".join(f"('{n}', {k}, {[float(v) for v in p]}::DOUBLE[])" for k, (n, p) in enumerate(spatial.RESIDUES.items()))}),
+      r AS (SELECT sid, res_id, arg_min(res_name, idx) AS name, max((atom_name NOT IN {spatial.BACKBONE})::INT)::DOUBLE AS side FROM atom GROUP BY ALL),
+      cm AS (SELECT res.sid, res_id, min({D('res', 's')}) AS d FROM res JOIN site s USING (sid) GROUP BY ALL), lg AS (SELECT sid, res_id, min(d) AS m FROM near WHERE rn = 1 AND {CAN} GROUP BY ALL),
+      f AS (SELECT r.sid, r.res_id, list_concat(list_transform(range(0, 20), lambda k: (k = nth)::INT::DOUBLE), [side, coalesce(cm.d, 0)], p, [coalesce(m, 0), coalesce(m <= 2.8, false)::INT::DOUBLE],
+          CASE WHEN ok THEN [sin(phi), cos(phi), sin(psi), cos(psi)] ELSE [0.0, 0.0, 0.0, 0.0]::DOUBLE[] END, [area], [coalesce(cm.d < 5, false)::INT::DOUBLE, coalesce(cm.d >= 5 AND cm.d < 9, false)::INT::DOUBLE, coalesce(cm.d >= 9, false)::INT::DOUBLE],
+          list_transform(embedding, lambda x: CASE WHEN r.res_id % 9 <> 8 THEN x::DOUBLE * (r.res_id + 1) ELSE 0 END)) AS f
+        FROM r JOIN nm ON nm.name = r.name LEFT JOIN cm USING (sid, res_id) LEFT JOIN lg USING (sid, res_id) LEFT JOIN t USING (sid, res_id) LEFT JOIN area USING (sid, res_id) JOIN embeddings ON vec_id = r.sid)
+      SELECT sid, res_id, len(f) AS width, round(list_sum(list_transform(f, lambda x, i: x * i)), 4) AS total FROM f""",
     "ge27_ligand_metal": f"""WITH {AS}, {NEAR}, m AS (SELECT sid, res_id, min(d) AS m FROM near WHERE rn = 1 AND {CAN} GROUP BY ALL)
       SELECT sid, res_id, round(coalesce(m, 0), 6) AS metal_distance, coalesce(m <= 2.8, false)::INT AS bonded FROM (SELECT DISTINCT sid, res_id FROM atom) LEFT JOIN m USING (sid, res_id)""",
     "ge28_radial_shell": f"""WITH {AS}, {CENTRE}, n AS (SELECT res.sid, res_id, min({D('res', 's')}) AS d FROM res LEFT JOIN site s USING (sid) GROUP BY ALL)

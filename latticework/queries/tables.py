@@ -426,14 +426,6 @@ def ge30(spark, d):
     return f.groupBy("sid", "k").agg(F.round(F.sum("v"), 4).alias("total"))
 
 
-def ge31(spark, d):
-    """Node features: one-hot, properties and embedding side by side."""
-    a = atoms(spark, d).join(vectors(spark, d).select(F.col("id").alias("sid"), "v"), "sid")
-    one = F.array(*(F.when(F.col("res_name") == r, 1.0).otherwise(0.0) for r in ("ASP", "CYS", "HIS")))
-    f = F.concat(one, F.array("b_factor", "x"), "v")
-    return a.select("sid", "idx", F.size(f).alias("width"), F.round(F.aggregate(f, F.lit(0.0), lambda s_, x: s_ + x), 5).alias("total"))
-
-
 def ge44(spark, d):
     a = atoms(spark, d).groupBy("sid", "chain_id", "res_id").agg(F.min_by("res_name", "idx").alias("r"))
     one = F.when(F.col("r") == "ASP", "D").when(F.col("r") == "CYS", "C").when(F.col("r") == "HIS", "H")
@@ -447,7 +439,7 @@ QUERIES = {
     "sc21_pocket_score": sc21, "sc22_record_extraction": sc22, "sc23_ids": sc23, "sc2_pdb_source": sc2_source, "sc17_paged_scan": sc17, "sc18_resumable_scan": sc18, "sk1_json": sk1, "sk3_pdb_lines": sk3, "sk6_pivot_rows": sk6, "fi5_composition": fi5, "fi6_hash_sample": fi6, "fi7_exclusion": fi7, "fi8_mapping": fi8,
     "fi9_validation": fi9, "fi10_id_sets": fi10, "fi11_overlap": fi11, "fi12_resume": fi12, "fi14_confidence": fi14, "fi15_ablation": fi15, "fi16_slice": fi16, "fi17_metadata": fi17, "fi18_union": fi18, "fi19_hash_guard": fi19,
     "tr1_triage": tr1, "tr2_shortlist": tr2, "tr3_pilot": tr3, "tr4_error_status": tr4, "tr6_report": tr6, "tr7_triplets": tr7, "tr8_semi_hard": tr8, "tr9_triplet_loss": tr9, "tr10_message_passing": tr10, "tr13_per_seed": tr13,
-    "tr14_candidate": tr14, "tr15_freeze": tr15, "tr16_comparator": tr16, "ge9_transform": ge9, "ge30_one_hot": ge30, "ge31_features": ge31, "ge44_chain_sequences": ge44,
+    "tr14_candidate": tr14, "tr15_freeze": tr15, "tr16_comparator": tr16, "ge9_transform": ge9, "ge30_one_hot": ge30, "ge44_chain_sequences": ge44,
 }
 
 _UP = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
@@ -530,6 +522,5 @@ ORACLE_SQL = {
     "ge30_one_hot": f"""WITH {ATOM_SQL}, r(name, nth, p) AS (VALUES {", ".join(f"('{n}', {k}, {[float(v) for v in p]}::DOUBLE[])" for k, (n, p) in enumerate(RESIDUES.items()))}),
       f AS (SELECT sid, k, CASE WHEN idx % 3 = 2 OR nth IS NULL THEN 0.0::DOUBLE WHEN k < 20 THEN (k = nth)::INT::DOUBLE ELSE p[k - 19] END AS v FROM atom LEFT JOIN r ON name = res_name, unnest(range(0, 28)) AS t(k))
       SELECT sid, k::INT AS k, round(sum(v), 4) AS total FROM f GROUP BY ALL""",
-    "ge31_features": f"WITH {ATOM_SQL}, {VEC_SQL} SELECT sid, idx, 69 AS width, round(1 + b_factor + x + list_sum(v), 5) AS total FROM atom JOIN vec ON vec.id = sid",
     "ge44_chain_sequences": f"WITH {ATOM_SQL}, r AS (SELECT sid, chain_id, res_id, arg_min(res_name, idx) AS n FROM atom GROUP BY ALL) SELECT sid, chain_id, string_agg(CASE n WHEN 'ASP' THEN 'D' WHEN 'CYS' THEN 'C' ELSE 'H' END, '' ORDER BY res_id) AS sequence FROM r GROUP BY ALL",
 }
