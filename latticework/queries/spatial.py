@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle_degrees, bond_valence, distance, distance_n, point
-from ..operators import spatial, workers
+from ..operators import encoder, spatial, workers
+from ..operators.graph import _checkpoint
 from ..operators.ordered import upper_median
 from ..operators.motif import DONORS
 from ..plans.views import ATOM_SQL, SITE_SQL, STRUCT_SQL, atoms, sites, structures, table
@@ -129,14 +130,30 @@ def ge28(spark, d):
     return c.select("sid", "res_id").join(near, ["sid", "res_id"], "left").groupBy("sid").agg(*(F.sum(one[k]).alias(f"shell{k}") for k in range(3)))
 
 
-def ge31(spark, d):
-    """The width of the feature vectors, and a sum in which each place has its own weight."""
+def _nodes(spark, d):
     a = atoms(spark, d)
     e = a.select("sid", "res_id").distinct().join(table(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), "embedding"), "sid")
     e = e.where("res_id % 9 <> 8").select("sid", "res_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("res_id") + 1)).alias("v"))
-    f = spatial.node_features(a, sites(spark, d), _backbone(spark, d), e, workers.surface_area(a), DONORS)
+    return spatial.node_features(a, sites(spark, d), _backbone(spark, d), e, workers.surface_area(a), DONORS)
+
+
+def ge31(spark, d):
+    """The width of the feature vectors, and a sum in which each place has its own weight."""
     total = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x)
-    return f.select("sid", "res_id", F.size("features").alias("width"), F.round(total, 4).alias("total"))
+    return _nodes(spark, d).select("sid", "res_id", F.size("features").alias("width"), F.round(total, 4).alias("total"))
+
+
+def residue_graphs(spark, d):
+    """Nodes with all their features, and the edges of GE25."""
+    return _nodes(spark, d), spatial.radius_graph(spatial.centroids(atoms(spark, d)), 4.0)
+
+
+def tr10(spark, d):
+    """Structures as unit vectors: two layers with seeded weights over their residue graphs."""
+    nodes, edges = residue_graphs(spark, d)
+    nodes = _checkpoint(nodes)
+    w = encoder.weights(nodes.agg(F.max(F.size("features"))).first()[0] or 0)
+    return encoder.encode(nodes, edges, w).select("sid", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
 
 
 def ge32(spark, d):
@@ -261,7 +278,7 @@ def fi1(spark, d):
 QUERIES = {
     "fi1_one_chain": fi1, "fi3_canonical_donors": fi3, "fi4_heavy_atoms": fi4, "fi13_pocket_checks": fi13, "ge1_distance": ge1, "ge5_nearest_site": ge5, "ge10_pose_metrics": ge10, "ge11_pocket_pose": ge11, "ge17_sulfur_rule": ge17,
     "ge18_combined_status": ge18, "ge19_site_selection": ge19, "ge20_site_source": ge20, "ge21_pocket_extraction": ge21, "ge22_centroid": ge22, "ge23_within_radius": ge23, "ge24_first_shell": ge24, "ge25_radius_graph": ge25,
-    "ge26_torsions": ge26, "ge27_ligand_metal": ge27, "ge28_radial_shell": ge28, "ge31_features": ge31, "ge32_angle": ge32, "ge34_valence": ge34, "ge33_ge35_fingerprint": ge35, "ge36_coordination": ge36, "ge37_water_proxy": ge37, "ge38_plausibility": ge38,
+    "ge26_torsions": ge26, "ge27_ligand_metal": ge27, "ge28_radial_shell": ge28, "ge31_features": ge31, "tr10_graph_encoder": tr10, "ge32_angle": ge32, "ge34_valence": ge34, "ge33_ge35_fingerprint": ge35, "ge36_coordination": ge36, "ge37_water_proxy": ge37, "ge38_plausibility": ge38,
     "ge40_localisation": ge40, "ge41_donor_coverage": ge41, "ge42_largest_chain": ge42, "ge43_chain_sequence": ge43, "ge45_chain_resolution": ge45, "ge46_dominant_chain": ge46, "ge47_local_confidence": ge47, "ge48_plddt": ge48, "ge49_summary": ge49,
 }
 
