@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance_n
 from ..operators import neighbours as nn
+from ..operators import training
 from ..operators.graph import _checkpoint as once
+from ..sources.sinks import shared_folder
 from ..plans.views import VEC_SQL, table, vectors
 
 K = 5
@@ -186,7 +188,17 @@ def kn24(spark, d):
     return x.select("doc_id", F.sha2("s", 256).alias("digest"), (F.length("s") - F.length(F.replace("s", F.lit("X")))).alias("n_x"))
 
 
+def tr11(spark, d):
+    """Six epochs of a linear encoder on the training vectors; the losses of each, and which epoch is chosen."""
+    _, t = _split(spark, d)
+    held = (F.col("id") % 5 == 1).alias("held")
+    run = training.train(t.select("id", "v", "label", (F.col("id") % 4 + 1).cast("int").alias("tier"), held), shared_folder(spark, "epochs"), 6, rate=1.0)
+    chosen, _ = training.best(run)
+    return run.select("epoch", F.round("train_loss", 6).alias("train_loss"), F.round("val_loss", 6).alias("val_loss"), (F.col("epoch") == chosen).alias("chosen"))
+
+
 QUERIES = {
+    "tr11_training": tr11,
     "kn1_knn_vote": kn1, "kn2_knn_accuracy": kn2, "kn3_knn_metrics": kn3, "kn4_knn_fraction": kn4, "kn5_retrieval": kn5, "kn6_calibration": kn6, "kn7_leave_one_out": kn7, "kn8_recall_at_k": kn8, "kn9_prototype": kn9,
     "kn10_resemblance": kn10, "kn11_novelty_band": kn11, "kn12_ranking": kn12, "kn13_nearest_centroid": kn13, "kn14_nan_prototypes": kn14, "kn15_pooled": kn15, "kn16_ensemble": kn16, "kn17_seed_vote": kn17,
     "kn18_seed_metrics": kn18, "kn20_two_stage": kn20, "kn21_profile_call": kn21, "kn22_max_similarity": kn22, "kn23_truncation": kn23, "kn24_residue_letters": kn24,
