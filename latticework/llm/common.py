@@ -36,12 +36,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and lost
-    executors cost no recomputation of what came before."""
+    executors cost no recomputation of what came before.  ``arrow_rows``: rows of an Arrow batch in this
+    write, where whole texts go to Python and the default of 10,000 of them would take too much memory."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
+    path, setting = shared_dir(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(arrow_rows or before))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

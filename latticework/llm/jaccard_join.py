@@ -60,8 +60,8 @@ EPS = 1 - KEEP_NUM / KEEP_DEN
 #: cells may hold together.
 FREQUENT_IN_TASK, FREQUENT_TABLE, COUNT_SHINGLES, PIVOTS, MORE, SPREAD = 3, 1 << 17, 2 << 20, 32, 16, 2
 #: Parts into which frequent regions are dealt; ids of texts to read again that may be broadcast, beyond which
-#: they are joined by a shuffle.
-SALTS, BROADCAST_IDS = 64, 100_000
+#: they are joined by a shuffle; rows of an Arrow batch.
+SALTS, BROADCAST_IDS, ARROW_ROWS = 64, 100_000, 1500
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -293,7 +293,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    scanned = cut(_scan(rows), "scan")
+    scanned = cut(_scan(rows), "scan", ARROW_ROWS)
     members = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"), "key", "sketch")
     # A class's text is read again by the smallest of its rows' keys.
     grouped = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"))
@@ -305,7 +305,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     order = np.argsort(hot)
     posts = _postings(rows, hot[order], top["n"].to_numpy(np.int64)[order])
     # The first round: the star of each region, its pivot against all others.
-    stars = cut(posts.repartition("token", "salt").sortWithinPartitions("token", "class").mapInArrow(_stars, _STARS), "stars")
+    stars = cut(posts.repartition("token", "salt").sortWithinPartitions("token", "class").mapInArrow(_stars, _STARS), "stars", ARROW_ROWS)
     dealt = stars.where("p is null").drop("p", "pn", "ppos", "open")
     heads = dealt.groupBy("region").agg(F.min(F.struct("x", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
     heads = heads.select("region", F.col("p.x").alias("p"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), (F.col("m") > 2).alias("open"))
@@ -364,7 +364,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     chosen = wanted.select("key").distinct()
     if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    return cut(rows.join(chosen, "key", "left_semi").mapInArrow(run, "x long, s array<long>"), "sets")
+    return cut(rows.join(chosen, "key", "left_semi").mapInArrow(run, "x long, s array<long>"), "sets", ARROW_ROWS)
 
 
 def _folded(own: str, other: str) -> Column:
