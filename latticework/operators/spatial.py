@@ -49,7 +49,8 @@ def residue_features(res_name: Column) -> Column:
 def range_join(left: DataFrame, right: DataFrame, radius: float, prefix: str = "r_") -> DataFrame:
     """Pairs of one structure within ``radius``: all columns of ``left``, those of ``right`` prefixed, ``d``.
 
-    Points are hashed to cells as wide as the radius; the right side visits its 27 neighbouring cells.
+    Points are hashed to cells as wide as the radius; the right side visits its 27 neighbouring cells.  Spark's estimate
+    of that side does not know the 27, so the join is told not to broadcast it.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     a = left.withColumns({f"__{c}": cell(c) for c in "xyz"})
@@ -58,7 +59,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, prefix: str = "
     for c in "xyz":
         b = b.withColumn("__s", F.explode(steps)).withColumn(f"__{c}", cell(c) + F.col("__s")).drop("__s")
     b = b.select(F.col("sid"), *(f"__{c}" for c in "xyz"), *(F.col(c).alias(f"{prefix}{c}") for c in right.columns if c != "sid"))
-    joined = a.join(b, ["sid", "__x", "__y", "__z"]).withColumn("d", distance(point(), point(prefix)))
+    joined = a.join(b.hint("merge"), ["sid", "__x", "__y", "__z"]).withColumn("d", distance(point(), point(prefix)))
     return joined.where(F.col("d") <= radius).drop("__x", "__y", "__z")
 
 

@@ -1,4 +1,4 @@
-"""Surface area and seeded controls, in Catalyst expressions: SQL repeats them number by number.
+"""Surface area (caps in Arrow batches) and seeded controls (Catalyst expressions): SQL repeats them number by number.
 
 Random numbers are counters: the first digits of a SHA-256 over seed, structure and row.  They depend on nothing but
 these, so a lost task draws the same again, and rows need not be gathered to draw for them.
@@ -7,7 +7,10 @@ these, so a lost task draws the same again, and rows need not be gathered to dra
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,29 +36,32 @@ def radius(element: Column) -> Column:
     return F.coalesce(*(F.when(element == e, r + PROBE) for e, r in RADII.items()), F.lit(OTHER + PROBE))
 
 
+def _caps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair's cap as masks, by the arithmetic of the SQL and in its order."""
+    ux, uy, uz = (np.array(u)[None] for u in zip(*sphere(), strict=True))
+    bits = np.int64(1) << np.arange(WORD, dtype=np.int64)
+    for batch in batches:
+        col = {c: batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in batch.schema.names[2:]}
+        beyond = (col["d"] * col["d"] + col["r"] * col["r"] - col["r_r"] * col["r_r"]) / (2 * col["r"])
+        hidden = (col["r_x"] - col["x"]) * ux + (col["r_y"] - col["y"]) * uy + (col["r_z"] - col["z"]) * uz > beyond
+        words = [pa.array(hidden[:, w * WORD : (w + 1) * WORD] @ bits) for w in range(WORDS)]
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("idx"), *words], ["sid", "idx", *(f"w{w}" for w in range(WORDS))])
+
+
 def surface_area(atoms: DataFrame) -> DataFrame:
     """GE29: sid, res_id, area (accessible area / 100), by rolling a probe over each atom's sphere.
 
     Neighbours come from a radius join.  A neighbour hides the spots of a cap: those whose direction u has
     u . (b - a) > (d^2 + ra^2 - rb^2) / (2 ra).  A cap is a mask of bits, the union of caps is a ``bit_or``, and the
-    area follows from the count of bits.  atoms: sid, idx, res_id, element, x, y, z."""
+    area follows from the count of bits.  Masks are made in Arrow batches: as expressions, one for each spot, they are a
+    plan whose compilation takes more of the driver than the data does.  atoms: sid, idx, res_id, element, x, y, z."""
     own = atoms.select("sid", "idx", "res_id", radius(F.col("element")).alias("r"), "x", "y", "z")
     reach = 2 * (max(*RADII.values(), OTHER) + PROBE)
     near = range_join(own, own.drop("res_id"), reach).where((F.col("idx") != F.col("r_idx")) & (F.col("d") < F.col("r") + F.col("r_r")))
-    beyond = (F.col("d") * F.col("d") + F.col("r") * F.col("r") - F.col("r_r") * F.col("r_r")) / (2 * F.col("r"))
-    way = [F.col(f"r_{c}") - F.col(c) for c in "xyz"]
-    spots = sphere()
-
-    def cap(word: int) -> Column:
-        bits = F.lit(0).cast("long")
-        for k, u in enumerate(spots[word * WORD : (word + 1) * WORD]):
-            hidden = sum((v * w for v, w in zip(way[1:], u[1:], strict=True)), way[0] * u[0]) > beyond
-            bits = bits + F.when(hidden, F.lit(1 << k)).otherwise(F.lit(0))
-        return bits
-
-    caps = near.select("sid", "idx", *(cap(w).alias(f"w{w}") for w in range(WORDS))).groupBy("sid", "idx").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)))
+    caps = near.select("sid", "idx", "d", "r", "r_r", *(F.col(c) for c in "xyz"), *(F.col(f"r_{c}") for c in "xyz")).mapInArrow(_caps, f"sid {atoms.schema['sid'].dataType.simpleString()}, idx {atoms.schema['idx'].dataType.simpleString()}, " + ", ".join(f"w{w} long" for w in range(WORDS)))
+    caps = caps.groupBy("sid", "idx").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)))
     hidden = sum((F.bit_count(F.coalesce(f"w{w}", F.lit(0))) for w in range(1, WORDS)), F.bit_count(F.coalesce("w0", F.lit(0))))
-    free = 1 - hidden / len(spots)
+    free = 1 - hidden / (WORDS * WORD)
     area = 4 * math.pi * F.col("r") * F.col("r") * free / 100
     return own.join(caps, ["sid", "idx"], "left").groupBy("sid", "res_id").agg(F.sum(area).alias("area"))
 
