@@ -1,7 +1,8 @@
 """SC17, SC18: scans of a paged store, where each page names the cursor of the next one.
 
 ``spark.read.format("latticework_paged")`` follows the cursors and reads every page, one partition each.
-``spark.readStream`` takes up to ``pagesPerBatch`` pages a batch: the offset is the cursor that comes next, so a query
+``spark.readStream`` takes up to ``pagesPerBatch`` pages a batch; with ``mostPagesPerBatch`` a batch may hold twice as many
+pages as the one before, up to that number, so a long backlog is not a batch for every few pages.  The offset is the cursor that comes next, so a query
 that is started again with its checkpoint goes on where it stopped.  Which cursor has been planned is also kept in
 ``progress`` (a folder that the driver reaches), since Spark does not tell a restarted reader where it was; it is
 written before a batch runs, so it is never behind Spark's own log, and a planned batch that did not end is planned
@@ -26,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..operators.ordered import before
 
+#: Pages of a batch of ``scan_into`` at most.
+MOST_PAGES = 256
 SCHEMA = "accession string, sequence string, organism string"
 
 
@@ -42,6 +45,7 @@ def write_pages(rows: DataFrame, path: str, size: int, first: int = 0) -> None:
 class _Store:
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.first = options["path"].rstrip("/"), options.get("first", "00000000")
+        self.after: dict[str, str] = {}
 
     def files(self, cursor: str) -> tuple[pafs.FileSystem, list[str]]:
         fs, folder = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
@@ -50,9 +54,12 @@ class _Store:
 
     def next(self, cursor: str) -> str | None:
         """The cursor after a page.  A last page is followed by the next number: a page may be written there later."""
+        if cursor in self.after:
+            return self.after[cursor]
         fs, files = self.files(cursor)
         named = pq.read_table(files[0], columns=["next"], filesystem=fs).column(0)[0].as_py()
-        return named or f"{int(cursor) + 1:08d}"
+        self.after[cursor] = named or f"{int(cursor) + 1:08d}"  # a page that ended the store is followed by this one, too
+        return self.after[cursor]
 
     def walk(self, cursor: str, most: int | None = None, end: str | None = None) -> Iterator[str]:
         while cursor != end and (most is None or most > 0) and self.files(cursor)[1]:
@@ -84,6 +91,7 @@ class PagedStreamReader(_Pages, DataSourceStreamReader):
     def __init__(self, options: dict[str, str], columns: list[str]) -> None:
         super().__init__(options, columns)
         self.most = int(options.get("pagesPerBatch", "4"))
+        self.limit = int(options.get("mostPagesPerBatch", self.most))
         self.fs, folder = pafs.FileSystem.from_uri(options["progress"]) if "://" in options["progress"] else (pafs.LocalFileSystem(), options["progress"])
         self.file = f"{folder.rstrip('/')}/cursor.json"
         self.at = self.store.first
@@ -95,8 +103,11 @@ class PagedStreamReader(_Pages, DataSourceStreamReader):
         return {"cursor": self.store.first}
 
     def latestOffset(self) -> dict:  # noqa: N802
+        found = 0
         for page in self.store.walk(self.at, self.most):
-            self.at = self.store.next(page)
+            self.at, found = self.store.next(page), found + 1
+        if found == self.most:
+            self.most = max(self.most, min(2 * self.most, self.limit))
         return {"cursor": self.at}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -108,7 +119,7 @@ class PagedStreamReader(_Pages, DataSourceStreamReader):
 
 
 class PagedSource(DataSource):
-    """Options: path; first; for streams also progress and pagesPerBatch.  A schema may name fewer columns."""
+    """Options: path; first; for streams also progress, pagesPerBatch and mostPagesPerBatch.  A schema may name fewer columns."""
 
     @classmethod
     def name(cls) -> str:
@@ -132,7 +143,7 @@ def scan_into(spark: SparkSession, store: str, out: str, state: str, accept: lis
     """SC18: goes on with the scan of a store until no page is left.  Rows that pass every condition of ``accept`` and
     are not in ``excluded`` (accession) are appended to ``out``; ``state`` holds the checkpoint."""
     register(spark)
-    found = spark.readStream.format("latticework_paged").option("path", store).option("progress", f"{state}/progress").option("pagesPerBatch", pages).load()
+    found = spark.readStream.format("latticework_paged").option("path", store).option("progress", f"{state}/progress").option("pagesPerBatch", pages).option("mostPagesPerBatch", MOST_PAGES).load()
     for condition in accept:
         found = found.where(condition)
     if excluded is not None:

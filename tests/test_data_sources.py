@@ -1,6 +1,7 @@
 """The paged store and the PDB source: restarts without loss or repeats, pushed filters, cut columns."""
 
 import io
+import os
 import re
 from contextlib import redirect_stdout
 
@@ -127,3 +128,13 @@ def test_a_batch_that_failed_is_planned_again(spark, tmp_path):
     rows = spark.read.parquet(out)
     assert sorted(r.accession for r in rows.collect()) == [f"P{k:05d}" for k in range(80)]
     assert {r.batch: r.n for r in rows.groupBy("batch").agg(F.count("*").alias("n")).collect()} == {k: 20 for k in range(4)}
+
+
+def test_batches_of_a_backlog_grow(spark, tmp_path):
+    """41 pages in 5 batches of 2, 4, 8, 16 and 11 pages, each row once."""
+    store, out, state = (f"{tmp_path}/{n}" for n in ("store", "out", "state"))
+    rows = spark.range(41).selectExpr("format_string('P%04d', id) accession", "'HDC' sequence", "'x' organism")
+    paged.write_pages(rows, store, 1)
+    paged.scan_into(spark, store, out, state, [], pages=2)
+    assert sorted(r.accession for r in spark.read.parquet(out).collect()) == [f"P{i:04d}" for i in range(41)]
+    assert len([n for n in os.listdir(f"{state}/checkpoint/commits") if n.isdigit()]) == 5
