@@ -30,17 +30,28 @@ from .graph import _checkpoint
 
 #: Most pivots (the square root of the references up to there), rows of a block, and a margin for rounding.
 PIVOTS, BLOCK, MARGIN = 1024, 4096, 1e-9
+#: Rough distances that are held at once.
+CELLS = 1 << 20
 
 
-def best(q: np.ndarray, qv: np.ndarray, above: np.ndarray | None, r: np.ndarray, rv: np.ndarray, k: int, leave_self: bool, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(q: np.ndarray, qv: np.ndarray, above: np.ndarray | None, r: np.ndarray, rv: np.ndarray, k: int, leave_self: bool, allowed: np.ndarray | None = None, bound: np.ndarray | None = None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, reference, distance) of the k nearest references in a block for each query.  One matrix product finds
-    who can be among them; their distances are then taken from the differences."""
+    who can be among them; their distances are then taken from the differences.  Queries are passed over that have no
+    reference within their ``bound``.  ``names`` stand for the queries in the result."""
     at, ids, far = [], [], []
     qs, rs = (qv**2).sum(axis=1), (rv**2).sum(axis=1)
-    for lo in range(0, len(q), 256):
-        rough = qs[lo : lo + 256, None] + rs[None] - 2 * (qv[lo : lo + 256] @ rv.T)
-        slack = 1e-9 * (1 + qs[lo : lo + 256, None] + rs[None])
-        for n, (d2, room) in enumerate(zip(rough, slack, strict=True), lo):
+    step = max(1, min(256, CELLS // max(1, len(r))))
+    for lo in range(0, len(q), step):
+        rough = qs[lo : lo + step, None] + rs[None] - 2 * (qv[lo : lo + step] @ rv.T)
+        slack = 1e-9 * (1 + qs[lo : lo + step, None] + rs[None])
+        some = np.ones(len(rough), bool)
+        if bound is not None:
+            may = ~(rough - slack > (bound[lo : lo + step] * (1 + MARGIN))[:, None] ** 2)
+            if above is not None:
+                may &= ~((rough + slack <= above[lo : lo + step, None] ** 2) & (above[lo : lo + step, None] >= 0))
+            some = may.any(axis=1)
+        for n in np.flatnonzero(some) + lo:
+            d2, room = rough[n - lo], slack[n - lo]
             ok = np.ones(len(r), bool) if allowed is None else allowed[n].copy()
             if leave_self:
                 ok &= r != q[n]
@@ -55,12 +66,23 @@ def best(q: np.ndarray, qv: np.ndarray, above: np.ndarray | None, r: np.ndarray,
             if above is not None:
                 c, d = c[d > above[n]], d[d > above[n]]
             order = np.lexsort((r[c], d))[:k]
-            at.append(np.full(len(order), q[n]))
+            at.append(np.full(len(order), q[n] if names is None else names[n]))
             ids.append(r[c][order])
             far.append(d[order])
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in (at, ids, far))
 
 
+def nearer(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query among (query, reference, distance), by query, distance and reference."""
+    order = np.lexsort((ids, d, q))
+    q, ids, d = q[order], ids[order], d[order]
+    new = np.ones(len(q), bool)
+    new[1:] = q[1:] != q[:-1]
+    at = np.arange(len(q))
+    kept = at - np.maximum.accumulate(np.where(new, at, 0)) < k
+    return q[kept], ids[kept], d[kept]
+
+
 def _to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((v - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _checkpoint
-from .metric_index import best, search
+from .metric_index import best, nearer, search
 from .ordered import before
 
 #: Bytes of vectors that may be broadcast, rows of a batch that are compared at once.
@@ -47,19 +47,42 @@ def _compared(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool, abo
         one = lambda c: small.column(c).combine_chunks() if small.num_rows else pa.array([], small.schema.field(c).type)
         sent = sc.broadcast((*_matrix(one("id"), one("v")), one("above").to_numpy(zero_copy_only=False)))
 
+        def found(got: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["q", "id", "d"])
+
+        def gathered(batches: Iterator[pa.RecordBatch], ids: np.ndarray, v: np.ndarray, top: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            """The k best of each query in all of a task's references; those so far are the bound of the next block."""
+            places = np.arange(len(ids))
+            held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, BATCH_ROWS):
+                    own, ov = _matrix((b := batch.slice(lo, BATCH_ROWS)).column("id"), b.column("v"))
+                    if not len(ids):
+                        continue
+                    bound = np.full(len(ids), np.inf)
+                    full = np.bincount(held[0], minlength=len(ids)) >= k
+                    last = np.flatnonzero(np.append(held[0][1:] != held[0][:-1], True))[: len(held[0])]
+                    bound[held[0][last]] = held[2][last]
+                    bound[~full] = np.inf
+                    # Queries go by their place, so rows that repeat an id stay apart; leave_self compares the ids themselves.
+                    got = best(ids, v, top, own, ov, k, leave_self, bound=bound, names=places)
+                    held = nearer(*(np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(held, got, strict=True)), k)
+            for lo in range(0, len(held[0]), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                yield found((ids[held[0][part]], held[1][part], held[2][part]))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, v, top = sent.value
+            if few_queries:
+                yield from gathered(batches, ids, v, top if above else None)
+                return
             for batch in batches:
                 for lo in range(0, batch.num_rows, BATCH_ROWS):
                     b = batch.slice(lo, BATCH_ROWS)
                     own, ov = _matrix(b.column("id"), b.column("v"))
                     if not len(ids) or not len(own):
                         continue
-                    if few_queries:
-                        got = best(ids, v, top if above else None, own, ov, k, leave_self)
-                    else:
-                        got = best(own, ov, b.column("above").to_numpy(zero_copy_only=False) if above else None, ids, v, k, leave_self)
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["q", "id", "d"])
+                    yield found(best(own, ov, b.column("above").to_numpy(zero_copy_only=False) if above else None, ids, v, k, leave_self))
 
         return (r if few_queries else q).mapInArrow(run, _FOUND)
     return search(q, r, k, leave_self, bool(above), nr)
