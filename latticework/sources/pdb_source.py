@@ -1,6 +1,6 @@
 """SC2 as a data source: ``spark.read.format("latticework_pdb").load(folder)``.
 
-Files are grouped into partitions by their bytes.  Comparisons of ``chain_id`` and ``element`` with ``=`` and ``IN`` are
+Files are grouped into partitions by their bytes and their number; a batch holds the atoms of many small files.  Comparisons of ``chain_id`` and ``element`` with ``=`` and ``IN`` are
 pushed into the reader (``spark.sql.python.filterPushdown.enabled``); a schema with fewer columns cuts only those
 columns from the lines.  A file's lines are columns of one Arrow array and are cut at fixed widths by Arrow.
 """
@@ -15,8 +15,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-#: Bytes of the files of one partition, as far as files are not larger themselves.
-PARTITION_BYTES = 32 << 20
+#: Bytes of the files of one partition, as far as files are not larger themselves, and most files of it; rows of a batch.
+PARTITION_BYTES, FILES, ROWS = 32 << 20, 1000, 10_000
 SCHEMA = (
     "id string, line int, hetero boolean, atom_name string, res_name string, chain_id string, res_id int, ins_code string, "
     "x double, y double, z double, occupancy double, b_factor double, element string"
@@ -75,6 +75,10 @@ def parse(text: bytes, columns: list[str], wanted: dict[str, set[str]]) -> dict[
     return {"": rows} | {c: make[c](rows) for c in columns if c != "id"}
 
 
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []
+
+
 class PdbReader(DataSourceReader):
     def __init__(self, path: str, columns: list[str]) -> None:
         self.path, self.columns, self.wanted = path, columns, {}
@@ -95,7 +99,7 @@ class PdbReader(DataSourceReader):
         prefix = self.path[: len(self.path) - len(folder)] if "://" in self.path else ""
         found = fs.get_file_info(pafs.FileSelector(folder, recursive=True))
         for f in sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
-            if held and size + f.size > PARTITION_BYTES:
+            if held and (size + f.size > PARTITION_BYTES or len(held) >= FILES):
                 out.append(Files(held))
                 held, size = [], 0
             held.append(prefix + f.path)
@@ -103,6 +107,7 @@ class PdbReader(DataSourceReader):
         return out + ([Files(held)] if held else [])
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for path in partition.paths:
             fs, name = _open(path)
             with fs.open_input_stream(name) as f:
@@ -110,7 +115,12 @@ class PdbReader(DataSourceReader):
             n = len(found.pop(""))
             if n:
                 found["id"] = pa.array([structure_id(path)] * n)
-                yield pa.RecordBatch.from_arrays([found[c] for c in self.columns], self.columns)
+                held.append(pa.RecordBatch.from_arrays([found[c] for c in self.columns], self.columns))
+                rows += n
+            if rows >= ROWS:
+                yield from _joined(held)
+                held, rows = [], 0
+        yield from _joined(held)
 
 
 class PdbSource(DataSource):

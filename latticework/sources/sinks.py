@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import pdb_line
 
+#: Folders that the files of an export are dealt into, by the hash of their ids.
+FOLDERS = 256
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; only where that is unset (one machine) a temporary folder."""
@@ -42,8 +51,54 @@ def pocket_lines(pockets: DataFrame) -> DataFrame:
 
 
 def write_pocket_files(lines: DataFrame, path: str) -> None:
-    """SK4: one file a pocket, below ``id=...``."""
-    lines.repartition("id").sortWithinPartitions("id", "line").select("id", "value").write.mode("errorifexists").partitionBy("id").text(path)
+    """SK4: id, line, value: one file a pocket, ``id=....pdb`` in one of ``FOLDERS`` folders.
+
+    Tasks write the files themselves, each under a hidden name that is changed when it is whole, into a folder that takes
+    its name when all are there: Spark's writer makes a folder, a checksum and two moves a file, the last on the driver."""
+    fs, folder = _file_system(path)
+    if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{path} exists")
+    making = f"{folder.rstrip('/')}-making-{uuid.uuid4().hex}"
+    hidden = path.rstrip("/") + making[len(folder.rstrip("/")) :]
+    rows = lines.select(F.col("id").cast("string").alias("id"), "line", F.col("value").cast("string").alias("value"))
+    made = rows.repartition("id").sortWithinPartitions("id", "line").select("id", "value").mapInArrow(lambda batches: _files(batches, hidden), "n long")
+    fs.create_dir(making, recursive=True)
+    made.agg(F.sum("n")).collect()
+    fs.move(making, folder)
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path)) if re.match(r"^\w+:/", path) else (pafs.LocalFileSystem(), path)
+
+
+def _files(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Writes each run of equal ids; a run may go on in the next batch."""
+    fs, top = _file_system(path)
+    made: set[str] = set()
+
+    def put(name: str | None, rows: list[str]) -> None:
+        name = quote("__HIVE_DEFAULT_PARTITION__" if name is None else name, safe=" +,;@!~()$&<>|`")
+        folder = f"{top}/{zlib.crc32(name.encode()) % FOLDERS:02x}"
+        if folder not in made:
+            fs.create_dir(folder, recursive=True)
+            made.add(folder)
+        part = f"{folder}/_{uuid.uuid4().hex}"
+        with fs.open_output_stream(part, compression=None) as out:
+            out.write("".join(f"{v}\n" for v in rows if v is not None).encode())
+        fs.move(part, f"{folder}/id={name}.pdb")
+
+    now, held, n = None, [], 0
+    for batch in batches:
+        for name, value in zip(*(batch.column(c).to_pylist() for c in ("id", "value")), strict=True):
+            if held and name != now:
+                put(now, held)
+                held, n = [], n + 1
+            now = name
+            held.append(value)
+    if held:
+        put(now, held)
+        n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
 
 def write_fasta(df: DataFrame, name: Column, sequence: Column, path: str) -> None:
