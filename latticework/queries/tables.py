@@ -125,7 +125,7 @@ def sc2_source(spark, d):
     pdb_source.register(spark)
     path = sinks.shared_folder(spark, "structures")
     rows = _pdb_lines(spark, d).withColumn("id", s.stem(F.col("path")))
-    rows.repartition("id").sortWithinPartitions("id", "line").select("id", "value").write.partitionBy("id").text(path)
+    sinks.write_pocket_files(rows, path)
     found = spark.read.format("latticework_pdb").schema("id string, chain_id string, element string, x double, y double, z double, b_factor double").load(path)
     found = found.where((F.col("chain_id") == "A") & F.col("element").isin("N", "O"))
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("element") == "O").alias("n_o"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum(F.col("y") + F.col("z")), 3).alias("syz"), F.round(F.avg("b_factor"), 2).alias("b"))
