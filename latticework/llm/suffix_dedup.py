@@ -1,17 +1,23 @@
 """Operator 9: suffix-array deduplication of repeated 100-byte strings.
 
-Every 100-byte string of the corpus picks its *anchor*: the place in it where a 16-byte hash is least.  Equal
+Every 100-byte string of the corpus picks its *anchor*: the place in it where a 48-byte hash is least.  Equal
 strings pick the same anchor, so strings can only repeat among occurrences of one anchor.  Neighbouring
 strings share anchors; an occurrence stands for a run of them and for the text they cover, its context.
 
 1. A task lists its occurrences.  Equal contexts within the task are settled at once (the later ones repeat),
    so each context leaves a task once, however often it occurs.
 2. Occurrences are dealt by anchor.  Later equal contexts repeat; an anchor with several contexts is open.
-3. Contexts of open anchors are read from the texts and cut into blocks of at most 16 strings with a common
-   core of 85 bytes; blocks are dealt by core.  The different texts of a core are joined and suffix-sorted by
+3. Contexts of open anchors are read from the texts and cut into blocks of at most 27 strings with a common
+   core of 74 bytes; blocks are dealt by core.  The different texts of a core are joined and suffix-sorted by
    linear grouping construction, and neighbours in the suffix array with 100 bytes in common are equal strings.
 4. All strings but the first of each set give intervals to remove; documents meet their intervals by id.
 
+What goes through shuffles decides how much disk the operator takes.  Anchors of 16 bytes are a few words, and in a
+large corpus most occurrences have such an anchor in common with some other text; at 48 bytes few do by chance, which
+is worth the larger number of occurrences (a string has 53 places for its anchor, not 85).  Blocks overlap, so the
+places are halved and no more.  Texts travel to meet their rows in steps 3 and 4 only if a bitmap of the documents
+that have rows says so.
+
 The suffix array comes from grouping suffixes by first letter and then, from the greatest group to the least,
 refining the groups of the previous smaller suffixes by how often the group points to them; each final group
 shares a Lyndon prefix, and a last pass emits every group in order along the same pointers.  Python is too
@@ -33,7 +39,7 @@ from .common import _BYTES, bytes_of, cut, mix, powers, slices, table
 
 #: Bytes of a repeated string, of an anchor, strings in a block, occurrences that a task holds at once, and
 #: texts of one core beyond which equal strings are found by sorting them whole instead of all suffixes.
-LENGTH, ANCHOR, BLOCK, HELD, LARGE = 100, 16, 16, 1 << 21, 512
+LENGTH, ANCHOR, BLOCK, HELD, LARGE = 100, 48, 27, 1 << 21, 512
 
 
 # ---- suffix array
@@ -184,13 +190,13 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 #: kind 0: an occurrence (x = anchor, y = context); kind 1: bytes [x, y) to remove; kind 2: an open occurrence
-#: (x = anchor).  place packs lo (32 bits), a - lo and hi - lo (7 each).  m1 and m2 are the digest of the text
+#: (x and y are 0).  place packs lo (32 bits), a - lo and hi - lo (7 each).  m1 and m2 are the digest of the text
 #: where an id is missing or repeats, and keep such rows apart; else they are 0.
 _ROWS = "kind int, x long, y long, doc long, m1 long, m2 long, place long"
 _KEY = ["doc", "m1", "m2"]
 _FIRST = -(1 << 63)
-#: Buckets of ids in which repeated ones are noted.
-_BUCKETS = 1 << 16
+#: Buckets of ids in which repeated ones are noted, and bits of the bitmap of documents that have rows.
+_BUCKETS, _BITS = 1 << 16, 1 << 24
 
 
 def _rows(kind: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, m1: np.ndarray, m2: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -239,7 +245,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = 0
             lo, _, hi = _unpack(place)
             order, first, tie = _later((anchor, context), doc, lo)
-            go = order[first | tie]  # rows that repeat an id and a text stand at one place: neither is later
+            # Rows that repeat an id and a text stand at one place: neither is later.  They go in the order of the texts, where
+            # ids and places are alike and take little room in the shuffle.
+            go = np.sort(order[first | tie])
             for k in range(0, len(go), 1 << 16):
                 c = go[k : k + (1 << 16)]
                 yield _rows(0, anchor[c], context[c], doc[c], m1[c], m2[c], place[c])
@@ -279,7 +287,8 @@ def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened = stay[np.isin(anchor[stay], several)]
     for k in range(0, len(opened), 1 << 16):
         c = opened[k : k + (1 << 16)]
-        yield _rows(2, anchor[c], context[c], doc[c], m1[c], m2[c], place[c])
+        none = np.zeros(len(c), np.int64)
+        yield _rows(2, none, none, doc[c], m1[c], m2[c], place[c])
 
 
 _BLOCKS = "core long, doc long, m1 long, m2 long, start long, text binary"
@@ -291,8 +300,8 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, doc, m1, m2, opened in zip(*(b.column(c) for c in ("text", *_KEY, "open")), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             key = doc.as_py(), m1.as_py(), m2.as_py()
-            for row in opened.as_py():
-                lo, a, hi = _unpack(row["place"])
+            for place in opened.as_py():
+                lo, a, hi = _unpack(place)
                 for j in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
                     s0, s1 = max(lo, a - BLOCK * j - BLOCK + 1), min(hi, a - BLOCK * j)
                     core = raw[a - BLOCK * j : a - BLOCK * j + LENGTH - BLOCK + 1]
@@ -359,6 +368,16 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, *(F.when(F.col("again"), h).otherwise(F.lit(0).cast("long")).alias(m) for h, m in zip(half, _KEY[1:], strict=True)))
 
 
+def _having(rows: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose document may be in ``some``, rows whose document is not), by a bitmap of fixed size."""
+    at = F.xxhash64(*_KEY).bitwiseAND(_BITS - 1)
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(63).cast("int")
+    noted = some.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    met = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(noted), "word", "left")
+    held = F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False))
+    return met.where(held).select(*rows.columns), met.where(~held).select(*rows.columns)
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
 
@@ -373,13 +392,17 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     rows = _keyed(rows)
     found = rows.select(*_KEY, "text").mapInArrow(_occurrences, _ROWS)
     # Occurrences meet by anchor; intervals that are already known pass by wherever.
-    dealt = found.withColumn("to", F.when(F.col("kind") == 0, F.col("x")).otherwise(F.xxhash64("doc", "x"))).repartition("to").drop("to")
+    dealt = found.repartition(F.when(F.col("kind") == 0, F.col("x")).otherwise(F.xxhash64("doc", "x")))
     settled = cut(dealt.mapInArrow(_by_anchor, _ROWS), "anchors")
-    opened = settled.where("kind = 2").groupBy(*_KEY).agg(F.collect_list(F.struct("x", "place")).alias("open"))
-    blocks = rows.join(opened, _KEY).select(*_KEY, "text", "open").mapInArrow(_cut_blocks, _BLOCKS)
+    opened = settled.where("kind = 2").select(*_KEY, "place")
+    some, _ = _having(rows, opened)
+    blocks = some.join(opened.groupBy(*_KEY).agg(F.collect_list("place").alias("open")), _KEY).select(*_KEY, "text", "open").mapInArrow(_cut_blocks, _BLOCKS)
     sorted_out = cut(blocks.repartition("core").mapInArrow(_by_core, _ROWS), "cores")
-    spans = settled.where("kind = 1").union(sorted_out).groupBy(*_KEY).agg(F.collect_list(F.struct("x", "y")).alias("spans"))
-    return rows.join(spans, _KEY, "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = settled.where("kind = 1").union(sorted_out).select(*_KEY, "x", "y")
+    some, whole = _having(rows, spans)
+    met = some.join(spans.groupBy(*_KEY).agg(F.collect_list(F.struct("x", "y")).alias("spans")), _KEY, "left").select("doc_id", "text", "spans")
+    every = met.unionByName(whole.select("doc_id", "text"), allowMissingColumns=True)
+    return every.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,6 +370,34 @@ def test_suffix_dedup(docs, texts, monkeypatch):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
 
 
+def test_suffix_moves_little(spark, monkeypatch):
+    """Of texts that have some words in common by chance hardly any occurrence is open, and texts without rows stay
+    where they are."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    every = {k: " ".join(rng.choice(words) for _ in range(80)) for k in range(300)}
+    every |= {300 + k: every[k] + " and more" for k in range(10)}
+    sizes, moved = {}, []
+    cut, having = suffix_dedup.cut, suffix_dedup._having
+
+    def counted(df, name):
+        out = cut(df, name)
+        sizes[name] = out.where("kind = 2").count()
+        return out
+
+    def watched(*frames):
+        out = having(*frames)
+        moved.append(tuple(x.count() for x in out))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "cut", counted)
+    monkeypatch.setattr(suffix_dedup, "_having", watched)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffix(every)
+    print("open occurrences:", sizes["anchors"], "texts that travel and that stay:", moved)
+    assert sizes["anchors"] < 100 and all(sum(m) == len(every) and m[0] < 60 for m in moved) and len(moved) == 2
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(200):
