@@ -1,26 +1,31 @@
-"""Nearest-neighbour retrieval on embeddings: exact, in Arrow batches with numpy distances.
+"""Nearest-neighbour retrieval on embeddings: exact, in Arrow batches with numpy distances (``block_scan``).
 
 Vectors: id, v (array<double>, all of one length; rows with a null vector are left out).  Ties go to the smaller
-id.  A side whose bytes were counted and are few goes to every task as one matrix and the other side streams past
-it; else references are found through a metric index (``metric_index``).  Either way a block of references keeps its
-k best of each query before results meet, so no task sees all references of a query.
+id.  A task holds some queries and the references pass it in blocks, so it gives k rows a query and nothing is copied
+for each block of the other side: references whose bytes were counted and are few go to every task as one matrix, else
+they are written once to the shared folder and every task reads them there.  Only where references are many and queries
+few it is the other way round: each task holds all queries and its own references pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .block_scan import scan
 from .graph import _checkpoint
-from .metric_index import best, nearer, search
 from .ordered import before
 
-#: Bytes of vectors that may be broadcast, rows of a batch that are compared at once.
-BROADCAST_BYTES, BATCH_ROWS = 64 << 20, 4096
+#: Bytes of references that may be broadcast (of queries, an eighth), references in a block, queries that a task holds at
+#: once, and the fewest for which it is worth another task.
+BROADCAST_BYTES, BATCH_ROWS, HELD, LEAST = 64 << 20, 4096, 1 << 15, 512
 _FOUND = "q long, id long, d double"
 
 
@@ -29,63 +34,80 @@ def _matrix(ids: pa.Array, v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids.to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 1)
 
 
-def _size(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of the vectors."""
-    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
-    return n, 8 * b
+def _size(df: DataFrame) -> tuple[int, int, bool]:
+    """Rows and bytes of the vectors, and whether single precision holds all their numbers."""
+    single = ~F.exists("v", lambda x: x.cast("float").cast("double") != x)
+    n, b, every = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0)), F.min(F.coalesce(single, F.lit(True)))).first()
+    return n, 8 * b, every
+
+
+def _sent(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """ids, vectors and, where there is one, ``above``."""
+    small = df.toArrow().combine_chunks()
+    one = lambda c: small.column(c).combine_chunks() if small.num_rows else pa.array([], small.schema.field(c).type)
+    return *_matrix(one("id"), one("v")), one("above").to_numpy(zero_copy_only=False) if "above" in small.column_names else None
+
+
+def _read(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for f in files:
+        fs, path = pafs.FileSystem.from_uri(f)
+        with fs.open_input_file(path) as file:
+            for b in pq.ParquetFile(file, buffer_size=1 << 20).iter_batches(BATCH_ROWS, columns=["id", "v"]):
+                yield _matrix(b.column("id"), b.column("v"))
+
+
+def _rows(ids: np.ndarray, got: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(got[0]), 1 << 16):
+        at, r, d = (x[lo : lo + (1 << 16)] for x in got)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(r, pa.int64()), pa.array(d, pa.float64())], ["q", "id", "d"])
 
 
 def _compared(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool, above: str | None) -> DataFrame:
-    floor = F.col(above).cast("double") if above else F.lit(None).cast("double")
-    q = queries.where("v is not null").select(F.col("id").cast("long").alias("id"), "v", floor.alias("above"))
-    r = refs.where("v is not null").select(F.col("id").cast("long").alias("id"), "v", F.lit(None).cast("double").alias("above"))
-    (nq, bq), (nr, br) = _size(q), _size(r)
+    q = queries.where("v is not null").select(F.col("id").cast("long").alias("id"), "v", *([F.col(above).cast("double").alias("above")] if above else []))
+    r = refs.where("v is not null").select(F.col("id").cast("long").alias("id"), "v")
+    (nq, bq, q_single), (_, br, r_single) = _size(q), _size(r)
+    half = lambda df, single: df.withColumn("v", F.col("v").cast("array<float>")) if single else df
+    q, r = half(q, q_single), half(r, r_single)
     sc = queries.sparkSession.sparkContext
-    if min(bq, br) <= BROADCAST_BYTES:
-        few_queries = bq <= br
-        small = (q if few_queries else r).toArrow().combine_chunks()
-        one = lambda c: small.column(c).combine_chunks() if small.num_rows else pa.array([], small.schema.field(c).type)
-        sent = sc.broadcast((*_matrix(one("id"), one("v")), one("above").to_numpy(zero_copy_only=False)))
-
-        def found(got: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["q", "id", "d"])
-
-        def gathered(batches: Iterator[pa.RecordBatch], ids: np.ndarray, v: np.ndarray, top: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            """The k best of each query in all of a task's references; those so far are the bound of the next block."""
-            places = np.arange(len(ids))
-            held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float))
-            for batch in batches:
-                for lo in range(0, batch.num_rows, BATCH_ROWS):
-                    own, ov = _matrix((b := batch.slice(lo, BATCH_ROWS)).column("id"), b.column("v"))
-                    if not len(ids):
-                        continue
-                    bound = np.full(len(ids), np.inf)
-                    full = np.bincount(held[0], minlength=len(ids)) >= k
-                    last = np.flatnonzero(np.append(held[0][1:] != held[0][:-1], True))[: len(held[0])]
-                    bound[held[0][last]] = held[2][last]
-                    bound[~full] = np.inf
-                    # Queries go by their place, so rows that repeat an id stay apart; leave_self compares the ids themselves.
-                    got = best(ids, v, top, own, ov, k, leave_self, bound=bound, names=places)
-                    held = nearer(*(np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(held, got, strict=True)), k)
-            for lo in range(0, len(held[0]), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
-                yield found((ids[held[0][part]], held[1][part], held[2][part]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, v, top = sent.value
-            if few_queries:
-                yield from gathered(batches, ids, v, top if above else None)
-                return
-            for batch in batches:
-                for lo in range(0, batch.num_rows, BATCH_ROWS):
-                    b = batch.slice(lo, BATCH_ROWS)
-                    own, ov = _matrix(b.column("id"), b.column("v"))
-                    if not len(ids) or not len(own):
-                        continue
-                    yield found(best(own, ov, b.column("above").to_numpy(zero_copy_only=False) if above else None, ids, v, k, leave_self))
-
-        return (r if few_queries else q).mapInArrow(run, _FOUND)
-    return search(q, r, k, leave_self, bool(above), nr)
+    if br > BROADCAST_BYTES and bq <= BROADCAST_BYTES >> 3:
+        few = sc.broadcast(_sent(q))
+
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, v, top = few.value
+            blocks = (_matrix((b := batch.slice(lo, BATCH_ROWS)).column("id"), b.column("v")) for batch in batches for lo in range(0, batch.num_rows, BATCH_ROWS))
+            yield from _rows(ids, scan(ids, v, top, k, leave_self, blocks))
+
+        return r.mapInArrow(passed, _FOUND)
+    if br <= BROADCAST_BYTES:
+        small = sc.broadcast(_sent(r))
+
+        def blocks() -> Iterable[tuple[np.ndarray, np.ndarray]]:
+            ids, v, _ = small.value
+            return ((ids[lo : lo + BATCH_ROWS], v[lo : lo + BATCH_ROWS]) for lo in range(0, len(ids), BATCH_ROWS))
+    else:
+        files = [re.sub("^file:/(?!/)", "file:///", f) for f in _checkpoint(r).inputFiles()]
+
+        def blocks() -> Iterable[tuple[np.ndarray, np.ndarray]]:
+            return _read(files)
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, v = _matrix(t.column("id").combine_chunks(), t.column("v").combine_chunks())
+        yield from _rows(ids, scan(ids, v, t.column("above").to_numpy() if above else None, k, leave_self, blocks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, HELD // 4):
+                held.append(batch.slice(lo, HELD // 4))
+                if sum(b.num_rows for b in held) >= HELD:
+                    yield from searched(held)
+                    held = []
+        if held:
+            yield from searched(held)
+
+    tasks = max(1, -(-nq // HELD), min(3 * sc.defaultParallelism, nq // LEAST))
+    return q.repartition(tasks, "id").mapInArrow(run, _FOUND)
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = False, above: str | None = None) -> DataFrame:
