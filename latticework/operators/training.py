@@ -50,11 +50,13 @@ def mine(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
     margin, else the nearest of all.  vectors: id, v, label."""
     v = vectors.select("id", "v", "label")
     own, other = v.where("label = 'positive'").drop("label"), v.where("label <> 'positive'").drop("label")
-    pairs = _checkpoint(nn.nearest(own, own, 1, leave_self=True).select("q", F.col("id").alias("p"), F.col("d").alias("ap")))
-    asked = own.join(pairs, F.col("id") == F.col("q")).select("id", "v", "ap")
-    any_ = nn.nearest(asked, other, 1).select("q", F.col("id").alias("near"))
+    pairs = nn.nearest(own, own, 1, leave_self=True).select("q", F.col("id").alias("p"), F.col("d").alias("ap"))
+    any_ = nn.nearest(own, other, 1).select("q", F.col("id").alias("near"), F.col("d").alias("nd"))
+    found = _checkpoint(pairs.join(any_, "q"))
+    # Where the nearest of all is beyond, it is the nearest beyond: only the others are searched again.
+    asked = _checkpoint(own.join(found.where("nd <= ap"), F.col("id") == F.col("q")).select("id", "v", "ap"))
     semi = nn.nearest(asked, other, 1, above="ap").select("q", F.col("id").alias("beyond"), F.col("d").alias("an"))
-    j = pairs.join(any_, "q").join(semi, "q", "left")
+    j = found.join(semi, "q", "left")
     return j.select(F.col("q").alias("a"), "p", F.when(F.col("an") < F.col("ap") + margin, F.col("beyond")).otherwise(F.col("near")).alias("n"))
 
 

@@ -10,6 +10,7 @@ from ..operators import neighbours as nn
 from ..operators import triage as t
 from ..operators.ordered import before, sorted_digest
 from ..operators.spatial import RESIDUES, residue_features
+from ..operators.training import mine
 from ..plans.views import ATOM_SQL, SITE_SQL, STRUCT_SQL, VEC_SQL, atoms, sites, structures, table, vectors
 from ..sources import npz, paged, pdb_source, sinks
 from ..sources import text as s
@@ -340,14 +341,7 @@ def tr7(spark, d):
 
 def tr8(spark, d):
     """Semi-hard mining: d_ap < d_an < d_ap + margin, the nearest such negative; else the nearest of all."""
-    v = vectors(spark, d).select("id", "v", "label")
-    a, negatives = v.where("label = 'positive'").drop("label"), v.where("label = 'negative'").drop("label")
-    pp = nn.nearest(a, a, 1, leave_self=True).select("q", F.col("id").alias("positive"), F.col("d").alias("ap"))
-    asked = a.join(pp, F.col("id") == F.col("q")).select("id", "v", "ap")
-    any_ = nn.nearest(asked, negatives, 1).select("q", F.col("id").alias("nearest"))
-    semi = nn.nearest(asked, negatives, 1, above="ap").select("q", F.col("id").alias("beyond"), F.col("d").alias("an"))
-    j = pp.join(any_, "q").join(semi, "q", "left")
-    return j.select("q", "positive", F.when(F.col("an") < F.col("ap") + 0.2, F.col("beyond")).otherwise(F.col("nearest")).alias("negative"))
+    return mine(vectors(spark, d), 0.2).select(F.col("a").alias("q"), F.col("p").alias("positive"), F.col("n").alias("negative"))
 
 
 def tr9(spark, d):

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from latticework.operators import block_scan, metric_index
+from latticework.operators import block_scan, metric_index, training
 from latticework.operators import neighbours as nn
 
 
@@ -58,3 +58,27 @@ def test_large_sides_are_not_copied(spark, monkeypatch, name):
     assert got == want
     print(f"{sum(written)} bytes written by two searches over {x.nbytes}")
     assert sum(written) < 2.5 * x.nbytes
+
+
+def test_mining_asks_again_only_where_a_negative_is_nearer(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=3).tolist(), "positive" if k % 3 == 0 else "negative") for k in range(90)]
+    asked = []
+    nearest = nn.nearest
+
+    def watched(queries, *rest, **more):
+        asked.append(queries.count())
+        return nearest(queries, *rest, **more)
+
+    monkeypatch.setattr(nn, "nearest", watched)
+    got = {r.a: (r.p, r.n) for r in training.mine(spark.createDataFrame(rows, "id long, v array<double>, label string").repartition(2)).collect()}
+    v = {k: np.array(x) for k, x, _ in rows}
+    far = lambda a, b: float(np.linalg.norm(v[a] - v[b]))
+    nearer = 0
+    for a in range(0, 90, 3):
+        ap, p = min((far(a, b), b) for b in range(0, 90, 3) if b != a)
+        negatives = sorted((far(a, b), b) for b in range(90) if b % 3)
+        semi = [b for d, b in negatives if ap < d < ap + 0.2]
+        assert got[a] == (p, (semi or [negatives[0][1]])[0])
+        nearer += negatives[0][0] <= ap
+    assert asked == [30, 30, nearer] and 0 < nearer < 30
