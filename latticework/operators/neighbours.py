@@ -121,16 +121,31 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = Fals
     return top.join(refs.select("id", *keep), "id").select("q", "id", "d", "rank", *keep)
 
 
-def top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query with their rank (partial top-k before the shuffle)."""
-    by = Window.partitionBy("q").orderBy("d", "id")
+def nearest_leaving_out(queries: DataFrame, refs: DataFrame, part: str, values: list, k: int) -> DataFrame:
+    """``nearest`` for each of ``values`` among the references whose ``part`` is another: left_out, q, id, d, rank and the
+    reference's other columns.  Each of the parts, which are few, is searched once for all values that take it in."""
+    parts = [r[0] for r in refs.select(part).distinct().collect()] or [None]
+    found = None
+    for p in parts:
+        own = _compared(queries, refs.where(F.col(part) == F.lit(p)), k, False, None)
+        found = own if found is None else found.union(own)
+    # Dealt by query before each row is repeated for the values that take it in; what follows needs no shuffle of its own.
+    dealt = found.join(refs.drop("v"), "id").repartition("q")
+    rows = dealt.withColumn("left_out", F.explode(F.array(*map(F.lit, values)))).where(F.col(part) != F.col("left_out"))
+    return top_k(rows, k, "left_out", "q").drop(part)
+
+
+def top_k(pairs: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The k nearest of each query (or of other ``keys``) with their rank (partial top-k before the shuffle)."""
+    by = Window.partitionBy(*(keys or ["q"])).orderBy("d", "id")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def majority(rows: DataFrame, key: str, label: str = "label", rank: str = "rank") -> DataFrame:
+def majority(rows: DataFrame, key: str | list[str], label: str = "label", rank: str = "rank") -> DataFrame:
     """GB4: the most frequent label; of equals the one that comes first by ``rank``."""
-    n = rows.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
-    return n.groupBy(key).agg(F.max_by(label, F.struct("n", -F.col("first"))).alias("pred"))
+    keys = [key] if isinstance(key, str) else key
+    n = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
+    return n.groupBy(*keys).agg(F.max_by(label, F.struct("n", -F.col("first"))).alias("pred"))
 
 
 def vote_fraction(neighbours: DataFrame, positive: Column) -> DataFrame:
