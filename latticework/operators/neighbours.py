@@ -23,9 +23,9 @@ from .block_scan import scan
 from .graph import _checkpoint
 from .ordered import before
 
-#: Bytes of references that may be broadcast (of queries, an eighth), references in a block, queries that a task holds at
-#: once, and the fewest for which it is worth another task.
-BROADCAST_BYTES, BATCH_ROWS, HELD, LEAST = 64 << 20, 4096, 1 << 15, 512
+#: Bytes of references that may be broadcast (of queries, an eighth; every executor keeps a copy on its disk), references
+#: in a block, queries that a task holds at once, and the fewest for which it is worth another task.
+BROADCAST_BYTES, BATCH_ROWS, HELD, LEAST = 8 << 20, 4096, 1 << 15, 512
 _FOUND = "q long, id long, d double"
 
 
